@@ -21,6 +21,9 @@ UNSURE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 #: Where a long text may be cut.
 CUT = re.compile(r"[^ \t-\r](?=[ \t-\r])")
 CUT_CHARS = 1 << 19
+WHITE = " \t\n\r\x0b\x0c"
+#: Pieces encoded as one text.
+TOGETHER = 2048
 #: Pieces remembered in each of two generations, and characters of the longest.
 REMEMBERED, LONGEST = 250_000, 48
 
@@ -34,6 +37,12 @@ class Encoder:
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("truncation")
+        # In a byte-level vocabulary each character of a token stands for a byte.
+        self.lengths = None
+        if self.by_piece:
+            self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.lengths[i] = len(token)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -41,6 +50,15 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces from the ids of their joined text, cut where a piece's bytes end."""
+        ids = np.frombuffer(self._ids(["".join(pieces)])[0], self.dtype)
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        bounds = [0, *(at * size).tolist()]
+        return {p: raw[a:b] for p, a, b in zip(pieces, bounds[:-1], bounds[1:], strict=True)}
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of each piece."""
         if len(self.young) > REMEMBERED:
@@ -52,7 +70,12 @@ class Encoder:
         unknown = [p for p in unknown if p not in known]
         long = [p for p in unknown if len(p) > LONGEST]
         short = [p for p in unknown if len(p) <= LONGEST]
-        young.update(zip(short, self._ids(short), strict=True))
+        # Most pieces start with white space and end without: many of them make one text.
+        inner = [p for p in short if p[0] in WHITE and p[-1] not in WHITE] if self.lengths is not None else []
+        for k in range(0, len(inner), TOGETHER):
+            young.update(self._together(inner[k : k + TOGETHER]))
+        rest = [p for p in short if p not in young]
+        young.update(zip(rest, self._ids(rest), strict=True))
         if not long:
             return young
         return young | dict(zip(long, self._ids(long), strict=True))

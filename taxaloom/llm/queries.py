@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaloom.llm import media, packing, token_output
+from taxaloom.llm import decontamination, language_id, line_dedup, media, near_duplicates, packing, secret_scan, substring_dedup, token_output, toxicity
 from taxaloom.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +40,67 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer(), separator_id=0, capacity=2048)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    words = {r.word: k for k, r in enumerate(secret_scan.corpus_words(docs, 20_000).collect(), 1)}
+    return secret_scan.scan(docs, words)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_model(docs))
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Fitted to the rows that aren't held out."""
+    return language_id.fit(language_id.sample(docs, language_id.crc_of_id("doc_id") % 4 != 2))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir), MAX_RATIO, MIN_PAGES, host_col="source")
+
+
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over raw pages, whose lines end at tags that break lines."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.regexp_extract("url", HOST, 1)
+    lines = F.regexp_replace("html", BREAKS, "\n")
+    return line_dedup.line_report(pages.select("page_id", host.alias("host"), lines.alias("html")), MAX_RATIO, MIN_PAGES, "host", "page_id", "html")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir), words=5, percent=75)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(documents(spark, sf_dir), window=13).digests()
+
+
+#: Lines on more than a tenth of a host's pages, and on five at least, are boilerplate.
+MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Host of a web address, and tags after which a page's next line begins.
+HOST = r"^[a-zA-Z]+://([^/:?#]+)"
+BREAKS = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/title|/ul|/nav|/article|/head|/script|/style)[^>]*>"
+
+_ALL = (op1_token_output, op2_secret_scan, op3_media_columns, op4_language_id, op5_best_fit_packing, op6_line_dedup, line_dedup_pages, op7_toxicity, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_media_columns, op5_best_fit_packing)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    limits = {"min_pages": MIN_PAGES, "max_ratio": MAX_RATIO}
+    pages = f"""(select page_id, regexp_extract(url, '{HOST}', 1) as host, regexp_replace(html, '{BREAKS}', chr(10), 'g') as html from pages)"""
+    return {
+        "op6_line_dedup": line_dedup.REPORT_SQL.format(table="documents", id="doc_id", host="source", text="text", **limits),
+        "line_dedup_pages": line_dedup.REPORT_SQL.format(table=pages, id="page_id", host="host", text="html", **limits),
+    }
