@@ -1 +1,3 @@
 """Queries over the driver tables, one module for each group of operators."""
+
+from taxaloom.plans import checklists, names, summaries  # noqa: F401
