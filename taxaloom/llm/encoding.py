@@ -22,10 +22,12 @@ UNSURE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 CUT = re.compile(r"[^ \t-\r](?=[ \t-\r])")
 CUT_CHARS = 1 << 19
 WHITE = " \t\n\r\x0b\x0c"
+#: Marks that may end a word, and the end of the letters that all libraries class alike.
+MARKS, PLAIN = ".,;:!?", "\u0250"
 #: Pieces encoded as one text.
 TOGETHER = 2048
 #: Pieces remembered in each of two generations, and characters of the longest.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 350_000, 48
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -46,6 +48,7 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,13 +64,17 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of each piece."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
         young, old = self.young, self.old
         unknown = [p for p in pieces if p not in young]
         known = {p: old[p] for p in unknown if p in old}
         young.update(known)
         unknown = [p for p in unknown if p not in known]
+        # A mark after a letter is a token run of its own: the word before it may be known already.
+        ended = [(p, core) for p in unknown if p[-1] in MARKS and (core := p.rstrip(MARKS)) and core[-1].isalpha() and core[-1] < PLAIN] if self.by_piece else []
+        if ended:
+            ids = self._learn({core for _, core in ended} | {p[len(core) :] for p, core in ended})
+            young.update({p: ids[core] + ids[p[len(core) :]] for p, core in ended})
+            unknown = [p for p in unknown if p not in young]
         long = [p for p in unknown if len(p) > LONGEST]
         short = [p for p in unknown if len(p) <= LONGEST]
         # Most pieces start with white space and end without: many of them make one text.
@@ -76,15 +83,24 @@ class Encoder:
             young.update(self._together(inner[k : k + TOGETHER]))
         rest = [p for p in short if p not in young]
         young.update(zip(rest, self._ids(rest), strict=True))
-        if not long:
-            return young
-        return young | dict(zip(long, self._ids(long), strict=True))
+        young.update(zip(long, self._ids(long), strict=True))
+        self.passing += long
+        return young
+
+    def _forget(self) -> None:
+        """Drops long pieces, and the older half of what is remembered when the newer one is full."""
+        for p in self.passing:
+            self.young.pop(p, None)
+        self.passing.clear()
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
 
     def _whole(self, text: str) -> bool:
         return not self.by_piece or any(s in text for s in self.special) or UNSURE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. The memory used follows the longest text and ``text_groups``."""
+        self._forget()
         out: list[bytes] = [b""] * len(texts)
         pieces: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
@@ -100,6 +116,7 @@ class Encoder:
         return [np.frombuffer(x, self.dtype) for x in out]
 
     def _part(self, part: str) -> bytes:
+        self._forget()
         found = PIECE.findall(part)
         ids = self._learn(set(found))
         return b"".join([ids[p] for p in found])

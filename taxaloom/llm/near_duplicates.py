@@ -7,8 +7,8 @@
    star-shaped candidate links, each member to the smallest member, so their number follows the members.
 3. Candidates are confirmed on full sets, and confirmed links make components.
 4. A star misses a link of two members that aren't both near the centre. So buckets that still hold several
-   components offer new stars around other centres, and at last all their pairs across components whose
-   signatures allow the link. A group of copies is one component by then and offers nothing.
+   components are compared in tiles of bounded size: inside a tile numpy compares signatures across components, and
+   what may reach the similarity is confirmed on full sets. Only links leave a tile, never pairs.
 
 Two documents at a similarity of 0.75 share no bucket with a chance of about 5e-6 (32 bands of 4 bins).
 
@@ -19,7 +19,7 @@ kept; repeated rows are each returned; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,10 @@ from taxaloom.llm.common import U64, mix, ngram_hashes, shared_dir, ship, signed
 from taxaloom.llm.components import connected_components
 
 BINS, BAND = 128, 4
-#: Of 128 bins two sets at a similarity of 0.75 agree in 96, give or take 4.9; fewer than this is 6.5 deviations off.
-LEAST_AGREEING = 64
-#: Rounds of stars before all pairs across components.
-STAR_ROUNDS = 2
+#: Of 128 bins two sets at a similarity of 0.75 agree in 96, give or take 4.9; fewer than this is 4.9 deviations off.
+LEAST_AGREEING = 72
+#: Members of one bucket that are compared as one block; a tile holds two blocks.
+BLOCK = 1024
 SIGNED = "doc_id long, n_shingles long, fp struct<a: long, b: long>, bands array<long>, bins binary"
 _FP = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -145,10 +145,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     # the many rows of one key on the other side.
     node = F.min("doc_id").alias("node")
     nodes = stored(known.groupBy("fp", "n_shingles").agg(node, F.first("bands").alias("bands"), F.first("bins").alias("bins")), folder, "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     shared = stored(shared.select("bucket", "centre"), folder, "shared")
-    members = stored(member.join(shared, "bucket").select("bucket", "centre", "node"), folder, "members")
+    members = stored(member.join(shared, "bucket").select("bucket", "band", "centre", "node"), folder, "members")
     wanted = members.select("node").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     sets = stored(_sets(source.join(wanted, "node", "left_semi"), words), folder, "sets")
@@ -156,43 +156,86 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_confirmed(pairs, sets, limit), folder, "links-0")
-    for k in range(1, STAR_ROUNDS + 2):
-        groups = stored(connected_components(links, folder, f"components-{k}"), folder, f"components-{k}")
-        # Members of the buckets that hold more than one component.
-        placed = members.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        several = stored(several, folder, f"several-{k}")
-        open_ = stored(placed.join(several, "bucket"), folder, f"open-{k}")
-        if not open_.take(1):
-            break
-        if k <= STAR_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(k), "node"), "node", "component")
-            centres = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.component").alias("ca"))
-            new = open_.join(stored(centres, folder, f"centres-{k}"), "bucket").where("component <> ca").select("a", F.col("node").alias("b"))
-        else:
-            left = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-            new = left.join(open_.withColumnRenamed("node", "b"), "bucket").where("ca < component").select("a", "b")
-        new = _able(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, percent)
-        more = _confirmed(new, sets, limit)
-        links = stored(links.unionByName(more), folder, f"links-{k}")
-    groups = stored(connected_components(links, folder, "components-end"), folder, "components-end")
+    groups = stored(connected_components(links, folder, "components-1"), folder, "groups-1")
+    more = _links_across(members, nodes, groups, sets, percent, folder)
+    links = stored(links.unionByName(more), folder, "links-1")
+    groups = stored(connected_components(links, folder, "components-2"), folder, "groups-2")
 
     of_set = nodes.join(groups, "node", "left").select("fp", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     by_doc = known.select("doc_id", "fp", "n_shingles").join(stored(of_set, folder, "of-set"), ["fp", "n_shingles"])
     return _result(every, by_doc)
 
 
-def _able(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and signatures allow the similarity."""
-    short = nodes.select("node", "n_shingles", "bins")
-    both = pairs.join(short.toDF("a", "na", "xa"), "a").join(short.toDF("b", "nb", "xb"), "b").where(100 * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
-
-    return both.select("a", "b", "xa", "xb").mapInArrow(agree, "a long, b long")
+_TILE = ["bucket", "i", "j"]
+
+
+def _links_across(members: DataFrame, nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Links between components that share a bucket."""
+    placed = members.select("bucket", "band", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    several = stored(several.where("lo < hi").select("bucket", "blocks"), folder, "several")
+    # A member meets every block of its bucket once: blocks i <= j make a tile.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    open_ = placed.join(several, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = open_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component")
+    tiles = stored(tiles.join(nodes.select("node", "n_shingles", "bins"), "node"), folder, "tiles")
+    near = tiles.groupBy(*_TILE).applyInArrow(_near_members(percent), tiles.schema)
+    full = stored(near, folder, "near").join(sets, "node")
+    return full.groupBy(*_TILE).applyInArrow(_tile_links(percent), "a long, b long").distinct()
+
+
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a tile with those after it that it may be linked with: another component, sizes and signatures that
+    allow the similarity, no earlier band that both share (that band's bucket has the pair)."""
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    component, size, block = (table.column(c).to_numpy() for c in ("component", "n_shingles", "block"))
+    band, across = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    for k in range(len(bins) - 1):
+        low, high = np.minimum(size[k], size[k + 1 :]), np.maximum(size[k], size[k + 1 :])
+        ok = (component[k + 1 :] != component[k]) & (100 * low >= percent * high)
+        if across:
+            ok &= block[k + 1 :] != block[k]
+        able = np.flatnonzero(ok) + k + 1
+        if not len(able):
+            continue
+        same = bins[able] == bins[k]
+        able, same = able[(n := same.sum(axis=1)) >= LEAST_AGREEING], same[n >= LEAST_AGREEING]
+        first = same.reshape(len(able), BINS // BAND, BAND).all(axis=2).argmax(axis=1)
+        if len(able := able[first == band]):
+            yield k, able
+
+
+def _near_members(percent: int) -> Callable:
+    def find(table: pa.Table) -> pa.Table:
+        """The members of a tile that may be linked with another."""
+        wanted = np.zeros(table.num_rows, bool)
+        for k, able in _candidates(table, percent):
+            wanted[k] = True
+            wanted[able] = True
+        return table.filter(pa.array(wanted))
+
+    return find
+
+
+def _tile_links(percent: int) -> Callable:
+    def find(table: pa.Table) -> pa.Table:
+        """Links of a tile's members, on their full sets."""
+        shingles = table.column("shingles").combine_chunks()
+        at, values = shingles.offsets.to_numpy(), shingles.values.to_numpy().view(U64)
+        node = table.column("node").to_numpy()
+        found = []
+        for k, able in _candidates(table, percent):
+            own = values[at[k] : at[k + 1]]
+            others = [values[at[i] : at[i + 1]] for i in able]
+            joint = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, joint), len(own) - 1)] == joint
+            n = np.array([len(x) for x in others])
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+            for i in able[100 * shared >= percent * (len(own) + n - shared)]:
+                found.append((min(node[k], node[i]), max(node[k], node[i])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return find
 
 
 def _result(every: DataFrame, by_doc: DataFrame) -> DataFrame:

@@ -41,11 +41,13 @@ ANCHOR = 4
 #: Occurrences from which the windows of an anchor go to shards of their own.
 HOT = 4096
 #: Anchors or segment words that a worker gathers before it sends a block.
-BLOCK_ANCHORS, BLOCK_WORDS = 2_000_000, 3_000_000
+BLOCK_ANCHORS, BLOCK_WORDS = 2_000_000, 5_000_000
 #: Rows of one batch handled at once.
 STEP = 256
 #: Bits of an anchor that are compared; a chance collision only makes a segment that matches nothing.
 KEY_BITS = 52
+#: Bits of a word's hash in segments: windows that differ in a word are taken for equal with a chance of 2^-48.
+WORD = U64((1 << 48) - 1)
 _PART = 33  # bits of a row's number below its partition's in monotonically_increasing_id
 
 
@@ -175,7 +177,8 @@ class _Segments:
     def pack(self) -> bytes:
         vocabulary, codes = np.unique(np.concatenate(self.words), return_inverse=True)
         k, row, doc, start = (np.array(x, np.int64) for x in zip(*self.where, strict=True))
-        return _pack(np.diff(vocabulary, prepend=U64(0)), codes.astype(np.uint32), np.array([len(w) for w in self.words], np.uint16), k.astype(np.uint32), row, doc, start.astype(np.uint32))
+        near = [np.diff(x, prepend=0) for x in (row, doc)]
+        return _pack(np.diff(vocabulary, prepend=U64(0)), codes.astype(np.uint32), np.array([len(w) for w in self.words], np.uint16), k.astype(np.uint32), *near, start.astype(np.uint32))
 
 
 def _send_segments(path: str, window: int, shards: int) -> Callable:
@@ -199,7 +202,7 @@ def _send_segments(path: str, window: int, shards: int) -> Callable:
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             wanted = np.flatnonzero(keys[at] == key)
             shard = (mix(key[wanted]) % U64(shards)).astype(np.int64).tolist()
-            each = None
+            each, words = None, words & WORD
             for i, s in zip(wanted.tolist(), shard, strict=True):
                 a, n = int(first[i]), int(count[i])
                 if not hot[at[i]]:
@@ -227,8 +230,8 @@ def _repeats(window: int) -> Callable:
             texts.append(np.searchsorted(vocabulary, np.cumsum(words, dtype=U64))[codes] + 1)
             lengths.append(length.astype(np.int64))
             ks.append(k.astype(np.int64) + base)
-            rows.append(row)
-            docs.append(doc)
+            rows.append(np.cumsum(row))
+            docs.append(np.cumsum(doc))
             starts.append(start.astype(np.int64))
             base += len(length)
         text, length, k, row, doc, start = map(np.concatenate, (texts, lengths, ks, rows, docs, starts))

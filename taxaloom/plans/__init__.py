@@ -1,3 +1,3 @@
 """Queries over the driver tables, one module for each group of operators."""
 
-from taxaloom.plans import checklists, names, niches, places, summaries  # noqa: F401
+from taxaloom.plans import checklists, names, niches, places, statistics, summaries, tables  # noqa: F401
