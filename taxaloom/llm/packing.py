@@ -31,7 +31,7 @@ from taxaloom.llm.encoding import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
 #: Rounds of multiplicative weights and the step of a price.
-ROUNDS, STEP = 400, 0.15
+ROUNDS, STEP = 400, 1.0
 #: The least share of a sequence that a configuration of the rounded program fills.
 FULL = 0.98
 
@@ -89,7 +89,8 @@ def best_configuration(prices: np.ndarray, capacity: int) -> Counter[int]:
 def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (lengths, longest first) with how many sequences use each. demand[l]: pieces of length l.
 
-    Every piece is placed: the rounded program first, then best-fit decreasing over what it left.
+    Every piece is placed: the rounded program first, then best-fit decreasing over what it left. If best-fit decreasing
+    over everything needs fewer sequences, its plan is taken instead.
     """
     demand = demand.astype(np.int64)
     plan: Counter[tuple[int, ...]] = Counter()
@@ -113,8 +114,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float =
                 covered[n] += units * k
                 price[n] *= np.exp(-step * units * k / share[n])
         counts = {c: u * left.max() for c, u in used.items()}
-        over = covered[wanted] * left.max() / left[wanted]
-        scale = 1 / max(over.max(), 1e-12)
+        # Scaled so that demand is met on average; a configuration stops where one of its lengths runs out.
+        scale = left[wanted].sum() / max((covered[wanted] * left.max()).sum(), 1e-12)
         for c, u in sorted(counts.items(), key=lambda x: -x[1]):
             own = Counter(c)
             whole = min(int(u * scale), *(int(left[n]) // k for n, k in own.items()))
@@ -124,6 +125,10 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float =
                     left[n] -= whole * k
     for c, n in best_fit(left, capacity).items():
         plan[c] += n
+    # Few rounds over many lengths may leave the program short of its optimum: best fit alone is the yardstick.
+    plain = best_fit(demand, capacity)
+    if sum(plain.values()) < sum(plan.values()):
+        plan = plain
     return sorted(plan.items(), key=lambda x: (-sum(x[0]), x[0]))
 
 
