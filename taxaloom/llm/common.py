@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from taxaloom.package import ship
+
+__all__ = ["ngram_hashes", "mix", "shared_dir", "ship", "signed", "stored", "text_bytes", "text_groups", "word_hashes", "word_spans"]
+
 #: Separators of a word: space and the control characters 9 to 13.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text handled at once; a longer word or document enlarges its own block only.
@@ -49,20 +50,6 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors, once per Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_taxaloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "taxaloom.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted((root / "taxaloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(archive)
-    sc._taxaloom_shipped = True
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of splitmix64."""
     h = h.astype(U64, copy=True)

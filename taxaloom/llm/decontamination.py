@@ -6,7 +6,7 @@ the text's q-grams among the segments', count hits of each segment in overlappin
 k wide, keep bands that reach the bound, and verify them by banded alignment with free ends in the text. Documents
 are only read, never shuffled; the benchmark comes in blocks of bounded size, each broadcast in its turn.
 
-Characters compare in lower case (A-Z) and all ASCII white space as a space. A leak is a segment within its budget,
+Characters compare in lower case (up to U+05FF) and all ASCII white space as a space. A leak is a segment within its budget,
 so a passage of at least 1.5 segments is found whatever its cut; a shorter item is one segment.
 
 Defined cases: a null or empty text or item has no leaks, neither has an item of fewer than ``min_chars``; null ids are
@@ -33,7 +33,7 @@ Q, SEGMENT, RATE = 10, 80, 0.06
 BLOCK_CHARS = 8 << 20
 
 _FOLD = np.arange(0x110000, dtype=np.uint32)
-_FOLD[ord("A") : ord("Z") + 1] += 32
+_FOLD[: 0x600] = [ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x600)]
 _FOLD[9:14] = 32
 _POWER = U64(0x9FB21C651E98DF25)
 
