@@ -92,7 +92,7 @@ def sentence_case(c: Column) -> Column:
 
 def wrapped(c: Column, width: int) -> Column:
     """Lines of at most ``width`` characters, cut at spaces."""
-    return F.rtrim(F.regexp_replace(c, rf"(.{{1,{width}}})(\s+|$)", "$1\n"))
+    return F.regexp_replace(F.regexp_replace(c, rf"(.{{1,{width}}})(\s+|$)", "$1\n"), r"\n$", "")
 
 
 def coordinate_text(c: Column) -> Column:
