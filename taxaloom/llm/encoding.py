@@ -27,11 +27,27 @@ MARKS, PLAIN = ".,;:!?", "\u0250"
 #: Pieces encoded as one text.
 TOGETHER = 2048
 #: Pieces remembered in each of two generations, and characters of the longest.
-REMEMBERED, LONGEST = 350_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of known pieces. Asked for an unknown one, it gives an empty array that ``learn`` fills later."""
+
+    def __init__(self, old: dict[str, bytes]) -> None:
+        super().__init__()
+        self.old, self.new = old, []
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = bytearray()
+            self.new.append(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, tokenizer_json: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -39,87 +55,91 @@ class Encoder:
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("truncation")
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.known = Pieces({})
         # In a byte-level vocabulary each character of a token stands for a byte.
-        self.lengths = None
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         if self.by_piece:
-            self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.passing: list[str] = []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, pieces: list[str]) -> dict[str, bytes]:
+    def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces from the ids of their joined text, cut where a piece's bytes end."""
         ids = np.frombuffer(self._ids(["".join(pieces)])[0], self.dtype)
         ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
         at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        bounds = [0, *(at * size).tolist()]
-        return {p: raw[a:b] for p, a, b in zip(pieces, bounds[:-1], bounds[1:], strict=True)}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece."""
-        young, old = self.young, self.old
-        unknown = [p for p in pieces if p not in young]
-        known = {p: old[p] for p in unknown if p in old}
-        young.update(known)
-        unknown = [p for p in unknown if p not in known]
+        raw, bounds = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
+
+    def _learn(self) -> list[str]:
+        """Fills in the ids of all new pieces and returns these."""
+        known, new = self.known, self.known.new
+        known.new = []
         # A mark after a letter is a token run of its own: the word before it may be known already.
-        ended = [(p, core) for p in unknown if p[-1] in MARKS and (core := p.rstrip(MARKS)) and core[-1].isalpha() and core[-1] < PLAIN] if self.by_piece else []
-        if ended:
-            ids = self._learn({core for _, core in ended} | {p[len(core) :] for p, core in ended})
-            young.update({p: ids[core] + ids[p[len(core) :]] for p, core in ended})
-            unknown = [p for p in unknown if p not in young]
-        long = [p for p in unknown if len(p) > LONGEST]
-        short = [p for p in unknown if len(p) <= LONGEST]
+        ended, plain = [], []
+        for p in new:
+            if p[-1] in MARKS and (core := p.rstrip(MARKS)) and core[-1].isalpha() and core[-1] < PLAIN:
+                ended.append((p, known[core], known[p[len(core) :]]))
+            else:
+                plain.append(p)
+        added, known.new = known.new, []
         # Most pieces start with white space and end without: many of them make one text.
-        inner = [p for p in short if p[0] in WHITE and p[-1] not in WHITE] if self.lengths is not None else []
+        inner, rest = [], []
+        for p in [*plain, *added]:
+            (inner if p[0] in WHITE and p[-1] not in WHITE else rest).append(p)
         for k in range(0, len(inner), TOGETHER):
-            young.update(self._together(inner[k : k + TOGETHER]))
-        rest = [p for p in short if p not in young]
-        young.update(zip(rest, self._ids(rest), strict=True))
-        young.update(zip(long, self._ids(long), strict=True))
-        self.passing += long
-        return young
-
-    def _forget(self) -> None:
-        """Drops long pieces, and the older half of what is remembered when the newer one is full."""
-        for p in self.passing:
-            self.young.pop(p, None)
-        self.passing.clear()
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+            part = inner[k : k + TOGETHER]
+            for p, ids in zip(part, self._together(part), strict=True):
+                known[p] += ids
+        for p, ids in zip(rest, self._ids(rest), strict=True):
+            known[p] += ids
+        for p, core, mark in ended:
+            known[p] += core + mark
+        return new + added
+
+    def _keep(self, learned: list[str]) -> None:
+        """Remembers short pieces, and drops the older half of all when the newer one is full."""
+        known = self.known
+        for p in learned:
+            if len(p) <= LONGEST:
+                known[p] = bytes(known[p])
+            else:
+                del known[p]
+        if len(known) > REMEMBERED:
+            known.old = {}
+            self.known = Pieces(dict(known))
 
     def _whole(self, text: str) -> bool:
         return not self.by_piece or any(s in text for s in self.special) or UNSURE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. The memory used follows the longest text and ``text_groups``."""
-        self._forget()
         out: list[bytes] = [b""] * len(texts)
-        pieces: dict[int, list[str]] = {}
+        parts: dict[int, list[bytes | bytearray]] = {}
+        look = self.known.__getitem__
         for i, text in enumerate(texts):
             if self._whole(text):
                 out[i] = self._ids([text])[0]
-            elif len(text) > CUT_CHARS:
+            elif len(text) <= CUT_CHARS:
+                parts[i] = list(map(look, PIECE.findall(text)))
+        learned = self._learn()
+        for i, found in parts.items():
+            out[i] = b"".join(found)
+        self._keep(learned)
+        for i, text in enumerate(texts):
+            if len(text) > CUT_CHARS and not out[i]:
                 out[i] = b"".join(self._part(part) for part in cuts(text))
-            else:
-                pieces[i] = PIECE.findall(text)
-        ids = self._learn(set().union(*pieces.values()))
-        for i, found in pieces.items():
-            out[i] = b"".join([ids[p] for p in found])
         return [np.frombuffer(x, self.dtype) for x in out]
 
     def _part(self, part: str) -> bytes:
-        self._forget()
-        found = PIECE.findall(part)
-        ids = self._learn(set(found))
-        return b"".join([ids[p] for p in found])
+        found = list(map(self.known.__getitem__, PIECE.findall(part)))
+        learned = self._learn()
+        ids = b"".join(found)
+        self._keep(learned)
+        return ids
 
 
 def cuts(text: str):
