@@ -25,9 +25,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import U64, mix, ship, text_groups
+from taxaloom.llm.common import M1, U64, ship, text_groups
 
-#: q-grams, characters of a segment, and edits allowed for each character.
+#: q-grams (their hash is put together for this Q), characters of a segment, and edits allowed for each character.
 Q, SEGMENT, RATE = 10, 80, 0.06
 #: Characters of the items in one broadcast block.
 BLOCK_CHARS = 8 << 20
@@ -35,7 +35,9 @@ BLOCK_CHARS = 8 << 20
 _FOLD = np.arange(0x110000, dtype=np.uint32)
 _FOLD[: 0x600] = [ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x600)]
 _FOLD[9:14] = 32
-_POWER = U64(0x9FB21C651E98DF25)
+_POWERS = {k: U64(pow(0x9FB21C651E98DF25, k, 1 << 64)) for k in (1, 2, 4)}
+#: Bits of a hash in the bitmap that most q-grams of a text end at.
+MAYBE_BITS = 22
 
 
 def folded(text: str) -> np.ndarray:
@@ -43,16 +45,20 @@ def folded(text: str) -> np.ndarray:
 
 
 def qgrams(chars: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram at each place."""
+    """Polynomial hash of the q-gram at each place, put together from those of 2, 4 and 8 characters."""
     n = len(chars) - Q + 1
     if n <= 0:
         return np.zeros(0, U64)
-    wide = chars.astype(U64)
-    total = np.zeros(n, U64)
-    for j in range(Q):
-        total *= _POWER
-        total += wide[j : j + n]
-    return mix(total)
+    one = chars.astype(U64)
+    two = one[:-1] * _POWERS[1] + one[1:]
+    four = two[:-2] * _POWERS[2] + two[2:]
+    total = four[:n] * _POWERS[4] + four[4 : 4 + n]
+    return total * _POWERS[2] + two[8 : 8 + n]
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    """Place of a hash in the bitmap: the high bits of a product."""
+    return (grams * M1) >> U64(64 - MAYBE_BITS)
 
 
 @dataclass
@@ -79,9 +85,9 @@ class Items:
 
     @cached_property
     def maybe(self) -> np.ndarray:
-        """A bitmap of the hashes' low 22 bits: most q-grams of a text end here."""
-        bits = np.zeros(1 << 22, bool)
-        bits[(self.table[0] & U64((1 << 22) - 1)).astype(np.int64)] = True
+        """A bitmap over the hashes: most q-grams of a text end here."""
+        bits = np.zeros(1 << MAYBE_BITS, bool)
+        bits[_slot(self.table[0])] = True
         return bits
 
 
@@ -145,7 +151,7 @@ def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]
         return []
     distinct, first, count, segment, place = items.table
     grams = qgrams(chars)
-    at = np.flatnonzero(items.maybe[(grams & U64((1 << 22) - 1)).astype(np.int64)])
+    at = np.flatnonzero(items.maybe[_slot(grams)])
     slot = np.minimum(np.searchsorted(distinct, grams[at]), len(distinct) - 1)
     ok = distinct[slot] == grams[at]
     at, slot = at[ok], slot[ok]
@@ -169,6 +175,11 @@ def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]
     found: dict[int, list[tuple[int, int, int, int]]] = {}
     for s, band in key[hits >= np.maximum(1, items.least[key[:, 0]])].tolist():
         k, pattern = int(items.budget[s]), items.chars[s]
+        # No edits at all need no alignment; the next band, which overlaps this one, often holds the same.
+        exact = next((d for d in range(max(0, band * (k + 1)), min(len(chars) - len(pattern), (band + 2) * (k + 1) - 1) + 1) if chars[d] == pattern[0] and (chars[d : d + len(pattern)] == pattern).all()), None)
+        if exact is not None:
+            found.setdefault(int(items.item[s]), []).append((exact, exact + len(pattern), 0, s))
+            continue
         low, high = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k
         a, b = max(0, low), min(len(chars), high + len(pattern) + k)
         hit = banded_alignment(pattern, chars[a:b], low - a, high - a, k)
