@@ -178,7 +178,7 @@ def _links_across(members: DataFrame, nodes: DataFrame, groups: DataFrame, sets:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     open_ = placed.join(several, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = open_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component")
-    tiles = stored(tiles.join(nodes.select("node", "n_shingles", "bins"), "node"), folder, "tiles")
+    tiles = stored(tiles.join(nodes.select("node", "n_shingles", "bins", "bands"), "node"), folder, "tiles")
     near = tiles.groupBy(*_TILE).applyInArrow(_near_members(percent), tiles.schema)
     full = stored(near, folder, "near").join(sets, "node")
     return full.groupBy(*_TILE).applyInArrow(_tile_links(percent), "a long, b long").distinct()
@@ -186,8 +186,10 @@ def _links_across(members: DataFrame, nodes: DataFrame, groups: DataFrame, sets:
 
 def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each member of a tile with those after it that it may be linked with: another component, sizes and signatures that
-    allow the similarity, no earlier band that both share (that band's bucket has the pair)."""
+    allow the similarity, no earlier band that both share (that band's bucket has the pair). Bands are compared by the whole
+    hashes that make the buckets; low bytes of bins agree by chance."""
     bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BINS // BAND)
     component, size, block = (table.column(c).to_numpy() for c in ("component", "n_shingles", "block"))
     band, across = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
     for k in range(len(bins) - 1):
@@ -198,9 +200,8 @@ def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray
         able = np.flatnonzero(ok) + k + 1
         if not len(able):
             continue
-        same = bins[able] == bins[k]
-        able, same = able[(n := same.sum(axis=1)) >= LEAST_AGREEING], same[n >= LEAST_AGREEING]
-        first = same.reshape(len(able), BINS // BAND, BAND).all(axis=2).argmax(axis=1)
+        able = able[(bins[able] == bins[k]).sum(axis=1) >= LEAST_AGREEING]
+        first = (bands[able] == bands[k]).argmax(axis=1)
         if len(able := able[first == band]):
             yield k, able
 

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -332,6 +333,21 @@ def test_near_duplicates_of_chains_and_groups_that_share_passages(spark, monkeyp
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_tile_keeps_a_pair_whose_low_bytes_agree_in_an_earlier_band():
+    """Band 0 agrees in the low bytes only, so the bucket of band 1 is the first that holds the pair."""
+    a, b = np.arange(near_duplicates.BINS, dtype=np.uint64), np.arange(near_duplicates.BINS, dtype=np.uint64)
+    b[0] += np.uint64(256)
+    bands = [near_duplicates.signed(near_duplicates.ngram_rows(x.reshape(-1, near_duplicates.BAND))).tolist() for x in (a, b)]
+    bins = [(x & np.uint64(255)).astype(np.uint8).tobytes() for x in (a, b)]
+    assert bins[0] == bins[1] and [x == y for x, y in zip(*bands, strict=True)][:2] == [False, True]
+
+    def near(band: int) -> int:
+        tile = {"bucket": [bands[0][band]] * 2, "i": [0, 0], "j": [0, 0], "band": [band] * 2, "block": [0, 0], "node": [1, 2], "component": [1, 2], "n_shingles": [200, 200], "bins": bins, "bands": bands}
+        return near_duplicates._near_members(75)(pa.table(tile)).num_rows
+
+    assert [near(1), near(2)] == [2, 0]
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     both = rng.integers(0, 1 << 63, 600).astype(np.uint64)
