@@ -172,6 +172,27 @@ def test_niche_overlap_of_equal_and_disjoint_sets(spark, shift, low, high):
     assert low <= out.jaccard <= out.sorensen <= 1 and out.jaccard <= high
 
 
+def test_niches_are_sampled_by_the_plan_of_each_species(spark, monkeypatch):
+    from taxaloom.plans import niches
+
+    df = niche_of(spark, 100.0).where("species = 'a' or id < 'b3'")
+    plan = niche.sampling_plan(niche.dimensionality_gate(df, "species", 4), 0)
+    dims = ("x", "y", "z", "w")
+    widths = niche.bandwidths(df, "species", dims).join(plan.select("species", "samples_per_point"), "species")
+    points = niche.sample_points(df, widths, "species", "id", dims, "samples_per_point", 1)
+    assert got(points.groupBy("species").count()) == got(plan.select("species", "random_points"))
+    volume = {r.species: r.volume for r in niche.volumes(niche.covering(points, df, widths, "species", "pt", dims), widths, "species", dims, "samples_per_point").collect()}
+    fixed = niche.sample_points(df, widths, "species", "id", dims, 40, 2)
+    for r in niche.volumes(niche.covering(fixed, df, widths, "species", "pt", dims), widths, "species", dims, 40).collect():
+        assert volume[r.species] == pytest.approx(r.volume, rel=0.15)
+
+    made, sample = [], niche.sample_points
+    monkeypatch.setattr(niche, "sample_points", lambda *a: made.append(sample(*a)) or made[-1])
+    niches.n12(spark, "/root/testdata/sf0.001")
+    counts = [r["count"] for r in made[0].groupBy("species").count().collect()]
+    assert len(counts) > 1 and min(counts) >= 100_000
+
+
 def test_gate_opens_above_exp_d(spark):
     n = math.exp(4)
     df = spark.createDataFrame([("no", i) for i in range(math.floor(n))] + [("yes", i) for i in range(math.ceil(n))], "s string, i int")
