@@ -18,6 +18,9 @@ from taxaloom.package import ship
 
 Columns = Sequence[str]
 
+#: About so many rows of a permutation are ordered by one task.
+PART_ROWS = 100_000
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
@@ -143,15 +146,22 @@ def rank_sum(df: DataFrame, value: str, in_first: Column) -> DataFrame:
 def permanova(df: DataFrame, columns: Columns, group: str, row_id: str, permutations: int, seed: int) -> DataFrame:
     """Pseudo-F, R2 and p of groups on Euclidean distances, from sums of squares: no distance matrix.
 
-    A permutation deals the group labels in the order of hashed ids. Rows need a total order for that, which is local to
-    each permutation: ranks within (permutation), so permutations run in parallel.
+    A permutation deals the group labels in the order of hashed ids. The first bits of the hash split the order of a
+    permutation into equal parts of about PART_ROWS rows; a row's rank is its rank in its part and the rows of the
+    parts before it, so no task sorts a whole permutation.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     upto = Window.orderBy(group)
     ranges = sizes.select(F.col(group).alias("_g"), F.sum("n").over(upto).alias("_hi"), (F.sum("n").over(upto) - F.col("n")).alias("_lo"))
+    parts = max(1, -(-df.count() // PART_ROWS))
     spread = df.select(row_id, group, *columns).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(row_id).cast("string"))), row_id)
-    dealt = spread.withColumn("_r", F.row_number().over(order)).join(F.broadcast(ranges), (F.col("_r") > F.col("_lo")) & (F.col("_r") <= F.col("_hi")))
+    spread = spread.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(row_id).cast("string"))))
+    spread = spread.withColumn("_part", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
+    before = Window.partitionBy("perm").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = spread.groupBy("perm", "_part").agg(F.count("*").alias("_n")).select("perm", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    local = F.row_number().over(Window.partitionBy("perm", "_part").orderBy("_h", row_id))
+    ranked = spread.withColumn("_local", local).join(ahead, ["perm", "_part"]).withColumn("_r", F.col("_ahead") + F.col("_local"))
+    dealt = ranked.join(F.broadcast(ranges), (F.col("_r") > F.col("_lo")) & (F.col("_r") <= F.col("_hi")))
     label = F.when(F.col("perm") == 0, F.col(group)).otherwise(F.col("_g"))
     sums = dealt.groupBy("perm", label.alias("label")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in columns], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns])
     square = sum((F.pow(F.col(f"s_{c}"), 2) for c in columns[1:]), F.pow(F.col(f"s_{columns[0]}"), 2))

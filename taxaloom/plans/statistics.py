@@ -82,7 +82,7 @@ def _perm_rows(s, d):
 
 @query("M6_permanova_p")
 def m6p(s, d):
-    return _round(stats.permanova(_perm_rows(s, d), ["x", "y"], "g", "id", 99, 12034))
+    return _round(stats.permanova(_perm_rows(s, d), ["x", "y"], "g", "id", 999, 12034))
 
 
 @query("M7_latitude_effect", sql("occ", body="select floor(abs(lat) / 10)::bigint as band, count(*) as n, round(count_if(bio3 = 0) / count(*), 8) as zero_share, round(avg(case when bio3 > 0 then bio3 end), 6) as mean_positive from occ group by 1"))

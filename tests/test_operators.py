@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
@@ -217,6 +218,37 @@ def test_rank_sum_of_separate_groups(spark):
     assert r.u == 0 and r.p < 1e-6
 
 
+def test_permanova_ranks_in_parts_like_one_order(spark, monkeypatch):
+    rows = [(i, i % 3, float(i % 7), float(i * i % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, y double")
+
+    def f(labels: list[int]) -> float:
+        square = lambda own: sum(sum(v) ** 2 / len(v) for v in ([r[2] for r in own], [r[3] for r in own]))
+        between = sum(square([r for r, g in zip(rows, labels, strict=True) if g == k]) for k in range(3)) - square(rows)
+        total = sum(r[2] ** 2 + r[3] ** 2 for r in rows) - square(rows)
+        return between / 2 / ((total - between) / 57)
+
+    real, least = f([r[1] for r in rows]), 0
+    for perm in range(1, 40):
+        order = sorted(range(60), key=lambda i: hashlib.md5(f"5|{perm}|{i}".encode()).hexdigest())
+        labels = [0] * 60
+        for rank, i in enumerate(order):
+            labels[i] = rank // 20
+        least += f(labels) >= real
+    monkeypatch.setattr(stats, "PART_ROWS", 7)
+    out = stats.permanova(df, ["x", "y"], "g", "id", 39, 5).first()
+    assert out.pseudo_f == pytest.approx(real) and out.p == pytest.approx((1 + least) / 40)
+
+
+def test_permanova_query_has_999_permutations(spark, monkeypatch):
+    from taxaloom.plans import statistics
+
+    asked, plain = [], stats.permanova
+    monkeypatch.setattr(stats, "permanova", lambda *a: asked.append(a[4]) or plain(*a))
+    statistics.m6p(spark, "/root/testdata/sf0.001")
+    assert asked == [999]
+
+
 def test_schema_check(spark):
     df = spark.createDataFrame([("1",)], "taxonID string")
     with pytest.raises(ValueError):
