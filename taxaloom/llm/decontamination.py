@@ -1,15 +1,17 @@
 """Benchmark passages in documents, by q-gram lemma filtering (operator 8).
 
-Benchmark items are cut into overlapping segments. A text within k edits of a segment of m characters shares at least
-m - q + 1 - kq q-grams with it, near one diagonal (place in the text less place in the segment). Workers look up
-the text's q-grams among the segments', count hits of each segment in overlapping diagonal bands at least
-k wide, keep bands that reach the bound, and verify them by banded alignment with free ends in the text. Documents
-are only read, never shuffled; the benchmark comes in blocks of bounded size, each broadcast in its turn.
-
-Characters compare in lower case (up to U+05FF) and all ASCII white space as a space. A leak is a segment within its budget,
-so a passage of at least 1.5 segments is found whatever its cut; a shorter item is one segment.
-
-Defined cases: a null or empty text or item has no leaks, neither has an item of fewer than ``min_chars``; null ids are
+A leak is a window of SEGMENT characters anywhere in an item, or the whole of an item of up to 1.5 times as many, within
+its budget of k edits.
+A text within k edits of a window of m characters shares at least m - q + 1 - kq q-grams with it, near one diagonal (place
+in the text less place in the item). Workers look up the text's q-grams among the items', sort the hits of each item in
+overlapping diagonal bands at least k wide by place, keep the windows that reach the bound, and verify those by banded
+alignment with free ends in the text. Documents are only read, never shuffled; the benchmark comes in blocks of bounded
+size, each broadcast in its turn.
+
+Characters compare in lower case (up to U+05FF) and all ASCII white space as a space. An item of fewer than 20 characters
+has no budget; one of fewer than Q, which has no q-gram, is found where no letter or digit of the text goes on with it.
+
+Defined cases: a null or empty text or item has no leaks, neither has an item of blanks; null ids are
 kept; repeated rows are reported each; empty tables give an empty result; other columns are ignored or pass through.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from taxaloom.llm.common import M1, U64, ship, text_groups
 
-#: q-grams (their hash is put together for this Q), characters of a segment, and edits allowed for each character.
+#: q-grams (their hash is put together for this Q), characters of a window, and edits allowed for each character.
 Q, SEGMENT, RATE = 10, 80, 0.06
 #: Characters of the items in one broadcast block.
 BLOCK_CHARS = 8 << 20
@@ -63,25 +65,25 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Segments of one block of items, and their q-grams in order of hash."""
+    """Patterns of one block of items, each with its item, and their q-grams in order of hash."""
 
     ids: list[int | None]
     item: np.ndarray
-    start: np.ndarray
     chars: list[np.ndarray]
+    window: np.ndarray
     budget: np.ndarray
     least: np.ndarray
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, first entry and number of entries of each; segment and place of each entry."""
+        """Distinct hashes, first entry and number of entries of each; pattern and place of each entry."""
         grams = [qgrams(c) for c in self.chars]
-        key = np.concatenate(grams)
-        segment = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
+        key = np.concatenate([np.zeros(0, U64), *grams])
+        pattern = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
         order = np.argsort(key, kind="stable")
         distinct, first, count = np.unique(key[order], return_index=True, return_counts=True)
-        return distinct, first, count, segment[order], place[order]
+        return distinct, first, count, pattern[order], place[order]
 
     @cached_property
     def maybe(self) -> np.ndarray:
@@ -91,123 +93,187 @@ class Items:
         return bits
 
 
-def segments(rows: list[tuple[int | None, str | None]], min_chars: int = 40) -> Items:
-    ids, item, start, chars = [], [], [], []
+    @cached_property
+    def tiny(self) -> dict[int, dict[bytes, list[int]]]:
+        """Patterns without a q-gram by their length and characters."""
+        out: dict[int, dict[bytes, list[int]]] = {}
+        for i, c in enumerate(self.chars):
+            if len(c) < Q:
+                out.setdefault(len(c), {}).setdefault(c.tobytes(), []).append(i)
+        return out
+
+
+def block_of(rows: list[tuple[int | None, str | None]]) -> Items:
+    ids, item, chars, sizes = [], [], [], []
     for doc, text in rows:
         whole = folded(text or "")
         n = len(whole)
-        if n < max(min_chars, Q):
+        if not (whole != 32).any():
             continue
-        size = n if n <= 1.5 * SEGMENT else SEGMENT
-        for a in sorted({*range(0, n - size + 1, SEGMENT // 2), n - size}):
+        for size in {min(n, SEGMENT), n if n <= 1.5 * SEGMENT else SEGMENT}:
             item.append(len(ids))
-            start.append(a)
-            chars.append(whole[a : a + size])
+            chars.append(whole)
+            sizes.append(size)
         ids.append(doc)
-    lengths = np.array([len(c) for c in chars], np.int64)
-    budget = (lengths * RATE).astype(np.int64)
-    return Items(ids, np.array(item, np.int64), np.array(start, np.int64), chars, budget, lengths - Q + 1 - budget * Q)
+    window = np.array(sizes, np.int64)
+    # A window that its edits may leave without a q-gram can't be found by one.
+    budget = np.maximum(0, np.minimum((window * RATE).astype(np.int64), (window - Q) // Q))
+    return Items(ids, np.array(item, np.int64), chars, window, budget, window - Q + 1 - budget * Q)
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits of ``pattern`` against any part of ``text`` along diagonals low..high (text less pattern).
-
-    Returns (edits, start, end) in the text, or None above the budget.
-    """
-    width = high - low + 1
+def banded_alignments(patterns: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest edits of each row of ``patterns`` against any part of ``text`` along ``width`` diagonals from its ``low`` on
+    (text less pattern), and start and end in the text; edits above the budget are budget + 1."""
     far = budget + 1
-    diagonals = np.arange(low, high + 1)
-    inside = (diagonals >= 0) & (diagonals <= len(text))
-    cost = np.where(inside, 0, far)
+    diagonals = low[:, None] + np.arange(width)
+    cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
     start = diagonals.copy()
     step = np.arange(width)
-    for i, c in enumerate(pattern):
+    right = np.full((len(patterns), 1), far)
+    for i in range(patterns.shape[1]):
         at = diagonals + i
         ok = (at >= 0) & (at < len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[at[ok]] == c
+        same = ok & (text[np.where(ok, at, 0)] == patterns[:, i : i + 1])
         # Along the diagonal, or a pattern character without one in the text (from the next diagonal).
-        new, origin = np.where(ok, cost + ~same, far), start.copy()
-        gap = np.append(cost[1:] + 1, far)
+        new = np.where(ok, cost + ~same, far)
+        gap = np.concatenate([cost[:, 1:] + 1, right], axis=1)
         gap[(at + 1 < 0) | (at + 1 > len(text))] = far
         better = gap < new
-        new, origin = np.where(better, gap, new), np.where(better, np.append(start[1:], 0), origin)
+        new, origin = np.where(better, gap, new), np.where(better, np.concatenate([start[:, 1:], 0 * right], axis=1), start)
         # Text characters without one in the pattern: a running minimum along the band.
-        low_cost = np.minimum.accumulate(new - step)
-        source = np.maximum.accumulate(np.where(new - step == low_cost, step, 0))
-        cost, start = low_cost + step, origin[source]
-        if cost.min() > budget:
-            return None
-    ends = diagonals + len(pattern)
-    cost = np.where((ends >= 0) & (ends <= len(text)), cost, far)
-    k = int(cost.argmin())
-    return (int(cost[k]), int(start[k]), int(ends[k])) if cost[k] <= budget else None
+        low_cost = np.minimum.accumulate(new - step, axis=1)
+        source = np.maximum.accumulate(np.where(new - step == low_cost, step, 0), axis=1)
+        cost, start = low_cost + step, np.take_along_axis(origin, source, axis=1)
+        if cost.min(initial=far) > budget:
+            break
+    ends = diagonals + patterns.shape[1]
+    cost = np.minimum(np.where((ends >= 0) & (ends <= len(text)), cost, far), far)
+    k, rows = cost.argmin(axis=1), np.arange(len(patterns))
+    return cost[rows, k], start[rows, k], ends[rows, k]
 
 
-def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]:
-    """Leaks in one text: item id, start, end, fewest edits of a segment and characters of the item found, one row for each place."""
-    chars = folded(text)
-    if not items.chars or len(chars) < Q:
-        return []
-    distinct, first, count, segment, place = items.table
+def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of one pattern along diagonals low..high, or None above the budget."""
+    edits, start, end = (int(x[0]) for x in banded_alignments(pattern[None], text, np.array([low]), high - low + 1, budget))
+    return (edits, start, end) if edits <= budget else None
+
+
+def _candidates(chars: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pattern, band, diagonals of its hits, and which windows of the pattern reach the bound of q-grams in the band."""
+    distinct, first, count, pattern, place = items.table
     grams = qgrams(chars)
     at = np.flatnonzero(items.maybe[_slot(grams)])
+    if not len(at) or not len(distinct):
+        return
     slot = np.minimum(np.searchsorted(distinct, grams[at]), len(distinct) - 1)
     ok = distinct[slot] == grams[at]
     at, slot = at[ok], slot[ok]
     if not len(at):
-        return []
+        return
     n = count[slot]
     entry = np.repeat(first[slot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    s, diagonal = segment[entry], np.repeat(at, n) - place[entry]
-    # A text repeats a q-gram often; a place counts once for a segment and band.
-    width = items.budget[s] + 1
-    band = diagonal // width
-    key = np.concatenate([np.stack([s, band], 1), np.stack([s, band - 1], 1)])
-    row = np.repeat(at, n)
-    order = np.lexsort((np.concatenate([row, row]), key[:, 1], key[:, 0]))
-    key, row = key[order], np.concatenate([row, row])[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
-    fresh = new | np.concatenate([[True], row[1:] != row[:-1]])
-    heads = np.flatnonzero(new)
-    hits = np.add.reduceat(fresh.astype(np.int64), heads)
-    key = key[heads]
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    for s, band in key[hits >= np.maximum(1, items.least[key[:, 0]])].tolist():
-        k, pattern = int(items.budget[s]), items.chars[s]
-        # No edits at all need no alignment; the next band, which overlaps this one, often holds the same.
-        exact = next((d for d in range(max(0, band * (k + 1)), min(len(chars) - len(pattern), (band + 2) * (k + 1) - 1) + 1) if chars[d] == pattern[0] and (chars[d : d + len(pattern)] == pattern).all()), None)
-        if exact is not None:
-            found.setdefault(int(items.item[s]), []).append((exact, exact + len(pattern), 0, s))
+    s, p = pattern[entry], place[entry]
+    diagonal = np.repeat(at, n) - p
+    band = diagonal // (items.budget[s] + 1)
+    s, p, diagonal, band = np.tile(s, 2), np.tile(p, 2), np.tile(diagonal, 2), np.concatenate([band, band - 1])
+    order = np.lexsort((p, band, s))
+    s, p, diagonal, band = s[order], p[order], diagonal[order], band[order]
+    edge = (s[1:] != s[:-1]) | (band[1:] != band[:-1])
+    heads = np.append(np.flatnonzero(np.append(True, edge)), len(s))
+    # A text repeats a q-gram often; a place of the pattern counts once in a band.
+    enough = np.add.reduceat(np.append(True, edge | (p[1:] != p[:-1])).astype(np.int64), heads[:-1]) >= items.least[s[heads[:-1]]]
+    for a, b in zip(heads[:-1][enough].tolist(), heads[1:][enough].tolist(), strict=True):
+        i = int(s[a])
+        size, need = int(items.window[i]), int(items.least[i])
+        own = np.unique(p[a:b])
+        begin, end = own[: len(own) - need + 1], own[need - 1 :]
+        ok = end - begin <= size - Q
+        last = len(items.chars[i]) - size
+        change = np.zeros(last + 2, np.int64)
+        np.add.at(change, np.maximum(0, end[ok] - (size - Q)), 1)
+        np.add.at(change, np.minimum(begin[ok], last) + 1, -1)
+        if (wanted := np.cumsum(change)[:-1] > 0).any():
+            yield i, int(band[a]), np.unique(diagonal[a:b]), wanted
+
+
+def _exact(pattern: np.ndarray, chars: np.ndarray, diagonal: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at least ``size`` characters of the pattern that the text has along a diagonal."""
+    a, b = max(0, -diagonal), min(len(pattern), len(chars) - diagonal)
+    if b - a >= size:
+        same = np.concatenate([[False], pattern[a:b] == chars[a + diagonal : b + diagonal], [False]])
+        ends = np.flatnonzero(same[1:] != same[:-1])
+        yield from ((a + x, a + y) for x, y in ends.reshape(-1, 2).tolist() if y - x >= size)
+
+
+def _tiny(chars: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """Pattern, start and end of each place of a pattern that has no q-gram."""
+    for m, wanted in items.tiny.items():
+        if len(chars) < m:
             continue
-        low, high = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k
-        a, b = max(0, low), min(len(chars), high + len(pattern) + k)
-        hit = banded_alignment(pattern, chars[a:b], low - a, high - a, k)
-        if hit:
-            found.setdefault(int(items.item[s]), []).append((hit[1] + a, hit[2] + a, hit[0], s))
+        views = np.lib.stride_tricks.sliding_window_view(chars, m)
+        starts = np.flatnonzero(np.isin(chars[: len(chars) - m + 1], [np.frombuffer(w, np.uint32)[0] for w in wanted]))
+        for a in starts.tolist():
+            found = wanted.get(views[a].tobytes())
+            # A word that goes on is another word.
+            if found and not any(chr(chars[x]).isalnum() and chr(chars[y]).isalnum() for x, y in ((a - 1, a), (a + m, a + m - 1)) if 0 <= x < len(chars)):
+                yield from ((i, a, a + m) for i in found)
+
+
+def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]:
+    """Leaks in one text: item id, start, end, fewest edits of a window and characters of the item found, one row for each place."""
+    chars = folded(text)
+    if not items.chars or not len(chars):
+        return []
+    #: By item: start, end and edits in the text, first and last place in the item.
+    found: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    for i, a, b in _tiny(chars, items):
+        found.setdefault(int(items.item[i]), []).append((a, b, 0, 0, b - a))
+    before = None
+    for i, band, diagonals, wanted in _candidates(chars, items) if len(chars) >= Q else ():
+        pattern, size, k = items.chars[i], int(items.window[i]), int(items.budget[i])
+        rows = found.setdefault(int(items.item[i]), [])
+        # No edits at all need no alignment; the next band, which overlaps this one, often holds the same.
+        have = np.zeros(len(wanted), bool)
+        seen = before[2] if before and before[:2] == (i, band - 1) else have
+        for d in diagonals.tolist():
+            for a, b in _exact(pattern, chars, d, size):
+                rows.append((a + d, b + d, 0, a, b))
+                have[a : b - size + 1] = True
+        low, width = band * (k + 1) - k, 2 * (k + 1) + 2 * k
+        open_ = np.flatnonzero(wanted & ~have & ~seen)
+        for begin in range(0, len(open_), 512):
+            starts = open_[begin : begin + 512]
+            edits, start, end = banded_alignments(pattern[starts[:, None] + np.arange(size)], chars, starts + low, width, k)
+            ok = edits <= k
+            have[starts[ok]] = True
+            rows += zip(start[ok].tolist(), end[ok].tolist(), edits[ok].tolist(), starts[ok].tolist(), (starts[ok] + size).tolist(), strict=True)
+        before = (i, band, have)
     out = []
     for i, rows in sorted(found.items()):
-        rows.sort()
-        group: list[tuple[int, int, int, int]] = []
-        for r in [*rows, None]:
-            if group and (r is None or r[0] > max(x[1] for x in group)):
-                covered = np.unique(np.concatenate([np.arange(items.start[s], items.start[s] + len(items.chars[s])) for *_, s in group]))
-                out.append((items.ids[i], min(x[0] for x in group), max(x[1] for x in group), min(x[2] for x in group), len(covered)))
+        group: list[tuple[int, int, int, int, int]] = []
+        reach = 0
+        for r in [*sorted(rows), None]:
+            if group and (r is None or r[0] > reach):
+                covered = np.zeros(max(x[4] for x in group), bool)
+                for *_, a, b in group:
+                    covered[a:b] = True
+                out.append((items.ids[i], group[0][0], reach, min(x[2] for x in group), int(covered.sum())))
                 group = []
             if r is not None:
+                reach = max(reach, r[1]) if group else r[1]
                 group.append(r)
     return out
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Broadcast]:
-    """The benchmark's segments in blocks of about ``block_chars`` characters, broadcast one at a time."""
+    """The benchmark's items in blocks of about ``block_chars`` characters, broadcast one at a time."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block_chars)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield spark.sparkContext.broadcast(segments([tuple(r) for r in part]))
+        yield spark.sparkContext.broadcast(block_of([tuple(r) for r in part]))
 
 
 HITS = "doc_id long, item_id long, start long, end long, edits long, item_chars long"

@@ -276,6 +276,26 @@ def test_leaks(spark, docs, empty):
     assert decontamination.drop_leaks(docs, bench).count() == docs.count()
 
 
+def test_leaks_of_excerpts_wherever_they_are_cut():
+    """Any window of 80 characters of an item, with up to 4 edits, and items shorter than a window."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    long, middle, short, tiny = letters(300), letters(120), "which sea is the deepest of all", "x = 42"
+    items = decontamination.block_of([(1, long), (2, middle), (3, short), (4, tiny), (5, "  "), (6, None)])
+    assert decontamination.find(letters(5000), items) == []
+    for a in range(0, 221, 7):
+        before, excerpt = letters(50), long[a : a + 80]
+        assert (hit := decontamination.find(before + "#" + excerpt + "#" + letters(50), items)) and hit[0][0] == 1 and hit[0][1] <= 51 and hit[0][2] >= 131
+        edited = excerpt[:15] + "#" + excerpt[16:37] + excerpt[38:60] + "##" + excerpt[60:]
+        assert edits(excerpt, edited) <= 4 and [h[0] for h in decontamination.find(f"{before}#{edited}#{before}", items)] == [1]
+        assert decontamination.find(f"{before}#{long[a : a + 60]}#{before}", items) == []
+    assert [(h[0], h[1] <= 1, h[2] >= 101, h[3]) for h in decontamination.find(f"#{middle[11:111]}#", items)] == [(2, True, True, 0)]
+    crowded = middle[:50] + "".join("#" + c for c in middle[50:57]) + middle[57:]
+    assert [(h[0], h[3]) for h in decontamination.find(crowded, items)] == [(2, 7)]
+    assert [h[0] for h in decontamination.find(f"Q: {short.replace('deepest', 'depest')}?", items)] == [3]
+    assert decontamination.find("if x = 42: max = 421", items) == [(4, 3, 9, 0, 6)]
+
+
 def shingles(text: str | None) -> frozenset:
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
