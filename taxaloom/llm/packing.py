@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import shared_dir, ship, stored, text_groups
+from taxaloom.llm.common import shared_dir, ship, stored
 from taxaloom.llm.encoding import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
@@ -47,14 +47,15 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, separator_id: int, capacity
         ranks: Counter[int] = Counter()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for begin, group in text_groups(batch.column(1).to_pylist()):
+            for begin, tokens, at in enc.encode(batch.column(1)):
                 out: list[tuple] = []
-                for i, tokens in enumerate(enc.encode(group), begin):
-                    tokens = np.append(tokens.astype("<u4"), np.uint32(separator_id)).astype("<u4")
-                    n = len(tokens)
+                tokens = np.insert(tokens.astype("<u4"), at[1:], separator_id)
+                at = (at + np.arange(len(at))).tolist()
+                for i, (first, end) in enumerate(zip(at[:-1], at[1:], strict=True), begin):
+                    n = end - first
                     for k, stop in enumerate(range(n % capacity or capacity, n + 1, capacity)):
                         a = max(0, stop - capacity)
-                        out.append((ids[i], k, a, stop - a, zlib.crc32(tokens[a:stop].tobytes()), part, ranks[stop - a]))
+                        out.append((ids[i], k, a, stop - a, zlib.crc32(tokens[first + a : first + stop]), part, ranks[stop - a]))
                         ranks[stop - a] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 

@@ -1,13 +1,13 @@
 """Token ids as flat binary files (operator 1).
 
-Documents are ordered by id over range partitions. Each partition is one shard of two files: ``.bin``,
-flat unsigned ids (16 bits where the vocabulary fits, else 32), and ``.idx``, signed 64-bit
+Documents are ordered by id over range partitions, whose number follows the bytes of text. Each partition is one shard of
+two files: ``.bin``, flat unsigned ids (16 bits where the vocabulary fits, else 32), and ``.idx``, signed 64-bit
 numbers: the document ids, then n + 1 token offsets inside the shard. The manifest has a row for
 each shard with its token base, the prefix sum of the token counts before it.
 
 Defined cases: a null or empty text has the end id alone; a null document id comes first and is read
-back as null; repeated rows are all kept, ordered by text; an empty table gives no documents; other
-columns are ignored.
+back as null; rows that share an id are all kept, in the order of the input, and may lie in several shards; an empty
+table gives no documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import ship, text_groups
+from taxaloom.llm.common import ship
 from taxaloom.llm.encoding import encoder
 
 #: Stands for a null document id in a file.
 NULL_ID = np.iinfo(np.int64).min
+#: Bytes of text that a shard holds, about.
+SHARD_BYTES = 128 << 20
 WRITTEN = "shard int, file string, id_bytes int, docs long, tokens long"
 MANIFEST = f"{WRITTEN}, doc_base long, token_base long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -44,7 +46,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int,
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    if not shards:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     model = spark.sparkContext.broadcast(tokenizer_json)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,26 +57,24 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int,
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         name, ids, lengths, size = f"{shard:07d}-{uuid.uuid4().hex}", [], [], enc.dtype.itemsize
-        end = np.array([end_id], enc.dtype)
         out = None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids += batch.column(0).fill_null(NULL_ID).to_pylist()
+            ids.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
             out = out or store.open_output_stream(f"{path}/{name}.bin")
-            for _, group in text_groups(texts):
-                for x in enc.encode(group):
-                    out.write(x.tobytes() + end.tobytes())
-                    lengths.append(len(x) + 1)
+            for _, tokens, at in enc.encode(batch.column(1)):
+                out.write(np.insert(tokens, at[1:], end_id).tobytes())
+                lengths.append(np.diff(at) + 1)
         if out is None:
             return
         out.close()
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+        ids = np.concatenate(ids).astype("<i8")
+        offsets = np.cumsum(np.concatenate([[0], *lengths]), dtype="<i8")
         with store.open_output_stream(f"{path}/{name}.idx") as index:
-            index.write(np.array(ids, "<i8").tobytes() + offsets.tobytes())
+            index.write(ids.tobytes())
+            index.write(offsets.tobytes())
         yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "id_bytes": size, "docs": len(ids), "tokens": int(offsets[-1])}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("id_bytes", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange(shards, "id", "place").sortWithinPartitions("id", "place").drop("place")
     ordered.mapInArrow(write, WRITTEN).write.parquet(f"{folder}/written")
     found, doc_base, token_base = [], 0, 0
     for r in spark.read.schema(WRITTEN).parquet(f"{folder}/written").orderBy("shard").collect():
