@@ -3,10 +3,12 @@
 1. Spark tokenizes each document, cuts what is longer than a sequence and keeps of each piece its length,
    checksum, the writing partition and its rank among the pieces of its length there.
 2. The length histogram (at most ``capacity`` counts) reaches the driver. A configuration linear program
-   over it, the fewest fractional sequences that hold all pieces, is solved by multiplicative weights:
-   each round prices the lengths, a knapsack dynamic program finds the configuration worth most, and the
-   prices of the lengths it holds fall. The counts are scaled to demand and rounded down; what is left, a
-   number of pieces that depends on the rounds and not on the input, goes to best-fit decreasing.
+   over it, the fewest sequences that hold all pieces, is solved by multiplicative weights: a length's price is its share of
+   a sequence, and falls as its demand is covered. In each round a knapsack dynamic program gives for every length the
+   configuration worth most among those that hold it; those that are full (or, in a second try, worth almost as much as the
+   best) run until their scarcest length has had its step, rounded down to whole sequences. Rounds go
+   on until none is left to take; what then remains, a number of pieces that follows the lengths and not the
+   input, goes to best-fit decreasing. The try with fewer sequences is the plan; one at the lower bound ends the search.
 3. The plan is a list of rank ranges for each length. Prefix sums over partitions turn local
    ranks into global ones, and each piece finds its place in the plan alone.
 
@@ -30,10 +32,9 @@ from taxaloom.llm.common import shared_dir, ship, stored
 from taxaloom.llm.encoding import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
-#: Rounds of multiplicative weights and the step of a price.
-ROUNDS, STEP = 400, 1.0
-#: The least share of a sequence that a configuration of the rounded program fills.
-FULL = 0.98
+#: The most rounds of multiplicative weights in a try. A try has the tilt in tokens of a price that lags behind by all, the share
+#: of what is left of a length that a round may take, and by how many tokens' worth a configuration may miss the best (None: it is full).
+ROUNDS, TRIES = 400, ((8.0, 0.9, None), (64.0, 0.2, 2.0))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_json: str, separator_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,74 +64,99 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, separator_id: int, capacity
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> Counter[int]:
-    """Lengths with the highest total price that fit into ``capacity``; repeats allowed. prices[l] is of length l."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the highest total price of lengths that fit, repeats allowed, and a length of the
+    best choice (0: none, the room less one token has the same). prices[n] is of length n; one that isn't positive is left out."""
     lengths = np.flatnonzero(prices[: capacity + 1] > 0)
     worth = prices[lengths]
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        fits = int(np.searchsorted(lengths, c, "right"))
         best[c] = best[c - 1]
-        if fits:
-            values = worth[:fits] + best[c - lengths[:fits]]
+        if fits[c]:
+            values = worth[: fits[c]] + best[c - lengths[: fits[c]]]
             k = int(values.argmax())
             if values[k] > best[c]:
                 best[c], take[c] = values[k], lengths[k]
-    found: Counter[int] = Counter()
-    c = capacity
+    return best, take
+
+
+def configuration(room: int, best: np.ndarray, take: np.ndarray, prices: np.ndarray, left: np.ndarray | None = None, holds: int = 0) -> Counter[int]:
+    """The lengths worth most in ``room`` beside one piece of ``holds``. Given what is left of each length, none is
+    taken more often than that; the choice may then be less than the best."""
+    found: Counter[int] = Counter({holds: 1} if holds else {})
+    c = room - holds
     while c > 0:
-        if take[c]:
-            found[int(take[c])] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
+        n = int(take[c])
+        if n and left is not None and found[n] >= left[n]:
+            values = np.where(prices[1 : c + 1] > 0, prices[1 : c + 1] + best[c - 1 :: -1], -1.0)
+            values[[x - 1 for x, k in found.items() if x <= c and k >= left[x]]] = -1.0
+            n = int(values.argmax()) + 1
+            if values[n - 1] < 0:
+                break
+        if n:
+            found[n] += 1
+        c -= n or 1
     return found
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, longest first) with how many sequences use each. demand[l]: pieces of length l.
+def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (lengths, longest first) with how many sequences use each. demand[n]: pieces of length n.
 
-    Every piece is placed: the rounded program first, then best-fit decreasing over what it left. If best-fit decreasing
-    over everything needs fewer sequences, its plan is taken instead.
+    Every piece is placed: by the program's configurations first, then by best-fit decreasing over what these left.
     """
-    demand = demand.astype(np.int64)
+    size = np.arange(capacity + 1)
+    bound = max(-(-int((demand * size).sum()) // capacity), int(demand[capacity // 2 + 1 :].sum()))
+    chosen: Counter[tuple[int, ...]] | None = None
+    for one in TRIES:
+        plan, left = program(demand, capacity, rounds, *one)
+        for content, n in best_fit(left, capacity).items():
+            plan[content] += n
+        if chosen is None or sum(plan.values()) < sum(chosen.values()):
+            chosen = plan
+        if sum(chosen.values()) <= 1.0001 * bound + 1:
+            break
+    return sorted(chosen.items(), key=lambda x: (-sum(x[0]), x[0]))
+
+
+def program(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, tilt: float = TRIES[0][0], step: float = TRIES[0][1], slack: float | None = TRIES[0][2]) -> tuple[Counter[tuple[int, ...]], np.ndarray]:
+    """The configuration program's sequences, and the demand that they leave."""
+    left, size = demand.astype(np.int64), np.arange(capacity + 1)
     plan: Counter[tuple[int, ...]] = Counter()
-    if demand[capacity]:
-        plan[(capacity,)] = int(demand[capacity])
-    left = demand.copy()
-    left[capacity] = 0
-    wanted = np.flatnonzero(left)
-    if len(wanted) and left.sum() > rounds:
-        used: Counter[tuple[int, ...]] = Counter()
-        covered = np.zeros(capacity + 1)
-        price = np.zeros(capacity + 1)
-        share = left / left.max()
-        price[wanted] = wanted / capacity
-        for _ in range(rounds):
-            found = best_configuration(price, capacity)
-            # A configuration runs until the scarcest of its lengths has had its step.
-            units = min(share[n] / k for n, k in found.items())
-            used[tuple(sorted(found.elements(), reverse=True))] += units
-            for n, k in found.items():
-                covered[n] += units * k
-                price[n] *= np.exp(-step * units * k / share[n])
-        counts = {c: u * left.max() for c, u in used.items()}
-        # Scaled so that demand is met on average; a configuration stops where one of its lengths runs out.
-        scale = left[wanted].sum() / max((covered[wanted] * left.max()).sum(), 1e-12)
-        for c, u in sorted(counts.items(), key=lambda x: -x[1]):
-            own = Counter(c)
-            whole = min(int(u * scale), *(int(left[n]) // k for n, k in own.items()))
-            if whole > 0 and sum(c) >= FULL * capacity:  # emptier ones waste room that best fit can use
-                plan[c] += whole
-                for n, k in own.items():
-                    left[n] -= whole * k
-    for c, n in best_fit(left, capacity).items():
-        plan[c] += n
-    # Few rounds over many lengths may leave the program short of its optimum: best fit alone is the yardstick.
-    plain = best_fit(demand, capacity)
-    if sum(plain.values()) < sum(plan.values()):
-        plan = plain
-    return sorted(plan.items(), key=lambda x: (-sum(x[0]), x[0]))
+    if left[capacity]:
+        plan[(capacity,)] = int(left[capacity])
+        left[capacity] = 0
+    total, whole = np.maximum(left, 1), int((left * size).sum())
+    bounded = False
+    for _ in range(rounds):
+        if not left.any():
+            break
+        # The share of a length that is still uncovered, against that of all tokens; of two that lag alike the larger is worth more.
+        lag = left / total / max((left * size).sum() / whole, 1e-12)
+        price = np.where(left > 0, size / capacity * np.exp(np.minimum(tilt * (lag - 1 + size / capacity) / capacity, 1.0)), 0.0)
+        best, take = knapsack(price, capacity)
+        allowed, placed = np.ceil(left * step).astype(np.int64), 0
+        for n in np.flatnonzero(left)[::-1].tolist():
+            if allowed[n] <= 0:
+                continue
+            found = configuration(capacity, best, take, price, allowed if bounded else None, holds=n)
+            if slack is None:
+                good = sum(m * k for m, k in found.items()) == capacity
+            else:
+                good = sum(price[m] * k for m, k in found.items()) >= best[capacity] * (1 - slack / capacity)
+            units = min(int(allowed[m]) // k for m, k in found.items())
+            if good and units > 0:
+                placed += units
+                plan[tuple(sorted(found.elements(), reverse=True))] += units
+                for m, k in found.items():
+                    allowed[m] -= units * k
+                    left[m] -= units * k
+        # When the best configurations ask for more pieces of a length than there are, choices are bounded by what is left.
+        if not placed:
+            if bounded:
+                break
+            bounded = True
+    return plan, left
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Counter[tuple[int, ...]]:
