@@ -61,17 +61,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    if lower:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
-_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
-_POWERS = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, U64))
+#: Masks for the first k bytes of eight, and the eights of a word that are hashed word by word; of a longer word all together.
+_TAIL, _TURNS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64), 32
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +107,34 @@ def _words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = np.empty(len(starts), U64)
-    values = _VALUES[lower]
-    k = 0
-    while k < len(starts):
-        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK_BYTES)))
-        a, b = starts[k], ends[stop - 1]
-        lengths = ends[k:stop] - starts[k:stop]
-        position = np.arange(a, b)
-        position -= np.repeat(starts[k:stop], np.diff(np.append(starts[k:stop], b)))
-        part = values[raw[a:b]] * _POWERS[position & 0xFFFF]
-        part[~inside[a:b]] = 0
-        hashes[k:stop] = mix(np.add.reduceat(part, starts[k:stop] - a) + lengths.astype(U64) * M1)
-        k = stop
-    return hashes, starts, ends, np.searchsorted(starts, at)
+    return hash_spans(_LOWER[raw] if lower else raw, starts, ends), starts, ends, np.searchsorted(starts, at)
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes: the mixed sum of its eights, each mixed with its place, and its length.
+
+    Stretches of one length of up to eight bytes never share a hash.
+    """
+    length = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    view = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    total = mix(view[starts] & _TAIL[np.minimum(length, 8)])
+    k, open_ = 1, np.flatnonzero(length > 8)
+    while len(open_) and k < _TURNS:
+        left = length[open_] - 8 * k
+        total[open_] += mix((view[starts[open_] + 8 * k] & _TAIL[np.minimum(left, 8)]) ^ _places(k, k + 1))
+        open_, k = open_[left > 8], k + 1
+    for i in open_.tolist():
+        for begin in range(int(starts[i]) + 8 * k, int(ends[i]), BLOCK_BYTES):
+            part = padded[begin : min(begin + BLOCK_BYTES, ends[i])]
+            eights = np.concatenate([part, np.zeros(-len(part) % 8, np.uint8)]).view("<u8")
+            place = (begin - int(starts[i])) // 8
+            total[i : i + 1] += mix(eights ^ _places(place, place + len(eights))).sum(dtype=U64)
+    return mix(total + length.astype(U64) * M1)
+
+
+def _places(a: int, b: int) -> np.ndarray:
+    return mix(np.arange(a, b, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def ngram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

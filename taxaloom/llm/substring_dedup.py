@@ -46,8 +46,6 @@ BLOCK_ANCHORS, BLOCK_WORDS = 2_000_000, 5_000_000
 STEP = 256
 #: Bits of an anchor that are compared; a chance collision only makes a segment that matches nothing.
 KEY_BITS = 52
-#: Bits of a word's hash in segments: windows that differ in a word are taken for equal with a chance of 2^-48.
-WORD = U64((1 << 48) - 1)
 _PART = 33  # bits of a row's number below its partition's in monotonically_increasing_id
 
 
@@ -202,7 +200,7 @@ def _send_segments(path: str, window: int, shards: int) -> Callable:
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             wanted = np.flatnonzero(keys[at] == key)
             shard = (mix(key[wanted]) % U64(shards)).astype(np.int64).tolist()
-            each, words = None, words & WORD
+            each = None
             for i, s in zip(wanted.tolist(), shard, strict=True):
                 a, n = int(first[i]), int(count[i])
                 if not hot[at[i]]:
