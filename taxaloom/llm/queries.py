@@ -41,9 +41,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    words = {r.word: k for k, r in enumerate(secret_scan.corpus_words(docs, 20_000).collect(), 1)}
-    return secret_scan.scan(docs, words)
+    return secret_scan.scan(documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +51,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(docs: DataFrame) -> language_id.Model:
     """Fitted to the rows that aren't held out."""
-    return language_id.fit(language_id.sample(docs, language_id.crc_of_id("doc_id") % 4 != 2))
+    return language_id.fit_ngrams(language_id.sample(docs, language_id.crc_of_id("doc_id") % 4 != 2))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 Base kinds are fixed patterns. The method adds spans of kind ``guess``: the value after a credential word
 is priced by the fewest guesses that a cracker needs. A dynamic program cuts the value into words (by rank
-among the corpus's words), dates, repeats, keyboard walks and brute-force spans, taking the cheapest cut; a value
+among all words of the corpus), dates, repeats, keyboard walks and brute-force spans, taking the cheapest cut; a value
 above the limit is reported, unless a base span covers it already.
 
+1. Workers find base spans and credential values; texts are read once for it and once for the counts of words.
+2. Each different value gives its runs of letters, which meet the words' ranks in a join: the whole vocabulary counts,
+   and none of it is broadcast. A word's uses as a credential value don't count.
+3. Each different value is priced once, and its price goes back to the documents with it.
+
 Defined cases: a null or empty text has no spans; ids may be null; repeated rows are scanned each; an empty
 table gives an empty result; other columns are ignored. Spans count code points; ends are exclusive.
 """
@@ -14,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaloom.llm.common import ship
+from taxaloom.llm.common import shared_dir, ship, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,17 +48,22 @@ LEET = str.maketrans("@4310$57!", "aaeiossti")
 YEARS = 130
 
 _PLACE = {c: (r, i + r / 2) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?:\d{4}[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]?\d{1,2}[-/._]?(?:\d{4}|\d{2}))")
-_LONGEST_WORD, _LONGEST_DATE = 24, 10
+_DATE = re.compile(r"(?:\d{4}[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]?\d{1,2}[-/._]?(?:\d{4}|\d{2}))", re.A)
+_DIGITS = frozenset("0123456789")
+_SHORTEST_WORD, _LONGEST_WORD, _LONGEST_DATE = 3, 24, 10
+#: Lengths of the unit of a repeat; and so far back from its end a repeat or walk may start anywhere, before that where it begins.
+UNITS, LOOK = (2, 3, 4, 5, 6, 8), 10
+
+
+def lowered(value: str) -> str:
+    """Lower case, character by character."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in value)
 
 
-def _char_cost(c: str) -> float:
-    """log10 of the alphabet that holds the character."""
-    if c.isdigit():
-        return 1.0
-    if c.isalpha():
-        return math.log10(26)
-    return math.log10(33)
+def _char_cost(value: str) -> float:
+    """log10 of the alphabet that the value is written in: the classes of characters it has."""
+    classes = {26 + (c.isupper() * 0.5) if c.isalpha() else 10 if c in _DIGITS else 33 for c in value}
+    return math.log10(sum(map(int, classes)) or 1)
 
 
 def _near(a: str, b: str) -> bool:
@@ -70,58 +81,103 @@ def _case_cost(word: str) -> float:
     return math.log10(sum(math.comb(len(word), k) for k in range(1, min(upper, len(word) - upper) + 2)))
 
 
+def word_cost(word: str, rank: int, written: str) -> float:
+    """log10 of the guesses for a word of this rank, given how it is written."""
+    low = lowered(written)
+    return math.log10(rank + 1) + _case_cost(written) + (0.0 if word == low else math.log10(4))
+
+
+def date_cost(text: str) -> float | None:
+    if len(text) == 4 and text[:2] in ("19", "20") and _DIGITS.issuperset(text):
+        return math.log10(YEARS)
+    return math.log10(365 * YEARS) + (0.0 if _DIGITS.issuperset(text) else 0.6) if _DATE.fullmatch(text) else None
+
+
+def repeat_cost(times: int, size: int, each: float) -> float:
+    return size * each + math.log10(times)
+
+
+def walk_cost(written: str) -> float:
+    return math.log10(47 * len(written)) + (len(written) - 1) // 2 * math.log10(4) / 2 + _case_cost(written)
+
+
+def sequence_cost(length: int, each: float) -> float:
+    return each + math.log10(length) + 0.3
+
+
+_HEADS = frozenset(w[:_SHORTEST_WORD] for w in COMMON)
+_RANKS = {w: i for i, w in enumerate(COMMON, 1)}
+
+
+def _words_in(value: str, low: str, ranks: Mapping[str, int]) -> dict[int, list[tuple[int, float]]]:
+    """By end: start and cost of each word in a value, as it is or with signs for letters."""
+    heads = _HEADS | {w[:_SHORTEST_WORD] for w in ranks}
+    found: dict[int, list[tuple[int, float]]] = {}
+    plain = low.translate(LEET)
+    for form in {low, plain}:
+        for a in range(len(form) - _SHORTEST_WORD + 1):
+            if form[a : a + _SHORTEST_WORD] in heads:
+                for b in range(a + _SHORTEST_WORD, min(len(form), a + _LONGEST_WORD) + 1):
+                    word = form[a:b]
+                    if rank := min(_RANKS.get(word, math.inf), ranks.get(word, math.inf)):
+                        if rank < math.inf:
+                            found.setdefault(b, []).append((a, word_cost(word, rank, value[a:b])))
+    return found
+
+
 def guess_cost(value: str, ranks: Mapping[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for ``value`` by its cheapest segmentation, and the segments (kind, start, end).
 
-    Every further segment multiplies the guesses by ten, the cost of guessing the structure.
+    Every further segment multiplies the guesses by ten, the cost of guessing the structure. The time follows the length.
     """
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET)
+    n, low, each = len(value), lowered(value), _char_cost(value)
+    words = _words_in(value, low, ranks)
     best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
     def offer(a: int, b: int, cost: float, kind: str) -> None:
-        cost += best[a] + (1.0 if a and not (kind == "brute" and back[a][0] == "brute") else 0.0)
+        cost += best[a] + (1.0 if a else 0.0)
         if cost < best[b]:
             best[b], back[b] = cost, (kind, a)
 
-    run = walk = sequence = 0
+    # brute[b]: cheapest cut that ends in a brute-force span, and where this span starts.
+    brute, since = math.inf, 0
+    run = walk = sequence = 1
+    same = dict.fromkeys(UNITS, 0)
     for b in range(1, n + 1):
-        offer(b - 1, b, _char_cost(value[b - 1]), "brute")
-        for a in range(max(0, b - _LONGEST_WORD), b - 2):
-            for form, extra in ((low, 0.0), (plain, math.log10(4))):
-                rank = ranks.get(form[a:b])
-                if rank and (form is low or plain[a:b] != low[a:b]):
-                    offer(a, b, math.log10(rank + 1) + _case_cost(value[a:b]) + extra, "word")
-        if value[b - 1].isdigit():
-            for a in range(max(0, b - _LONGEST_DATE), b - 5):
-                if _DATE.fullmatch(value, a, b):
-                    offer(a, b, math.log10(365 * YEARS) + (0.6 if not value[a:b].isdigit() else 0.0), "date")
-            if b >= 4 and value[b - 4 : b].isdigit() and value[b - 4 : b - 2] in ("19", "20"):
-                offer(b - 4, b, math.log10(YEARS), "date")
-        run = run + 1 if b > 1 and value[b - 1] == value[b - 2] else 0
-        if run >= 2:
-            offer(b - 1 - run, b, _char_cost(value[b - 1]) + math.log10(run + 1), "repeat")
-        walk = walk + 1 if b > 1 and _near(low[b - 2], low[b - 1]) else 0
-        if walk >= 2:
-            turns = walk // 2
-            offer(b - 1 - walk, b, math.log10(47 * (walk + 1)) + turns * math.log10(4) / 2 + _case_cost(value[b - 1 - walk : b]), "walk")
-        sequence = sequence + 1 if b > 1 and value[b - 1].isalnum() and ord(value[b - 1]) - ord(value[b - 2]) == 1 else 0
-        if sequence >= 2:
-            offer(b - 1 - sequence, b, _char_cost(value[b - 1]) + math.log10(sequence + 1) + 0.3, "walk")
-        for size in (2, 3, 4, 5, 6, 8):
-            if b >= 2 * size and value[b - 2 * size : b - size] == value[b - size : b] and size > 1:
-                times, a = 2, b - 2 * size
-                while a >= size and value[a - size : a] == value[b - size : b]:
-                    times, a = times + 1, a - size
-                offer(a, b, sum(map(_char_cost, value[b - size : b])) + math.log10(times), "repeat")
+        c = value[b - 1]
+        open_ = best[b - 1] + (1.0 if b > 1 else 0.0)
+        if brute <= open_:
+            brute += each
+        else:
+            brute, since = open_ + each, b - 1
+        best[b], back[b] = brute, ("brute", since)
+        for a, cost in words.get(b, ()):
+            offer(a, b, cost, "word")
+        if c in _DIGITS:
+            for a in range(max(0, b - _LONGEST_DATE), b - 3):
+                if (cost := date_cost(value[a:b])) is not None:
+                    offer(a, b, cost, "date")
+        before = value[b - 2] if b > 1 else ""
+        run = run + 1 if c == before else 1
+        walk = walk + 1 if b > 1 and _near(low[b - 2], low[b - 1]) else 1
+        sequence = sequence + 1 if b > 1 and c.isalnum() and ord(c) - ord(before) == 1 else 1
+        for length in {run, *range(3, min(run, LOOK) + 1)} if run >= 3 else ():
+            offer(b - length, b, repeat_cost(length, 1, each), "repeat")
+        for length in {walk, *range(3, min(walk, LOOK) + 1)} if walk >= 3 else ():
+            offer(b - length, b, walk_cost(value[b - length : b]), "walk")
+        for length in {sequence, *range(3, min(sequence, LOOK) + 1)} if sequence >= 3 else ():
+            offer(b - length, b, sequence_cost(length, each), "walk")
+        for size in UNITS:
+            same[size] = same[size] + 1 if b > size and value[b - 1 - size] == c else 0
+            if same[size] >= size and run < 2 * size:
+                most = same[size] // size + 1
+                for times in {most, *range(2, min(most, LOOK // size) + 1)}:
+                    offer(b - times * size, b, repeat_cost(times, size, each), "repeat")
     segments: list[tuple[str, int, int]] = []
     b = n
     while b:
         kind, a = back[b]
-        if segments and kind == "brute" and segments[-1][0] == "brute":
-            segments[-1] = ("brute", a, segments[-1][2])
-        else:
-            segments.append((kind, a, b))
+        segments.append((kind, a, b))
         b = a
     return best[n], segments[::-1]
 
@@ -144,51 +200,109 @@ def credential_values(text: str) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
+def uncovered(values: Iterator[tuple[int, int]], base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """Values with whether one of the base spans meets them."""
+    starts, reach = [a for _, a, _ in base], []
+    for _, _, b in base:
+        reach.append(max(b, reach[-1] if reach else 0))
+    for a, b in values:
+        k = bisect_right(starts, a)
+        yield a, b, (k > 0 and reach[k - 1] > a) or bisect_left(starts, b) > bisect_left(starts, a)
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def corpus_words(docs: DataFrame, size: int = 20_000, text_col: str = "text") -> DataFrame:
-    """The most frequent words of all texts with their ranks: a dictionary of ``size`` entries at most."""
-    words = docs.select(F.explode(F.split(F.col(text_col), r"[ \t\n\r.,;:!?|]+")).alias("w")).where(F.length("w").between(3, _LONGEST_WORD))
+def letter_runs(value: str) -> set[str]:
+    """What may be a word of a value: its stretches of letters, as they are or with signs for letters, in lower case."""
+    low = lowered(value)
+    out: set[str] = set()
+    for form in {low, low.translate(LEET)}:
+        for m in re.finditer("[a-z]{3,}", form):
+            run = m.group()
+            out.update(run[a:b] for a in range(len(run) - _SHORTEST_WORD + 1) for b in range(a + _SHORTEST_WORD, min(len(run), a + _LONGEST_WORD) + 1))
+    return out
+
+
+_SPLIT = r"[ \t\n\r.,;:!?|]+"
+
+
+def _count_words(rows: DataFrame, text: Column) -> DataFrame:
+    words = rows.select(F.explode(F.split(text, _SPLIT)).alias("w")).where(F.length("w").between(_SHORTEST_WORD, _LONGEST_WORD))
     counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike("^[A-Za-z]+$"))
-    lower = counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"))
-    return lower.orderBy(F.desc("n"), "word").limit(size)
+    return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"))
 
 
-SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, costs array<double>"
+def corpus_words(docs: DataFrame, values: DataFrame, folder: str, least: int = 2, text_col: str = "text") -> DataFrame:
+    """word, rank: all words that texts use ``least`` times or more outside credential values (column value, one row for each
+    use), with one more than the number of words used more often."""
+    used = _count_words(docs, F.col(text_col)).unionByName(_count_words(values, F.col("value")).select("word", (-F.col("n")).alias("n")))
+    counts = stored(used.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), folder, "words")
+    # One row for each different count: far fewer than words.
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    above = F.coalesce(F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.join(sizes.select("n", (above + 1).alias("rank")), "n").select("word", "rank")
 
 
-def scan(docs: DataFrame, words: Mapping[str, int] | None = None, min_log10_guesses: float = 13.0, min_chars: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: counts, all spans, and log10 guesses of the credential values in their order.
+def value_costs(values: DataFrame, words: DataFrame) -> DataFrame:
+    """value, cost of each row of ``values``, which has each value once. What one value's words need is held at once."""
 
-    ``words`` adds ranks to the common words; it is broadcast, so its size should have a bound.
-    """
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = sorted(letter_runs(value))
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([value] * len(part)), pa.array(part)], names=["value", "word"])
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            costs = [round(guess_cost(r["value"], {w["word"]: w["rank"] for w in r["words"] or ()})[0], 3) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=["value", "cost"])
+
+    found = values.select("value").mapInArrow(runs, "value string, word string").join(words, "word")
+    ranked = found.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+    return values.join(ranked, "value", "left").select("value", "words").mapInArrow(price, "value string, cost double")
+
+
+FOUND = "doc_id long, place long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, values array<struct<start: long, end: long, covered: boolean, value: string>>"
+
+
+def scan(docs: DataFrame, min_log10_guesses: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: counts, all spans, and log10 guesses of the credential values in their order."""
     spark = docs.sparkSession
     ship(spark)
-    ranks: dict[str, int] = dict(words or {})
-    for i, w in enumerate(COMMON, 1):
-        ranks[w] = min(i, ranks.get(w, i))
-    shared = spark.sparkContext.broadcast(ranks)
+    folder = shared_dir(spark, "secrets")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("covered", pa.bool_()), ("value", pa.string())]))
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), kind]
         for batch in batches:
             rows = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py() or ""
+            for doc, place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py() or ""
                 base = base_spans(text)
-                digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                spans, costs = list(base), []
-                for a, b in credential_values(text):
-                    cost, _ = guess_cost(text[a:b], shared.value)
-                    costs.append(round(cost, 3))
-                    if cost >= min_log10_guesses and b - a >= min_chars and not any(s <= a < e or a <= s < b for _, s, e in base):
-                        spans.append(("guess", a, b))
-                spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-                kinds = [k for k, _, _ in spans]
-                rows.append((doc, *(kinds.count(k) for k in KINDS), digest, joined(spans), costs))
-            kinds_ = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.list_(pa.float64())]
+                held = joined(base)
+                values = [{"start": a, "end": b, "covered": c, "value": text[a:b]} for a, b, c in uncovered(credential_values(text), base)]
+                of = [k for k, _, _ in base]
+                rows.append((doc, place, *(of.count(k) for k in KINDS[:3]), hashlib.sha256(held.encode()).hexdigest(), held, values or None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(find, SPANS)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ") if " " in c and not c.startswith(("end", "covered", "value:"))])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
+    found = stored(rows.mapInArrow(find, FOUND), folder, "found")
+    uses = found.select("place", F.explode("values").alias("v")).select("place", "v.*")
+    words = corpus_words(rows, uses, folder)
+    costs = stored(value_costs(uses.select("value").distinct(), words), folder, "costs")
+    by_row = uses.join(costs, "value").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("start", "end", "covered", "cost"))).alias("priced"))
+    out = found.join(by_row, "place", "left")
+    guesses = F.filter("priced", lambda v: ~v["covered"] & (v["cost"] >= min_log10_guesses))
+    n = F.coalesce(F.size(guesses), F.lit(0)).cast("long")
+    guess = F.transform(guesses, lambda v: F.struct(v["start"].alias("a"), F.lit(len(KINDS) - 1).alias("k"), F.concat_ws(":", F.lit("guess"), v["start"], v["end"]).alias("span")))
+    base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("k"), x.alias("span")))
+    both = F.array_sort(F.concat(base, guess))
+    spans = F.when(n == 0, F.col("base")).otherwise(F.array_join(F.transform(both, lambda x: x["span"]), ","))
+    costs_ = F.coalesce(F.transform("priced", lambda v: v["cost"]), F.array().cast("array<double>"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.when(F.col("priced").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_guess"), "base_sha256", F.when(F.col("priced").isNull(), F.col("base")).otherwise(spans).alias("spans"), costs_.alias("costs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -65,10 +66,15 @@ def expected_order() -> list[tuple]:
 
 
 def test_encoder_equals_the_library(tokenizer):
-    texts = [r[1] or "" for r in corpus()] + [" ".join(words(random.Random(1), 200_000)), "a, b. c! d?! e;\nF", "naïve, café. l'été: x"]
+    rng = random.Random(1)
+    odd = ["a", "Zé", "×", "n÷", "ß!", " ", "  ", "\n", "\t", ".", "...", "'s", "it's", "x'll", "'", "&&&", "<|", "endoftext", "|>", "<|endoftext|>", "3.14", "é", "e\u0301.", "日本", "\u00a0", "\u2028", "😀", "q" * 40, "-", "_b", "\x00", "\x1c"]
+    texts = [r[1] or "" for r in corpus()] + [" ".join(words(rng, 200_000)), "a, b. c! d?! e;\nF", "naïve, café. l'été: x"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     own = encoding.Encoder(MODEL)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [ids[a:b].tolist() for _, ids, at in own.encode(pa.array([*texts, None])) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [*want, []]
 
 
 def test_token_files(spark, docs, empty, tokenizer):
@@ -99,13 +105,107 @@ def test_guess_cost_prefers_patterns():
     ranks = {"password": 1, "dragon": 9, "summer": 30}
     cost = lambda v: secret_scan.guess_cost(v, ranks)[0]
     assert cost("password") < cost("Password1") < cost("kx7#Qz!v")
-    assert secret_scan.guess_cost("dragonqwerty1999", ranks)[1] == [("word", 0, 6), ("walk", 6, 12), ("date", 12, 16)]
+    assert secret_scan.guess_cost("dragonzxcvbn1999", ranks)[1] == [("word", 0, 6), ("walk", 6, 12), ("date", 12, 16)]
     assert cost("aaaaaaaaaaaa") < cost("ajfuwnzkqpxb") and cost("abcabcabcabc") < cost("akcxbvqpwzmd") and cost("12/05/1987") < cost("19a/7b5c/2")
 
 
-def test_corpus_words(docs, empty):
-    found = secret_scan.corpus_words(docs, 5).collect()
-    assert len(found) == 5 and found[0].n >= found[-1].n and secret_scan.corpus_words(empty).count() == 0
+def cheapest_by_all_segmentations(value: str, ranks: dict) -> float:
+    """Every way to cut the value, each stretch at its cheapest price; brute-force stretches side by side are one."""
+    low, each = value.lower(), secret_scan._char_cost(value)
+    every = secret_scan._RANKS | {w: min(r, secret_scan._RANKS.get(w, r)) for w, r in ranks.items()}
+    plain = low.translate(secret_scan.LEET)
+
+    def prices(a: int, b: int) -> float:
+        s, out = value[a:b], []
+        for form in {low[a:b], plain[a:b]}:
+            if 3 <= b - a and form in every:
+                out.append(secret_scan.word_cost(form, every[form], s))
+        if s[-1].isdigit() and (cost := secret_scan.date_cost(s)) is not None:
+            out.append(cost)
+        if len(s) >= 3 and len(set(s)) == 1:
+            out.append(secret_scan.repeat_cost(len(s), 1, each))
+        for size in secret_scan.UNITS:
+            if len(s) >= 2 * size and len(s) % size == 0 and s == s[:size] * (len(s) // size):
+                out.append(secret_scan.repeat_cost(len(s) // size, size, each))
+        if len(s) >= 3 and all(secret_scan._near(x, y) for x, y in zip(low[a:b], low[a + 1 : b], strict=False)):
+            out.append(secret_scan.walk_cost(s))
+        if len(s) >= 3 and s.isalnum() and all(ord(y) - ord(x) == 1 for x, y in zip(s, s[1:], strict=False)):
+            out.append(secret_scan.sequence_cost(len(s), each))
+        return min(out, default=float("inf"))
+
+    def rest(a: int, after_brute: bool) -> float:
+        if a == len(value):
+            return 0.0
+        further = 1.0 if a else 0.0
+        costs = [further + prices(a, b) + rest(b, False) for b in range(a + 1, len(value) + 1)]
+        if not after_brute:
+            costs += [further + each * (b - a) + rest(b, True) for b in range(a + 1, len(value) + 1)]
+        return min(costs)
+
+    return rest(0, False)
+
+
+def test_guess_cost_equals_the_cheapest_of_all_segmentations():
+    rng = random.Random(8)
+    ranks = {"abc": 5, "pass": 2, "word": 900, "ana": 40, "aaa": 7}
+    for alphabet in ("ab", "aab1", "abc", "asdf", "p4s5word", "0129/", "aAbB", "aB3#", "12"):
+        for _ in range(25):
+            value = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))
+            assert secret_scan.guess_cost(value, ranks)[0] == pytest.approx(cheapest_by_all_segmentations(value, ranks)), value
+    for value in ("pass1999", "wordpass", "p455w0rd", "passsss", "abcabcabc", "qwertyabc", "12/5/1987"):
+        cost, cut = secret_scan.guess_cost(value, ranks)
+        assert cost == pytest.approx(cheapest_by_all_segmentations(value, ranks))
+        assert [a for _, a, _ in cut] == [0, *[b for _, _, b in cut[:-1]]] and cut[-1][2] == len(value)
+
+
+@pytest.mark.parametrize("value", ["ab" * 500_000, "a" * 1_000_000, "1" * 300_000])
+def test_guess_cost_of_long_values_takes_seconds(value):
+    began = time.time()
+    assert secret_scan.guess_cost(value, {"abab": 3, "word": 9})[0] > 1
+    assert time.time() - began < 30
+
+
+def test_random_values_of_eight_characters_are_reported(spark):
+    rows = [(1, "password: k3xq9vz2"), (2, "password: monkeybusiness"), (3, "pwd=Zk8vQw2x"), (4, "the monkeybusiness business and a monkeybusiness")]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_guess for i in (1, 2, 3, 4)] == [1, 0, 1, 0] and got[1].spans == "guess:10:18"
+
+
+def test_base_spans_equal_the_patterns(spark, docs):
+    """All patterns over all texts, and over texts made of their parts."""
+    rng = random.Random(9)
+    parts = ["password", "Token", "api_key", "apikey", "secret", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeefdeadbeef00", "x", "é", "ſecret", "K", "abcdefghijkl", "-", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" for c in w)
+    names = "|".join([*map(letters, ("password", "passwd", "secret", "token")), letters("api") + "_?" + letters("key")])
+    assign = re.compile(f"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, t in rows:
+        want = [("assign", *m.span()) for m in assign.finditer(t) if len(m.group(1)) >= 12]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 16]
+        want.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        spans = got[i].spans.split(",") if got[i].spans else []
+        assert [s for s in spans if not s.startswith("guess")] == (text.split(",") if text else [])
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secret_scan.KINDS.index(s.split(":")[0])))
+
+
+def test_corpus_words(spark, docs, empty):
+    none = spark.createDataFrame([], "value string")
+    found = secret_scan.corpus_words(docs, none, shared_dir(spark, "w")).orderBy("rank", "word").collect()
+    counts: dict[str, int] = {}
+    for _, t, *_ in corpus():
+        for w in re.split("[ \t\n\r.,;:!?|]+", t or ""):
+            if re.fullmatch("[A-Za-z]{3,24}", w):
+                counts[w.lower()] = counts.get(w.lower(), 0) + 1
+    counts = {w: n for w, n in counts.items() if n >= 2}
+    assert {r.word: r["rank"] for r in found} == {w: 1 + sum(x > n for x in counts.values()) for w, n in counts.items()}
+    value = spark.createDataFrame([(found[0].word,)] * counts[found[0].word], "value string")
+    assert found[0].word not in {r.word for r in secret_scan.corpus_words(docs, value, shared_dir(spark, "w")).collect()}
+    assert secret_scan.corpus_words(empty, none, shared_dir(spark, "w")).count() == 0
 
 
 def test_media_round_trip(spark, docs, empty):
@@ -158,7 +258,42 @@ def test_string_kernel_is_the_share_of_common_ngrams():
     model = language_id.fit([("abc abd", "x"), ("xyz", "y")])
     grams = lambda t: {w[i : i + k] for w in [" " + t + " "] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
     a, b = grams("abc abd"), grams("abd")
-    assert model.kernels(["abd"])[0][0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+    assert model.kernels([language_id.ngrams("abd")])[0][0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+
+
+def test_languages_with_thousands_of_letters():
+    rng = random.Random(4)
+    scripts = [[chr(c) for c in range(0x4E00 + k * 3000, 0x4E00 + (k + 1) * 3000)] for k in range(2)]
+    text = lambda k: "".join(rng.choice(scripts[k]) for _ in range(400))
+    model = language_id.fit([(text(k), f"l{k}") for k in (0, 1) for _ in range(60)])
+    assert [x for x, _ in model.predict([text(k % 2) for k in range(40)])] == [f"l{k % 2}" for k in range(40)]
+
+
+def test_ngrams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = "Añb c-日本. " * 30
+    whole = language_id.ngrams(text)
+    s = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
+    assert len(whole) == len({s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1)})
+    monkeypatch.setattr(language_id, "STEP", 7)
+    assert (language_id.ngrams(text) == whole).all()
+
+
+def test_ridge_regression_equals_a_dense_one():
+    """With every row a landmark the Nyström fit is kernel ridge regression itself, here solved from kernels of Python sets."""
+    rng = random.Random(6)
+    rows = [("".join(rng.choice(alphabet) for _ in range(60)), lang) for lang, alphabet in (("x", "abcde "), ("y", "defgh "), ("z", "aeiou ")) for _ in range(6)]
+    grams = lambda t: {w[i : i + k] for w in [" " + t + " "] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
+    sets = [grams(t) for t, _ in rows]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == x else -1.0 for x in "xyz"] for _, lang in rows])
+    # Rows weigh 1/6, the ridge 1e-3 / 3: (K + 6 * 1e-3 / 3) a = y.
+    dense = np.linalg.solve(k + 2e-3 * np.eye(len(k)), y)
+    new = ["abc de", "hgf de", "aei ou abc"]
+    want = np.array([[kernel(grams(t), b) for b in sets] for t in new]) @ dense
+    model = language_id.fit(rows, landmarks=len(rows))
+    got = model.kernels([language_id.ngrams(t) for t in new]) @ model.weights
+    assert np.abs(got - want).max() < 0.02
 
 
 def test_packing(docs, empty, tokenizer):
@@ -182,7 +317,7 @@ def test_packing_plan_places_every_piece(seed):
     rng = np.random.default_rng(seed)
     demand = np.zeros(513, np.int64)
     np.add.at(demand, rng.integers(1, 513, 4000), 1)
-    plan = packing.solve(demand, 512, rounds=60)
+    plan = packing.solve(demand, 512)
     placed = np.zeros_like(demand)
     for content, count in plan:
         assert sum(content) <= 512 and count > 0
@@ -193,9 +328,67 @@ def test_packing_plan_places_every_piece(seed):
 
 
 def test_knapsack_pricing_is_best():
-    prices = np.array([0, 1.0, 2.5, 0, 5.2, 0, 0])
-    found = packing.best_configuration(prices, 6)
-    assert sum(n * k for n, k in found.items()) <= 6 and sum(prices[n] * k for n, k in found.items()) == pytest.approx(7.7)
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        prices = np.where(rng.random(13) < 0.5, rng.random(13), 0)
+        prices[0] = 0
+        best, take = packing.knapsack(prices, 12)
+
+        def brute(c):
+            return max([0.0, *[prices[n] + brute(c - n) for n in range(1, c + 1) if prices[n] > 0]])
+
+        assert best == pytest.approx([brute(c) for c in range(13)])
+        found = packing.configuration(12, best, take, prices)
+        assert sum(n * k for n, k in found.items()) <= 12 and sum(prices[n] * k for n, k in found.items()) == pytest.approx(best[12])
+
+
+def fewest_sequences(pieces: list[int], capacity: int) -> int:
+    """The exact optimum, by trying every place for every piece."""
+    best = [len(pieces)]
+
+    def place(i: int, room: tuple[int, ...]) -> None:
+        if len(room) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(room)
+            return
+        for k in {r: k for k, r in enumerate(room) if r >= pieces[i]}.values():
+            place(i + 1, (*room[:k], room[k] - pieces[i], *room[k + 1 :]))
+        place(i + 1, (*room, capacity - pieces[i]))
+
+    place(0, ())
+    return best[0]
+
+
+def test_packing_of_few_pieces_is_near_the_exact_optimum():
+    rng = random.Random(12)
+    above = 0
+    for _ in range(150):
+        pieces = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 9))), reverse=True)
+        plan = packing.solve(np.bincount(pieces, minlength=13), 12)
+        extra = sum(n for _, n in plan) - fewest_sequences(pieces, 12)
+        assert 0 <= extra <= 1
+        above += extra
+    assert above <= 8
+
+
+def test_packing_plan_comes_from_the_program():
+    """Where best-fit decreasing needs 11 sequences of 9, and on demands of many pieces of every length."""
+    demand = np.zeros(101, np.int64)
+    demand[[51, 27, 26, 23]] = 6, 6, 6, 12
+    assert sum(packing.best_fit(demand, 100).values()) == 11
+    assert sum(n for _, n in packing.solve(demand, 100)) == 9
+    assert sum(n for _, n in packing.solve(demand * 50, 100)) == 450
+    rng = np.random.default_rng(5)
+    demand = rng.integers(1, 4000, 257)
+    demand[0] = 0
+    assert sum(n for _, n in packing.solve(demand, 256)) <= 1.001 * sum(packing.best_fit(demand, 256).values())
+    demand[80:] //= 50
+    plan, left = packing.program(demand, 256)
+    assert left.sum() <= 0.001 * demand.sum() and all(sum(c) == 256 for c in plan)
+    assert sum(len(c) * n for c, n in plan.items()) + left.sum() == demand.sum()
+    bound = -(-int((demand * np.arange(257)).sum()) // 256)
+    assert bound <= sum(n for _, n in packing.solve(demand, 256)) <= 1.0001 * bound + 1
 
 
 def test_line_dedup(spark, empty):
@@ -435,6 +628,25 @@ def test_word_hashes_split_like_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_word_hashes_tell_long_words_apart():
+    a, b = "a" * 65_536, "b" * 65_536
+    texts = [a + b, b + a, a + a, a * 20 + b, b + a * 20, "x" * 3_000_001, "x" * 3_000_002, "ab" * 200, "ba" * 200, "abba" * 600, "baab" * 600, "A" * 300, "a" * 300]
+    assert len(set(word_hashes(pa.array(texts))[0].tolist())) == len(texts)
+    lower = word_hashes(pa.array(texts), lower=True)[0]
+    assert lower[-1] == lower[-2]
+    assert word_hashes(pa.array([f"q {a + b} z"]))[0][1] == word_hashes(pa.array(texts[:1]))[0][0]
+
+
+def test_long_words_in_near_duplicates_and_repeats(spark):
+    a, b = "a" * 66_000, "b" * 66_000
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([x, *rest])) for i, x in enumerate([a + b, b + a, a + b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.find_repeats(docs).digests().collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == kept_words(rows)
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == components(rows)
+
+
 def test_pipeline_keeps_columns_and_takes_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = queries.documents(spark, sf)
