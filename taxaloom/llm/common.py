@@ -26,13 +26,15 @@ M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (URI) under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (local tests) a temporary folder becomes the checkpoint folder.
+    Where the setting is missing a temporary folder becomes the checkpoint folder, in local mode only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             root = jsc.getCheckpointDir().get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(root)

@@ -5,8 +5,11 @@ its budget of k edits.
 A text within k edits of a window of m characters shares at least m - q + 1 - kq q-grams with it, near one diagonal (place
 in the text less place in the item). Workers look up the text's q-grams among the items', sort the hits of each item in
 overlapping diagonal bands at least k wide by place, keep the windows that reach the bound, and verify those by banded
-alignment with free ends in the text. Documents are only read, never shuffled; the benchmark comes in blocks of bounded
-size, each broadcast in its turn.
+alignment with free ends in the text. Documents are only read, once and never shuffled. The benchmark's different texts come
+in blocks of bounded size; all blocks are broadcast, compressed, and a worker has the tables of one block at a time.
+
+A text that repeats a few characters over a long stretch has the same windows again and again; of such a stretch all but
+two ends are left out of the search (``squeezed``), so that its length doesn't count.
 
 Characters compare in lower case (up to U+05FF) and all ASCII white space as a space. An item of fewer than 20 characters
 has no budget; one of fewer than Q, which has no q-gram, is found where no letter or digit of the text goes on with it.
@@ -17,22 +20,27 @@ kept; repeated rows are reported each; empty tables give an empty result; other
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaloom.llm.common import M1, U64, ship, text_groups
 
 #: q-grams (their hash is put together for this Q), characters of a window, and edits allowed for each character.
 Q, SEGMENT, RATE = 10, 80, 0.06
-#: Characters of the items in one broadcast block.
-BLOCK_CHARS = 8 << 20
+#: Characters of the items in one block, and blocks that one scan of the documents takes.
+BLOCK_CHARS, SCAN_BLOCKS = 8 << 20, 64
+#: Periods of stretches that are squeezed, and characters that stay at each end: more than any window with its edits and band.
+PERIODS, STAY = 128, 256
 
 _FOLD = np.arange(0x110000, dtype=np.uint32)
 _FOLD[: 0x600] = [ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x600)]
@@ -219,11 +227,38 @@ def _tiny(chars: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
                 yield from ((i, a, a + m) for i in found)
 
 
+def squeezed(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text without the middle of stretches that repeat up to PERIODS characters, and the place of each character left.
+
+    What goes is a multiple of the period, so the windows of what stays are those of the whole.
+    """
+    origin = np.arange(len(chars))
+    for p in range(1, PERIODS + 1):
+        if len(chars) < 3 * STAY:
+            break
+        same = np.concatenate([[False], chars[p:] == chars[:-p], [False]])
+        ends = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        keep = None
+        for a, b in ends[ends[:, 1] - ends[:, 0] >= 2 * STAY + p].tolist():
+            keep = np.ones(len(chars), bool) if keep is None else keep
+            keep[a + STAY : a + STAY + (b + p - a - 2 * STAY) // p * p] = False
+        if keep is not None:
+            chars, origin = chars[keep], origin[keep]
+    return chars, origin
+
+
 def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]:
     """Leaks in one text: item id, start, end, fewest edits of a window and characters of the item found, one row for each place."""
     chars = folded(text)
     if not items.chars or not len(chars):
         return []
+    if not items.tiny and not items.maybe[_slot(qgrams(chars))].any():
+        return []
+    chars, origin = squeezed(chars)
+    return [(item, int(origin[a]), int(origin[b - 1]) + 1 if b > a else int(origin[a]), edits, n) for item, a, b, edits, n in _places(chars, items)]
+
+
+def _places(chars: np.ndarray, items: Items) -> list[tuple[int | None, int, int, int, int]]:
     #: By item: start, end and edits in the text, first and last place in the item.
     found: dict[int, list[tuple[int, int, int, int, int]]] = {}
     for i, a, b in _tiny(chars, items):
@@ -265,49 +300,77 @@ def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Broadcast]:
-    """The benchmark's items in blocks of about ``block_chars`` characters, broadcast one at a time."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[Broadcast]]:
+    """The different texts of the benchmark in broadcast blocks of about ``block_chars`` characters, those of one scan together.
+    A block is a name and its compressed rows: the text's hash, which stands for all items that have it, and the text."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // block_chars)
+    texts = benchmark.select(F.col(text_col).alias("text")).where("text is not null").distinct().select(_key(F.col("text")).alias("key"), "text")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n, held = -(-size // block_chars), []
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield spark.sparkContext.broadcast(block_of([tuple(r) for r in part]))
+        part = texts.where(F.pmod("key", F.lit(n)) == k).orderBy("key", "text").collect()
+        rows = zstandard.ZstdCompressor().compress(pickle.dumps([tuple(r) for r in part]))
+        held.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows)))
+        if len(held) == SCAN_BLOCKS or k == n - 1:
+            yield held
+            held = []
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.lit(7), text)
+
+
+_LOADED: dict[str, Items] = {}
+
+
+def loaded(block: Broadcast) -> Items:
+    """A block's items and tables; the worker keeps those of the last one."""
+    name, rows = block.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = block_of(pickle.loads(zstandard.ZstdDecompressor().decompress(rows)))
+    return _LOADED[name]
 
 
 HITS = "doc_id long, item_id long, start long, end long, edits long, item_chars long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document, item and place where it is found; clean documents have none."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], HITS)
-    for items in blocks(benchmark, **columns):
+    hits = HITS.replace("item_id", "key")
+    out = spark.createDataFrame([], hits)
+    for held in blocks(benchmark, item_col, item_text_col, block_chars):
 
-        def search(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], held: list[Broadcast] = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for begin, group in text_groups(batch.column(1).to_pylist()):
-                    hits = [(ids[i], *hit) for i, text in enumerate(group, begin) for hit in find(text, items.value)]
-                    if hits:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*hits, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
+                for block in held:
+                    for begin, group in text_groups(batch.column(1).to_pylist()):
+                        found = [(ids[i], *hit) for i, text in enumerate(group, begin) for hit in find(text, loaded(block))]
+                        if found:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=[c.split()[0] for c in hits.split(", ")])
 
-        out = out.unionByName(rows.mapInArrow(search, HITS))
-    return out
+        out = out.unionByName(rows.mapInArrow(search, hits))
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(_key(F.col(item_text_col)).alias("key"), F.col(item_col).cast("long").alias("item_id"))
+    return out.join(items, "key").select(*[c.split()[0] for c in HITS.split(", ")])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without a benchmark passage, all columns as they are."""
     ship(docs.sparkSession)
     at, schema = docs.columns.index(text_col), docs.schema
-    for items in blocks(benchmark, **columns):
+    for held in blocks(benchmark, item_col, item_text_col, block_chars):
 
-        def clean(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], held: list[Broadcast] = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not find(text or "", items.value) for text in batch.column(at).to_pylist()], pa.bool_()))
+                texts = batch.column(at).to_pylist()
+                stays = np.ones(len(texts), bool)
+                for block in held:
+                    stays &= [not (stay and find(text or "", loaded(block))) for stay, text in zip(stays, texts, strict=True)]
+                yield batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -1,9 +1,12 @@
 """Site-relative boilerplate lines (operator 6, DataFrame functions only).
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it over the number
-of the host's pages; lines above the allowed ratio, on enough pages, are dropped from every page of
-that host. Lines travel as 128-bit hashes, so a shuffle moves no text but that of the final join; a frequent line
-is counted before the shuffle and a large host is spread over its lines.
+of the host's pages; lines above the allowed ratio are dropped from every page of that host. Lines travel as 128-bit
+hashes, so a shuffle moves no text but that of the final join; a frequent line is counted before the shuffle and a
+large host is spread over its lines. A page's time follows its lines, however many of them go.
+
+On a host of fewer pages than one over the ratio any line exceeds it. ``min_pages`` (1: no such limit) keeps lines that are on
+fewer pages.
 
 Defined cases: a null host is a host of its own; a null or empty text has no lines and stays as it is; blank
 lines are never boilerplate; repeated rows count as pages each; an empty table gives an empty result;
@@ -25,12 +28,19 @@ def _lines(text: Column) -> Column:
 
 
 def _page_lines(rows: DataFrame) -> DataFrame:
-    """Each different line of each page that isn't blank: key, host and hash."""
+    """Each different line of each page that isn't blank: host and hash."""
     kept = F.filter(_lines(F.col("text")), lambda x: F.trim(x) != "")
-    return rows.select("key", "host", F.explode(F.array_distinct(F.transform(kept, _hash))).alias("line"))
+    # Strings are told apart by a hash set; structs would be compared with each other.
+    return rows.select("host", F.explode(F.transform(F.array_distinct(kept), _hash)).alias("line"))
+
+
+def _placed_lines(rows: DataFrame) -> DataFrame:
+    """Every line of each page that isn't blank: key, host, place and hash."""
+    each = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), F.when(F.trim(x) != "", _hash(x)).alias("line")))
+    return rows.select("key", "host", F.explode(F.filter(each, lambda x: x["line"].isNotNull())).alias("x")).select("key", "host", "x.place", "x.line")
 
 
-def frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 1, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Boilerplate lines by host: host, line (hash), pages, host_pages."""
     return _frequent(_keyed(docs, host_col, id_col, text_col), max_ratio, min_pages)
 
@@ -48,31 +58,31 @@ def _frequent(rows: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
     return counts.join(totals, "host").where(F.col("pages") > F.lit(max_ratio) * F.col("host_pages"))
 
 
-def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 1, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with boilerplate lines taken out of their text; all other columns as they are.
 
     Adds nothing: see ``line_report`` for counts.
     """
     names = docs.columns
     out = _with_drops(docs, max_ratio, min_pages, host_col, id_col, text_col)
-    return out.select(*[_kept(out).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+    return out.select(*[_kept().alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
-def line_report(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 1, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, lines, lines dropped and the text that stays."""
     out = _with_drops(docs, max_ratio, min_pages, host_col, id_col, text_col)
-    text = F.col(f"row.`{text_col}`")
-    lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.size(_lines(text)))
-    dropped = F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size(F.filter(_lines(text), lambda x: F.array_contains(F.col("drops"), _hash(x)))))
-    return out.select(F.col(f"row.`{id_col}`").alias(id_col), lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), _kept(out).alias("text"))
+    lines = F.when(F.col("lines").isNull() | (F.col("lines") == F.array(F.lit(""))), F.lit(0)).otherwise(F.size("lines"))
+    dropped = F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size("drops"))
+    return out.select(F.col(f"row.`{id_col}`").alias(id_col), lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), _kept().alias("text"))
 
 
 def _with_drops(docs: DataFrame, max_ratio: float, min_pages: int, host_col: str, id_col: str, text_col: str) -> DataFrame:
-    """row: all columns; text; drops: the hashes of the lines to drop, null for none."""
+    """row: all columns but the text; lines: the text's; drops: the places of the lines to drop, null for none."""
     rows = _keyed(docs, host_col, id_col, text_col)
-    found = _page_lines(rows).join(_frequent(rows, max_ratio, min_pages).select("host", "line"), ["host", "line"])
-    drops = found.groupBy("key").agg(F.collect_set("line").alias("drops"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _keyed_key(host_col, id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = _placed_lines(rows).join(_frequent(rows, max_ratio, min_pages).select("host", "line"), ["host", "line"])
+    drops = found.groupBy("key").agg(F.collect_set("place").alias("drops"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0)]
+    whole = docs.select(F.struct(*others).alias("row"), _keyed_key(host_col, id_col, text_col).alias("key"), _lines(F.col(f"`{text_col}`")).alias("lines"))
     return whole.join(drops, "key", "left")
 
 
@@ -81,9 +91,10 @@ def _keyed_key(host_col: str, id_col: str, text_col: str) -> Column:
     return F.struct(F.xxhash64(F.lit(1), doc, host, text).alias("a"), F.xxhash64(F.lit(2), doc, host, text).alias("b"))
 
 
-def _kept(out: DataFrame) -> Column:
-    stays = F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("drops"), _hash(x))), "\n")
-    return F.when(F.col("drops").isNull(), F.col("text")).otherwise(stays)
+def _kept() -> Column:
+    """The text of the lines that stay. Places are told apart by a hash set, and ``lines`` is a column of its own: linear."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    return F.when(F.col("drops").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
 
 
 #: The report in DuckDB's SQL; the names in braces are the table, the columns and the limits.

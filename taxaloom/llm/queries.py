@@ -55,7 +55,7 @@ def language_model(docs: DataFrame) -> language_id.Model:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir), MAX_RATIO, MIN_PAGES, host_col="source")
+    return line_dedup.line_report(documents(spark, sf_dir), MAX_RATIO, host_col="source")
 
 
 def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.regexp_extract("url", HOST, 1)
     lines = F.regexp_replace("html", BREAKS, "\n")
-    return line_dedup.line_report(pages.select("page_id", host.alias("host"), lines.alias("html")), MAX_RATIO, MIN_PAGES, "host", "page_id", "html")
+    return line_dedup.line_report(pages.select("page_id", host.alias("host"), lines.alias("html")), MAX_RATIO, host_col="host", id_col="page_id", text_col="html")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find_repeats(documents(spark, sf_dir), window=13).digests()
 
 
-#: Lines on more than a tenth of a host's pages, and on five at least, are boilerplate.
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Lines on more than a tenth of a host's pages are boilerplate.
+MAX_RATIO = 0.1
 #: Host of a web address, and tags after which a page's next line begins.
 HOST = r"^[a-zA-Z]+://([^/:?#]+)"
 BREAKS = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/title|/ul|/nav|/article|/head|/script|/style)[^>]*>"
@@ -96,7 +96,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    limits = {"min_pages": MIN_PAGES, "max_ratio": MAX_RATIO}
+    limits = {"min_pages": 1, "max_ratio": MAX_RATIO}
     pages = f"""(select page_id, regexp_extract(url, '{HOST}', 1) as host, regexp_replace(html, '{BREAKS}', chr(10), 'g') as html from pages)"""
     return {
         "op6_line_dedup": line_dedup.REPORT_SQL.format(table="documents", id="doc_id", host="source", text="text", **limits),

@@ -402,6 +402,16 @@ def test_line_dedup(spark, empty):
     want = duck.sql(line_dedup.REPORT_SQL.format(table="t", id="doc_id", host="source", text="text", min_pages=5, max_ratio=0.3)).fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in line_dedup.line_report(docs, 0.3, 5).collect())
     assert line_dedup.line_report(empty).count() == 0
+    few = spark.createDataFrame([(1, "a\nb", "h"), (2, "a\nc", "h"), (3, "only", "i")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in line_dedup.drop_frequent_lines(few, 0.5).collect()} == {1: "b", 2: "c", 3: ""}
+
+
+def test_line_dedup_of_pages_with_very_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, text + f"\nown {i}", "h") for i in range(3)], "doc_id long, text string, source string")
+    began = time.time()
+    assert sorted(r.text for r in line_dedup.drop_frequent_lines(docs, 0.5).collect()) == ["own 0", "own 1", "own 2"]
+    assert time.time() - began < 40
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -489,6 +499,60 @@ def test_leaks_of_excerpts_wherever_they_are_cut():
     assert decontamination.find("if x = 42: max = 421", items) == [(4, 3, 9, 0, 6)]
 
 
+def test_leaks_equal_all_substrings():
+    """Items against texts with edited copies around their budget, by the fewest edits of any part of the text."""
+    rng = random.Random(21)
+    seen = {False: 0, True: 0}
+    for _ in range(250):
+        item = "".join(rng.choice("abcdef ") for _ in range(rng.choice([20, 34, 50, 67, 80])))
+        budget = int(decontamination.block_of([(1, item)]).budget[0])
+        noisy = list(item)
+        for _ in range(rng.randint(max(0, budget - 1), budget + 2)):
+            k = rng.randrange(len(noisy))
+            noisy[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        text = "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60))) + "".join(noisy) + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60)))
+        want = edits(item, text) <= budget
+        found = decontamination.find(text, decontamination.block_of([(1, item)]))
+        assert bool(found) == want, (item, text)
+        assert all(edits(item, text[a:b]) <= budget for _, a, b, *_ in found)
+        seen[want] += 1
+    assert min(seen.values()) > 40
+
+
+def test_squeezed_texts_have_the_same_leaks():
+    rng = random.Random(22)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for _ in range(15):
+        unit = letters(rng.randint(1, 20)) + "z"
+        item = letters(40) + unit * 4 + letters(rng.randint(0, 30))
+        items = decontamination.block_of([(1, item[:120]), (2, "-" * 90), (3, unit * 8)])
+        text = letters(100) + unit * (1500 // len(unit)) + letters(50) + item[:120] + letters(50) + "-" * rng.choice([70, 900])
+        whole = decontamination._places(decontamination.folded(text), items)
+        short = decontamination.find(text, items)
+        assert {i for i, *_ in whole} == {i for i, *_ in short}
+        cover = lambda rows, i: {x for j, a, b, *_ in rows if j == i for x in range(a, b)}
+        for i in (1, 2, 3):
+            a, b = cover(whole, i), cover(short, i)
+            assert len(a ^ b) <= 0.02 * len(a) + 8
+
+
+@pytest.mark.parametrize("text", ["-" * 1_000_000, "ab" * 500_000, ("=" * 79 + "\n") * 2000])
+def test_leaks_of_repetitive_texts_take_seconds(text):
+    items = decontamination.block_of([(1, "a heading\n" + "-" * 100), (2, "ab" * 60), (3, "=" * 90)])
+    began = time.time()
+    assert decontamination.find(text, items)
+    assert time.time() - began < 15
+
+
+def test_copies_of_an_item_are_searched_once_and_all_reported(spark):
+    bench = spark.createDataFrame([(i, "which sea is the deepest of all the seas") for i in range(50)] + [(None, "which sea is the deepest of all the seas"), (60, "another item that is not there")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: which sea is the deepest of all the seas?"), (2, "clean")], "doc_id long, text string")
+    assert len(next(decontamination.blocks(bench))) == 1
+    rows = decontamination.leaks(docs, bench).collect()
+    assert sorted((r.item_id is None, r.item_id) for r in rows if r.item_id is not None) == [(False, i) for i in range(50)] and len(rows) == 51
+    assert {r.doc_id for r in rows} == {1}
+
+
 def shingles(text: str | None) -> frozenset:
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
