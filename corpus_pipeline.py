@@ -16,7 +16,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on more than a tenth of a source's documents go; every document stays, with its new length."""
-    out = line_dedup.drop_frequent_lines(docs, queries.MAX_RATIO, queries.MIN_PAGES, host_col="source")
+    out = line_dedup.drop_frequent_lines(docs, queries.MAX_RATIO, host_col="source")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
