@@ -38,12 +38,11 @@ def squeeze(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """One form for dashes, spaces, quotes and doubled marks."""
-    c = F.translate(c, "– \"“”‘’`", "- ")
-    c = F.regexp_replace(c, r"\b([A-Z]),", r"$1.")
-    c = F.regexp_replace(c, r"\.{2,}", ".")
-    c = F.regexp_replace(c, r"(^|\s)[xX]\s+(?=[a-z]+\.)", "$1")
-    return squeeze(c)
+    """En dashes as hyphens, plain spaces, a period for the comma after a capital, no straight quotes, single periods, and no
+    lower-case x alone before a word of two or more characters and a period."""
+    c = F.regexp_replace(F.translate(c, "\u2013\u00a0\"", "- "), r"([A-Z]),", r"$1.")
+    c = F.regexp_replace(c, r"\.\.", ".")
+    return squeeze(F.regexp_replace(c, r"\s+x\s+(?=\S{2,}\.)\s*", " "))
 
 
 def clean_symbols(c: Column, symbols: Mapping[str, str] = SYMBOLS) -> Column:
@@ -122,62 +121,108 @@ def is_mark(x: Column) -> Column:
     return x.isin(*INFRA)
 
 
-#: Structure classes of a name, by words before any author, hybrid sign and rank marks.
-STRUCTURES = ("empty", "genus", "species", "infraspecies", "infraspecies multiple", "hybrid genus", "hybrid species", "hybrid formula", "hybrid infraspecies", "infraspecies without epithet", "mark first", "unknown genus", "unknown epithet", "species without rank", "hybrid without epithet", "unknown")
+# Structure classes of a name.
+STRUCTURES = (
+    "species", "cultivar", "hybridCultivar", "infraspecificTaxon", "MultiInfraspecificTaxon", "interGenericHybrid", "intraGenericHybrid", "interSpecificHybrid",
+    "MultiIntraSpecificHybrid", "unknownHybrid", "interGenericHybridTaxon", "interSpecificHybridTaxon", "unknownInfraHybrid", "empty",
+)
 
 
 def structure(df: DataFrame, name: str) -> DataFrame:
-    """Adds tokens, positions of marks and hybrid signs (0 for none), and the structure class."""
-    first = lambda array, test: F.coalesce(F.get(F.filter(F.transform(array, lambda x, i: F.when(test(x), i + 1)), lambda p: p.isNotNull()), 0), F.lit(0))
-    tokens = F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(r"(\S+)"), F.lit(1))
-    out = df.withColumn("tokens", tokens)
+    """Adds tokens, positions (from 1) of rank marks and hybrid signs, and the structure class.
+
+    A token is a word or what parentheses hold. A mark counts if a word follows that is no mark; ``f.`` after an
+    abbreviation is an author's. A sign beside a mark isn't a token of its own.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\(\s", "("), r"\s\)", ")")
+    out = df.withColumn("_all", F.regexp_extract_all(text, F.lit(r"(\([^()]*\)|\S+)"), F.lit(1)))
+    every = F.col("_all")
+    no = F.lit(False)
+    filius = lambda t, x, i: (x == "f.") & F.coalesce(F.get(t, i - 1).rlike(r"\.$|Baker"), no)
+    counts = lambda t, x, i: F.coalesce(is_mark(x) & (i > 0) & ~is_mark(F.get(t, i + 1)) & ~filius(t, x, i), no)
+    beside = lambda i: counts(every, F.get(every, i - 1), i - 1) | counts(every, F.get(every, i + 1), i + 1)
+    out = out.withColumn("tokens", F.filter(every, lambda x, i: ~((x == HYBRID) & beside(i))))
     t = F.col("tokens")
-    out = out.withColumns({"mark_at": first(t, is_mark), "hybrid_at": first(t, lambda x: x == HYBRID), "marks": F.size(F.filter(t, is_mark))})
-    n, mark, hybrid = F.size("tokens"), F.col("mark_at"), F.col("hybrid_at")
-    word = lambda i: F.get(t, F.lit(i))
-    low = lambda i: word(i).rlike(r"^[\p{Ll}-]+$")
-    genus = F.coalesce(word(0).rlike(r"^\p{Lu}[\p{Ll}-]+$"), F.lit(False))
-    second, third = F.coalesce(low(1), F.lit(False)), F.coalesce(low(2), F.lit(False))
+    at = lambda test: F.filter(F.transform(t, lambda x, i: F.when(test(x, i), i + 1)), lambda p: p.isNotNull())
+    out = out.withColumns({
+        "mark_at": at(lambda x, i: counts(t, x, i)),
+        "hybrid_at": at(lambda x, i: x == HYBRID),
+        "quote_at": at(lambda x, i: x.rlike(r"^'[A-Z][^']*")),
+    })
+    n, marks, signs, h = F.size("tokens"), F.size("mark_at"), F.size("hybrid_at"), F.get("hybrid_at", F.lit(0))
+    first, after = F.get(t, F.lit(0)), F.get(t, h)
+    short = after.rlike(r"^[A-Z]\.$")
+    genera = (h == 1) | ((h < n) & first.rlike(r"^\p{Lu}") & after.rlike(r"^\p{Lu}") & ~short & (first != after))
     kind = (
         F.when(n == 0, "empty")
-        .when(mark == 1, "mark first")
-        .when((hybrid == 1) & F.coalesce(word(1).rlike(r"^\p{Lu}"), F.lit(False)), "hybrid genus")
-        .when(hybrid == n, "hybrid without epithet")
-        .when((hybrid > 0) & (mark > 0), "hybrid infraspecies")
-        .when((hybrid == 2) & third, "hybrid species")
-        .when(hybrid > 2, "hybrid formula")
-        .when(~genus, "unknown genus")
-        .when((mark > 0) & (mark == n), "infraspecies without epithet")
-        .when(F.col("marks") > 1, "infraspecies multiple")
-        .when(mark > 0, "infraspecies")
-        .when((n >= 3) & second & third, "species without rank")
-        .when(second, "species")
-        .when(n == 1, "genus")
-        .when(~second, "unknown epithet")
-        .otherwise("unknown")
+        .when((F.size("quote_at") > 0) & (marks == 0), F.when(signs > 0, "hybridCultivar").otherwise("cultivar"))
+        .when((marks > 0) & (signs > 0), F.when(h == 1, "interGenericHybridTaxon").when(h <= 3, "interSpecificHybridTaxon").otherwise("unknownInfraHybrid"))
+        .when(marks > 0, F.when(marks > 1, "MultiInfraspecificTaxon").otherwise("infraspecificTaxon"))
+        .when(signs == 0, "species")
+        .when(F.coalesce(genera, F.lit(False)), "interGenericHybrid")
+        .when(h == 2, "intraGenericHybrid")
+        .when((n >= 4) & (signs == 1) & F.coalesce((after == first) | short | after.rlike(r"^\P{Lu}"), F.lit(False)), "interSpecificHybrid")
+        .when((n >= 4) & (signs > 1), "MultiIntraSpecificHybrid")
+        .otherwise("unknownHybrid")
     )
-    return out.withColumn("structure", kind)
+    return out.withColumn("structure", kind).drop("_all")
 
 
 def name_parts(df: DataFrame, name: str) -> DataFrame:
-    """Genus, epithet, rank, infraspecific epithet, hybrid sign, clean name, author (other) and the rest (extra)
-    of each distinct cleaned name, joined to all rows."""
+    """Genus, epithet, rank, infraspecific epithet, hybrid sign, clean name, what follows it (other), the parts from a second
+    rank on (extra), and the full name of each distinct cleaned name, joined to all rows. A null or blank name has none."""
     cleaned = clean_designations(clean_symbols(clean_text(F.col(name))))
-    parts = structure(df.select(name).distinct().withColumn("full_name", cleaned), "full_name")
-    t, kind = F.col("tokens"), F.col("structure")
-    get = lambda i: F.get(t, i)
-    hybrid = kind.startswith("hybrid")
-    genus = F.when(kind.isin("empty", "mark first", "unknown genus"), None).when(kind == "hybrid genus", get(F.lit(1))).otherwise(get(F.lit(0)))
-    epithet = F.when(kind.isin("species", "infraspecies", "infraspecies multiple", "species without rank", "hybrid formula", "infraspecies without epithet"), get(F.lit(1))).when(kind.isin("hybrid species", "hybrid infraspecies") & (F.col("hybrid_at") == 2), get(F.lit(2))).when(kind == "hybrid infraspecies", get(F.lit(1)))
-    rank = F.when((F.col("mark_at") > 1), get(F.col("mark_at") - 1))
-    infra = F.when(F.col("mark_at") > 1, get(F.col("mark_at"))).when(kind == "species without rank", get(F.lit(2)))
-    parts = parts.withColumns({"genus": genus, "specific_epithet": epithet, "rank": rank, "infra_epithet": infra, "hybrid": F.when(hybrid, F.lit(HYBRID))})
-    clean = F.concat_ws(" ", F.when(kind == "hybrid genus", F.lit(HYBRID)), "genus", F.when(kind == "hybrid species", F.lit(HYBRID)), "specific_epithet", "rank", F.when(F.col("mark_at") > 1, F.col("infra_epithet")))
-    parts = parts.withColumn("clean_name", F.nullif(clean, F.lit("")))
-    used = F.array_compact(F.array("genus", "specific_epithet", "rank", "infra_epithet", F.lit(HYBRID)))
-    other = F.filter(t, lambda x: ~F.array_contains(used, x))
-    parts = parts.withColumn("other", F.nullif(F.array_join(other, " "), F.lit("")))
-    parts = parts.withColumn("extra", F.when(F.size(F.filter(t, is_mark)) > 1, F.array_join(F.slice(t, F.col("mark_at") + 2, F.size(t)), " ")))
+    parts = structure(df.select(name).distinct().withColumn("_text", cleaned), "_text")
+    t, kind, n = F.col("tokens"), F.col("structure"), F.size("tokens")
+    mark, h, quote = F.get("mark_at", F.lit(0)), F.get("hybrid_at", F.lit(0)), F.get("quote_at", F.lit(0))
+    one = lambda i: F.get(t, i - 1)
+    join = lambda *xs: F.concat_ws(" ", *xs)
+    w = lambda i: one(F.lit(i))
+    is_ = lambda *names_: kind.isin(*names_)
+    after = one(h + 1)
+    # Of "A b x A c" and "A b x A. c" the second genus goes.
+    again = (after == w(1)) | (after.rlike(r"^[A-Z]\.$") & (F.substring(after, 1, 1) == F.substring(w(1), 1, 1)))
+    other_parent = F.when(F.coalesce(again, F.lit(False)), h + 2).otherwise(h + 1)
+    abbreviated = F.coalesce(w(2).rlike(r"\.$"), F.lit(False)) & is_("species")
+    second = F.when(abbreviated, w(3)).otherwise(w(2))
+    formula = is_("interGenericHybrid") & (h > 1)
+    genus = F.when(is_("empty"), None).when(is_("interGenericHybrid", "interGenericHybridTaxon") & (h == 1), join(w(1), w(2))).otherwise(w(1))
+    epithet = (
+        F.when(is_("empty"), None)
+        .when(formula, join(w(2), F.lit(HYBRID), after, one(h + 2)))
+        .when(is_("interGenericHybrid", "interGenericHybridTaxon", "hybridCultivar"), w(3))
+        .when(is_("intraGenericHybrid") | (is_("interSpecificHybridTaxon") & (h == 2)), join(F.lit(HYBRID), w(3)))
+        .when(is_("interSpecificHybrid"), join(w(2), F.lit(HYBRID), one(other_parent)))
+        .when(is_("interSpecificHybridTaxon"), join(w(2), w(3), w(4)))
+        .when(is_("MultiIntraSpecificHybrid"), F.array_join(F.slice(t, 2, 5), " "))
+        .when(is_("cultivar"), F.when(quote == 2, w(2)).otherwise(join(w(2), one(quote))))
+        .when(is_("species"), second)
+        .otherwise(w(2))
+    )
+    ranked = is_("infraspecificTaxon", "MultiInfraspecificTaxon", "interGenericHybridTaxon", "interSpecificHybridTaxon")
+    # A single letter with a period after the mark is an author's.
+    initial = is_("infraspecificTaxon") & F.coalesce(one(mark + 1).rlike(r"^[A-Za-z]\.$"), F.lit(False)) & (n > mark + 1)
+    infra_at = F.when(initial, mark + 2).otherwise(mark + 1)
+    rank, infra = F.when(ranked, one(mark)), F.when(ranked, one(infra_at)).when(is_("unknownInfraHybrid"), w(4))
+    parts = parts.withColumns({"genus": genus, "specific_epithet": epithet, "rank": rank, "infra_epithet": infra, "hybrid": F.when(F.size("hybrid_at") > 0, F.lit(HYBRID))})
+    middle = F.when(is_("hybridCultivar"), w(2))
+    clean = F.when(is_("unknownHybrid", "unknownInfraHybrid"), F.array_join(F.slice(t, 1, 4), " ")).otherwise(F.concat_ws(" ", "genus", middle, "specific_epithet", "rank", F.when(ranked, F.col("infra_epithet"))))
+    upto = (
+        F.when(ranked, infra_at)
+        .when(is_("interSpecificHybrid"), other_parent)
+        .when(formula, h + 2)
+        .when(is_("MultiIntraSpecificHybrid"), F.lit(6))
+        .when(is_("cultivar"), quote)
+        .when(is_("species"), F.when(abbreviated, F.lit(3)).otherwise(F.lit(2)))
+        .when(is_("unknownHybrid", "unknownInfraHybrid"), F.lit(4))
+        .otherwise(F.lit(3))
+    )
+    last = F.when(is_("MultiInfraspecificTaxon"), F.get("mark_at", F.lit(1)) - 1).otherwise(n)
+    rest = F.filter(t, lambda x, i: ((i >= upto) & (i < last)) | (abbreviated & (i == 1)))
+    other = F.regexp_replace(F.array_join(rest, " "), r"\s*\([^()]*=.*?\)|\s*hybrid complex", "")
+    parts = parts.withColumn("clean_name", F.nullif(clean, F.lit(""))).withColumn("other", F.nullif(F.trim(other), F.lit("")))
+    extra = F.concat_ws(" ", w(1), w(2), F.array_join(F.filter(t, lambda x, i: i >= F.get("mark_at", F.lit(1)) - 1), " "))
+    parts = parts.withColumn("extra", F.when(is_("MultiInfraspecificTaxon"), extra)).withColumn("full_name", F.nullif(F.concat_ws(" ", "clean_name", "other"), F.lit("")))
     keep = ["full_name", "structure", "genus", "specific_epithet", "rank", "infra_epithet", "hybrid", "clean_name", "other", "extra"]
     small = parts.select(F.col(name).alias("_name"), *keep)
     return df.join(small, df[name].eqNullSafe(small["_name"]), "left").drop("_name")

@@ -66,19 +66,16 @@ def prefix_join(items: DataFrame, names: DataFrame, item: str, name: str, name_i
 
 
 def cascading_match(items: DataFrame, reference: DataFrame, passes: Sequence[tuple[str, str]], item_id: str, reference_id: str) -> DataFrame:
-    """Matches items to reference rows on one key after the other; each pass sees only what is left on both sides.
-
-    Within a pass the smallest ids pair up, one to one per key.
-    """
+    """Matches items to reference rows on one key after the other: all pairs that share the key. The next pass sees only rows
+    that have no match on either side."""
     out: list[DataFrame] = []
     left, right = items, reference
     for n, (a, b) in enumerate(passes, 1):
-        x = left.where(F.col(a).isNotNull()).groupBy(F.col(a).alias("_k")).agg(F.min(item_id).alias("item_id"))
-        y = right.where(F.col(b).isNotNull()).groupBy(F.col(b).alias("_k")).agg(F.min(reference_id).alias("reference_id"))
-        hit = x.join(y, "_k").select("item_id", "reference_id", F.lit(n).alias("pass"))
-        out.append(hit)
-        left = left.join(hit.select(F.col("item_id").alias(item_id)), item_id, "left_anti")
-        right = right.join(hit.select(F.col("reference_id").alias(reference_id)), reference_id, "left_anti")
+        x = left.select(F.col(a).alias("_k"), F.col(item_id).alias("item_id"))
+        y = right.select(F.col(b).alias("_k"), F.col(reference_id).alias("reference_id"))
+        out.append(x.join(y, "_k").select("item_id", "reference_id", F.lit(n).alias("pass")))
+        # A row has a match if the other side has its key; a null key stays.
+        left, right = left.join(y.select("_k").distinct(), F.col(a) == F.col("_k"), "left_anti"), right.join(x.select("_k").distinct(), F.col(b) == F.col("_k"), "left_anti")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -101,16 +98,26 @@ def backbone_match(checklist: DataFrame, backbone: DataFrame, name: str, backbon
 
 
 def fuzzy_match(names: DataFrame, backbone: DataFrame, name: str, backbone_name: str, backbone_id: str, max_distance: int = 3) -> DataFrame:
-    """The nearest backbone name by edit distance: exact names first, the rest blocked on their first three letters
-    and on a length within the distance. Ties take the smallest id."""
+    """The nearest backbone name by edit distance; ties take the smallest id.
+
+    Exact names are joined first. Of ``max_distance`` + 1 pieces of a backbone name one at least is whole in any name within the
+    distance, and no farther from its place than that: names meet on the length and the text of such a piece.
+    """
     wanted = names.select(name).distinct().where(F.col(name).isNotNull())
     ids = backbone.groupBy(F.col(backbone_name).alias("_b")).agg(F.min(backbone_id).alias("match_id")).where("_b is not null")
     exact = wanted.join(ids, wanted[name] == ids["_b"]).select(name, "match_id", F.col("_b").alias("match_name"), F.lit(0).alias("distance"))
-    rest = wanted.join(exact.select(name), name, "left_anti").withColumn("_block", F.substring(name, 1, 3))
-    span = F.explode(F.sequence(F.length(name) - max_distance, F.length(name) + max_distance))
-    probes = rest.withColumn("_len", span)
-    keyed = ids.select("match_id", "_b", F.substring("_b", 1, 3).alias("_block"), F.length("_b").alias("_len"))
-    near = probes.join(keyed, ["_block", "_len"]).withColumn("distance", F.levenshtein(F.col(name), F.col("_b"), max_distance)).where("distance >= 0")
+    k = max_distance
+    begin = lambda n, i: F.floor(n * i / (k + 1)).cast("int")
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(k)))
+    keyed = ids.select("match_id", "_b", F.length("_b").alias("_len"), pieces.alias("_i"))
+    keyed = keyed.withColumn("_piece", F.substring(F.col("_b"), begin(F.col("_len"), F.col("_i")) + 1, begin(F.col("_len"), F.col("_i") + 1) - begin(F.col("_len"), F.col("_i"))))
+    rest = wanted.join(exact.select(name), name, "left_anti")
+    probes = rest.select(name, F.explode(F.sequence(F.greatest(F.length(name) - k, F.lit(0)), F.length(name) + k)).alias("_len")).select(name, "_len", pieces.alias("_i"))
+    probes = probes.withColumn("_from", begin(F.col("_len"), F.col("_i"))).withColumn("_size", begin(F.col("_len"), F.col("_i") + 1) - F.col("_from"))
+    probes = probes.withColumn("_at", F.explode(F.sequence(F.col("_from") - k, F.col("_from") + k))).where((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.length(name)))
+    probes = probes.select(name, "_len", "_i", F.substring(F.col(name), F.col("_at") + 1, F.col("_size")).alias("_piece")).distinct()
+    pairs = probes.join(keyed, ["_len", "_i", "_piece"]).select(name, "match_id", "_b").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(F.col(name), F.col("_b"), k)).where("distance >= 0")
     best = near.groupBy(name).agg(F.min(F.struct("distance", "match_id", F.col("_b").alias("match_name"))).alias("m"))
     return exact.unionByName(best.select(name, "m.match_id", "m.match_name", "m.distance"))
 

@@ -217,11 +217,11 @@ def j11(s, d):
 
 
 _PASS = """with i as (select p_partkey id, p_name a, p_type t, p_partkey * 2 as u from part where p_partkey % 2 = 0), r as (select p_partkey id, p_name a, p_type t, p_partkey as u from part where p_partkey % 2 = 1 or p_partkey % 8 = 0),
- h1 as (select i.x item_id, r.x reference_id, 1 as pass from (select u, min(id) x from i group by u) i join (select u, min(id) x from r group by u) r using (u)),
+ h1 as (select i.id item_id, r.id reference_id, 1 as pass from i join r using (u)),
  i2 as (select * from i where id not in (select item_id from h1)), r2 as (select * from r where id not in (select reference_id from h1)),
- h2 as (select i.x item_id, r.x reference_id, 2 as pass from (select a, min(id) x from i2 group by a) i join (select a, min(id) x from r2 group by a) r using (a)),
+ h2 as (select i2.id item_id, r2.id reference_id, 2 as pass from i2 join r2 using (a)),
  i3 as (select * from i2 where id not in (select item_id from h2)), r3 as (select * from r2 where id not in (select reference_id from h2)),
- h3 as (select i.x item_id, r.x reference_id, 3 as pass from (select t, min(id) x from i3 group by t) i join (select t, min(id) x from r3 group by t) r using (t))
+ h3 as (select i3.id item_id, r3.id reference_id, 3 as pass from i3 join r3 using (t))
  select * from h1 union all select * from h2 union all select * from h3"""
 
 
@@ -252,12 +252,12 @@ def j18(s, d):
     return checklist.standardize(b.chk(s, d), back.where("usage_key % 5 <> 0"), back)
 
 
-@query("J19_fuzzy_match", """with b as (select p_name as n, min(p_partkey) as id from part where p_partkey % 2 = 0 group by 1), q as (select distinct case when p_size % 3 = 0 then p_name || 'x' else p_name end as name from part),
-  x as (select name, id as match_id, n as match_name, levenshtein(name, n)::int as distance from q join b on substr(name, 1, 3) = substr(n, 1, 3) and abs(length(name) - length(n)) <= 3 where levenshtein(name, n) <= 3)
+@query("J19_fuzzy_match", """with b as (select p_name as n, min(p_partkey) as id from part where p_partkey % 2 = 0 group by 1), q as (select distinct case p_size % 3 when 0 then p_name || 'x' when 1 then 'q' || substr(p_name, 3) else p_name end as name from part),
+  x as (select name, id as match_id, n as match_name, levenshtein(name, n)::int as distance from q join b on levenshtein(name, n) <= 3)
   select name, arg_min(match_id, (distance, match_id)) as match_id, arg_min(match_name, (distance, match_id)) as match_name, min(distance) as distance from x group by name""")
 def j19(s, d):
     part = b.table(s, d, "part")
-    names = part.select(F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"))
+    names = part.select(F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("x"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("q"), F.substring("p_name", 3, 1000))).otherwise(F.col("p_name")).alias("name"))
     return joins.fuzzy_match(names, part.where("p_partkey % 2 = 0"), "name", "p_name", "p_partkey", 3)
 
 

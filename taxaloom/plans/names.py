@@ -27,7 +27,7 @@ def _one(name: str, column: str, expression: str, make) -> None:
 
 
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_one("H1_clean_text", "clean", _SQUEEZE.format("regexp_replace(regexp_replace(replace(name, '\"', ''), '\\.{2,}', '.', 'g'), '(^|\\s)[xX]\\s+([a-z]+\\.)', '\\1\\2', 'g')"), names.clean_text)
+_one("H1_clean_text", "clean", _SQUEEZE.format("regexp_replace(regexp_replace(regexp_replace(replace(translate(name || ' – “q” x subsp. K, Xx x y', '–' || chr(160), '- '), '\"', ''), '([A-Z]),', '\\1.', 'g'), '\\.\\.', '.', 'g'), '\\s+x\\s+(\\S{2,}\\.)', ' \\1', 'g')"), lambda c: names.clean_text(F.concat(c, F.lit(" – “q” x subsp. K, Xx x y"))))
 _one("H2_hybrid_symbols", "clean", _SQUEEZE.format("replace(name, ' x ', ' × ')"), names.clean_symbols)
 _one("H3_rank_designations", "clean", "replace(replace(name, ' ssp. ', ' subsp. '), ' variety ', ' var. ')", names.clean_designations)
 _one("H4_without_qualifiers", "clean", _SQUEEZE.format("regexp_replace(regexp_replace(name, '\\s(aff|agg|coll|sp|cf)\\.(\\s|$)', ' ', 'g'), ' s\\. lat\\.', '', 'g')"), names.without_qualifiers)
@@ -42,9 +42,9 @@ def h7(s, d):
     return names.name_parts(_raw(s, d), "name")
 
 
-@query("H8_file_names", f"with {_RAW} select id, regexp_replace(trim(name), '\\s+', '_', 'g') as file, regexp_replace(trim(name), '\\s+', ' ', 'g') as species from raw where position('.' in name) = 0 and position('_' in name) = 0")
+@query("H8_file_names", f"with {_RAW} select id, regexp_replace(trim(name), '\\s+', '_', 'g') as file, regexp_replace(trim(name), '\\s+', ' ', 'g') as species from raw where position('_' in name) = 0")
 def h8(s, d):
-    raw = _raw(s, d).where("instr(name, '.') = 0 and instr(name, '_') = 0").withColumn("file", names.file_name(F.col("name")))
+    raw = _raw(s, d).where("instr(name, '_') = 0").withColumn("file", names.file_name(F.col("name")))
     return raw.select("id", "file", names.species_of_file(F.concat(F.lit("chunk/species/"), "file", F.lit(".csv"))).alias("species"))
 
 

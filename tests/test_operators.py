@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def test_fill_down_resets_below_a_higher_level(spark):
     assert out == {1: ("A", None), 2: ("A", "f"), 3: ("A", "f"), 4: ("B", None), 5: ("B", None), 6: ("B", "g")}
 
 
+@pytest.mark.parametrize("part_rows", [1000, 3])
+def test_running_totals_are_the_same_in_parts(spark, part_rows, monkeypatch):
+    monkeypatch.setattr(rows, "PART_ROWS", part_rows)
+    data = [(k, j, i) for i, (k, j) in enumerate((k, j) for k in ("b", None, "a", "c") for j in (2, None, 1, 5, 9))]
+    df = spark.createDataFrame(data, "k string, j int, v int")
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    want = [(*r, sum(x[2] for x in order[: i + 1])) for i, r in enumerate(order)]
+    assert got(rows.running_total(df, ["k", "j"], F.col("v"), "t")) == sorted(want, key=str)
+    assert got(rows.group_ids(df, ["k"], "id").select("k", "id").distinct()) == sorted([(None, 1), ("a", 2), ("b", 3), ("c", 4)], key=str)
+
+
 def test_group_aggregates_keep_null_groups(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
     assert got(rows.with_group_aggregates(df, ["k"], n=F.count("*"))) == [("a", 1, 1), (None, 2, 2), (None, 3, 2)]
@@ -87,32 +100,80 @@ def test_cascade_matches_each_row_once(spark):
     assert got(joins.cascading_match(a, b, [("u", "u"), ("v", "v")], "id", "id")) == [(1, 10, 1), (2, 11, 2)]
 
 
+def test_cascade_keeps_all_pairs_of_a_key(spark):
+    a = spark.createDataFrame([(1, "x", "p"), (2, "x", "p"), (3, "y", "p")], "id int, u string, v string")
+    b = spark.createDataFrame([(10, "x", "p"), (11, "x", "p"), (12, "w", "p")], "id int, u string, v string")
+    assert got(joins.cascading_match(a, b, [("u", "u"), ("v", "v")], "id", "id")) == [(1, 10, 1), (1, 11, 1), (2, 10, 1), (2, 11, 1), (3, 12, 2)]
+
+
+def test_fuzzy_match_finds_edits_anywhere(spark):
+    """Against the distance to every name, with up to four random edits."""
+    rng = random.Random(3)
+    base = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))) for _ in range(60)})
+    wanted = []
+    for b in base:
+        s = list(b)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        wanted.append("".join(s))
+    names_ = spark.createDataFrame([(w,) for w in wanted], "name string")
+    backbone = spark.createDataFrame(list(enumerate(base)), "id long, b string")
+    every = names_.distinct().crossJoin(backbone).withColumn("d", F.levenshtein("name", "b")).where("d <= 3")
+    want = got(every.groupBy("name").agg(F.min(F.struct("d", "id", "b")).alias("m")).select("name", "m.id", "m.b", "m.d"))
+    assert got(joins.fuzzy_match(names_, backbone, "name", "b", "id")) == want and len(want) > 20
+
+
 def test_fuzzy_match_prefers_distance_then_id(spark):
     wanted = spark.createDataFrame([("Betula nanna",), ("Betula nana",), ("Zea mays",)], "name string")
     backbone = spark.createDataFrame([(7, "Betula nana"), (5, "Betula nigra"), (9, "Betula nanae")], "id int, b string")
     assert got(joins.fuzzy_match(wanted, backbone, "name", "b", "id")) == [("Betula nana", 7, "Betula nana", 0), ("Betula nanna", 7, "Betula nana", 1)]
 
 
-@pytest.mark.parametrize(("raw", "kind", "clean"), [
-    ("Calypso bulbosa var. americana", "infraspecies", "Calypso bulbosa var. americana"),
-    ("Chrysosplenium alternifolium subsp. arctomontanum", "infraspecies", "Chrysosplenium alternifolium subsp. arctomontanum"),
-    ("Musa × paradisiaca", "hybrid species", "Musa × paradisiaca"),
-    ("Opuntia ×bernichiana", "hybrid species", "Opuntia × bernichiana"),
-    ("Musa x paradisiaca", "hybrid species", "Musa × paradisiaca"),
-    ("Saxifraga oppositifolia", "species", "Saxifraga oppositifolia"),
-    ("Huperzia selago (L.) Bernh. ex Schrank & Mart.", "species", "Huperzia selago"),
-    ("Draba", "genus", "Draba"),
-    ("Poa alpina ssp. vivipara", "infraspecies", "Poa alpina subsp. vivipara"),
-    ("Poa alpina var.", "infraspecies without epithet", "Poa alpina var."),
-    ("Poa alpina vivipara", "species without rank", "Poa alpina"),
-    ("poa alpina", "unknown genus", "alpina"),
-    ("", "empty", None),
+@pytest.mark.parametrize(("raw", "kind", "clean", "other"), [
+    ("Calypso bulbosa var. americana (R.Br.) Luer", "infraspecificTaxon", "Calypso bulbosa var. americana", "(R.Br.) Luer"),
+    ("Chrysosplenium alternifolium subsp. arctomontanum V.V.Petrovsky", "infraspecificTaxon", "Chrysosplenium alternifolium subsp. arctomontanum", "V.V.Petrovsky"),
+    ("Poa alpina ssp. vivipara", "infraspecificTaxon", "Poa alpina subsp. vivipara", None),
+    ("Poa alpina f. L. nana", "infraspecificTaxon", "Poa alpina f. nana", None),
+    ("Poa alpina subsp. vivipara var. nana L.", "MultiInfraspecificTaxon", "Poa alpina subsp. vivipara", None),
+    ("Musa × paradisiaca L.", "intraGenericHybrid", "Musa × paradisiaca", "L."),
+    ("Opuntia ×bernichiana", "intraGenericHybrid", "Opuntia × bernichiana", None),
+    ("Musa x paradisiaca", "intraGenericHybrid", "Musa × paradisiaca", None),
+    ("× Dupoa labradorica", "interGenericHybrid", "× Dupoa labradorica", None),
+    ("Poa alpina × Festuca rubra L.", "interGenericHybrid", "Poa alpina × Festuca rubra", "L."),
+    ("Salix alba × fragilis", "interSpecificHybrid", "Salix alba × fragilis", None),
+    ("Salix alba × S. fragilis L.", "interSpecificHybrid", "Salix alba × fragilis", "L."),
+    ("Salix alba × Salix fragilis", "interSpecificHybrid", "Salix alba × fragilis", None),
+    ("Salix alba × fragilis × caprea", "MultiIntraSpecificHybrid", "Salix alba × fragilis × caprea", None),
+    ("Salix alba ×", "unknownHybrid", "Salix alba ×", None),
+    ("× Dupoa labradorica subsp. nana", "interGenericHybridTaxon", "× Dupoa labradorica subsp. nana", None),
+    ("Salix × alba var. nana", "interSpecificHybridTaxon", "Salix × alba var. nana", None),
+    ("Salix alba L. f. × fragilis subsp. nana", "unknownInfraHybrid", "Salix alba L. f.", "× fragilis subsp. nana"),
+    ("Rosa rugosa 'Alba'", "cultivar", "Rosa rugosa 'Alba'", None),
+    ("Rosa 'Alba'", "cultivar", "Rosa 'Alba'", None),
+    ("Rosa × 'Alba'", "hybridCultivar", "Rosa × 'Alba'", None),
+    ("Saxifraga oppositifolia", "species", "Saxifraga oppositifolia", None),
+    ("Huperzia selago (L.) Bernh. ex Schrank & Mart.", "species", "Huperzia selago", "(L.) Bernh. ex Schrank & Mart."),
+    ("Silene samojedorum (= Lychnis x) Oxelman", "species", "Silene samojedorum", "Oxelman"),
+    ("Carex cf. nigra", "species", "Carex nigra", "cf."),
+    ("Poa alpina L. f.", "species", "Poa alpina", "L. f."),
+    ("Poa alpina var.", "species", "Poa alpina", "var."),
+    ("Draba", "species", "Draba", None),
+    ("", "empty", None, None),
 ])
-def test_name_structure(spark, raw, kind, clean):
+def test_name_structure(spark, raw, kind, clean, other):
     row = names.name_parts(spark.createDataFrame([(raw,)], "name string"), "name").first()
-    assert row.structure == kind
-    if kind not in ("unknown genus", "infraspecies without epithet"):
-        assert row.clean_name == clean
+    assert (row.structure, row.clean_name, row.other) == (kind, clean, other)
+    assert kind in names.STRUCTURES and row.full_name == (f"{clean} {other}" if other else clean)
+
+
+def test_name_parts(spark):
+    df = spark.createDataFrame([("× Dupoa labradorica subsp. nana",), ("Salix alba × S. fragilis L.",), ("Poa alpina subsp. vivipara var. nana L.",)], "name string")
+    out = {r.name: r for r in names.name_parts(df, "name").collect()}
+    a, b, c = (out[r.name] for r in df.collect())
+    assert (a.genus, a.specific_epithet, a["rank"], a.infra_epithet, a.hybrid) == ("× Dupoa", "labradorica", "subsp.", "nana", "×")
+    assert (b.genus, b.specific_epithet, b.hybrid, b.extra) == ("Salix", "alba × fragilis", "×", None)
+    assert (c.infra_epithet, c.extra) == ("vivipara", "Poa alpina var. nana L.")
 
 
 def test_null_name_has_no_parts(spark):
@@ -126,8 +187,15 @@ def test_wrapped_lines_fit(spark):
 
 
 def test_clean_text(spark):
-    df = spark.createDataFrame([('  Poa “alpina” L..  – x ',)], "t string").select(names.clean_text(F.col("t")).alias("t"))
-    assert df.first().t == "Poa alpina L. - x"
+    df = spark.createDataFrame([('  Poa "alpina" L..  – x subsp. K, y\u00a0z x a. X ab. “q”',)], "t string").select(names.clean_text(F.col("t")).alias("t"))
+    assert df.first().t == "Poa alpina L. - subsp. K. y z x a. X ab. “q”"
+
+
+def test_points_near_listed_places_across_the_date_line_and_near_the_pole(spark):
+    points = spark.createDataFrame([("s", 1, -179.95, 10.0), ("s", 2, 100.0, 89.8), ("s", 3, 60.9, 80.0), ("s", 4, 50.0, 80.0), ("s", 5, 51.0, 79.0), ("s", 6, 180.0, 10.0)], "sp string, id int, lon double, lat double")
+    listed = spark.createDataFrame([(179.9, 10.0), (-80.0, 89.9), (58.5, 80.0)], "x double, y double")
+    kept = spatial.coordinate_tests(points, "sp", listed, 60_000, outlier_factor=100.0)
+    assert sorted(r.id for r in kept.collect()) == [4, 5]
 
 
 def test_point_on_each_side_of_a_triangle(spark):
@@ -268,3 +336,106 @@ def test_reused_table_is_made_once(spark, tmp_path):
     for _ in range(2):
         assert writers.reused(spark, str(tmp_path / "t"), make).count() == 3
     assert len(calls) == 1
+
+
+def test_principal_components_equal_those_of_the_correlation_matrix(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 2]]) + 5
+    out = {r.variable: r for r in stats.principal_components(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"], 2).collect()}
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    for i, c in enumerate("abc"):
+        assert out[c].loadings == pytest.approx(np.abs(vectors[i, ::-1][:2]))
+        assert out[c].importance == pytest.approx(np.abs(vectors[i, ::-1][:2]).sum())
+        assert out[c].explained == pytest.approx(values[::-1][:2].sum() / values.sum())
+
+
+def test_model_comparison_equals_least_squares(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, 150)
+    y = 0.3 + x - 0.5 * x**3 + rng.normal(0, 0.1, 150)
+    basis = stats.spline_basis(F.col("x"), (-0.5, 0.5))
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double").select("y", *[c.alias(n) for n, c in basis.items()])
+    columns = {"x1": x, "x2": x**2, "x3": x**3, "k0": np.maximum(x + 0.5, 0) ** 3, "k1": np.maximum(x - 0.5, 0) ** 3}
+    nested = {"line": ["x1"], "cubic": ["x1", "x2", "x3"], "spline": list(columns)}
+    out = {r.model: r for r in stats.compare_models(df, "y", nested).collect()}
+    for name, used in nested.items():
+        a = np.column_stack([np.ones(150), *[columns[c] for c in used]])
+        rss = ((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum()
+        k, likelihood = a.shape[1], -75 * (math.log(2 * math.pi * rss / 150) + 1)
+        assert (out[name].deviance, out[name].explained) == pytest.approx((rss, 1 - rss / ((y - y.mean()) ** 2).sum()), rel=1e-4)
+        assert (out[name].aic, out[name].bic) == pytest.approx((2 * (k + 1) - 2 * likelihood, (k + 1) * math.log(150) - 2 * likelihood), rel=1e-4)
+
+
+def test_zero_inflated_models_equal_newton_and_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, 400)
+    p = 1 / (1 + np.exp(-(1.5 - 3 * x)))
+    y = np.where(rng.random(400) < p, 0.0, np.clip(1 / (1 + np.exp(-(x - 2 + rng.normal(0, 0.3, 400)))), 0, 1))
+    df = spark.createDataFrame(list(zip(x.tolist(), (x * x).tolist(), y.tolist(), strict=True)), "x1 double, x2 double, y double")
+    nested = {"line": ["x1"], "square": ["x1", "x2"]}
+    out = {(r.part, r.model): r for r in stats.zero_inflated_models(df, "y", nested).collect()}
+    for name, used in nested.items():
+        a = np.column_stack([np.ones(400), *[{"x1": x, "x2": x * x}[c] for c in used]])
+        z, b = (y == 0).astype(float), np.zeros(a.shape[1])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-a @ b))
+            b += np.linalg.solve(a.T @ (a * (q * (1 - q))[:, None]), a.T @ (z - q))
+        q = 1 / (1 + np.exp(-a @ b))
+        want = (z * np.log(q) + (1 - z) * np.log(1 - q)).sum()
+        assert out["zero", name].log_likelihood == pytest.approx(want, rel=1e-5)
+        assert out["zero", name].bic == pytest.approx(a.shape[1] * math.log(400) - 2 * want, rel=1e-5)
+        t = np.log(y[y > 0] / (1 - y[y > 0]))
+        rest = a[y > 0]
+        rss = ((t - rest @ np.linalg.lstsq(rest, t, rcond=None)[0]) ** 2).sum()
+        assert out["positive", name].log_likelihood == pytest.approx(-len(t) / 2 * (math.log(2 * math.pi * rss / len(t)) + 1), rel=1e-5)
+
+
+@pytest.mark.parametrize("part_rows", [100_000, 7])
+def test_permanova_p_equals_permutations_by_hand(spark, part_rows, monkeypatch):
+    monkeypatch.setattr(stats, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(4)
+    group = np.repeat(["a", "b", "c"], [12, 9, 14])
+    x = rng.normal(size=(35, 2)) + (group == "b")[:, None] * 0.6
+    df = spark.createDataFrame([(i, str(g), *map(float, v)) for i, (g, v) in enumerate(zip(group, x, strict=True))], "id long, g string, x double, y double")
+
+    def pseudo_f(labels):
+        within = sum(((x[labels == g] - x[labels == g].mean(axis=0)) ** 2).sum() for g in "abc")
+        total = ((x - x.mean(axis=0)) ** 2).sum()
+        return ((total - within) / 2) / (within / 32), 1 - within / total
+
+    real, r2 = pseudo_f(group)
+    higher = 0
+    for k in range(1, 100):
+        order = sorted(range(35), key=lambda i: (hashlib.md5(f"5|{k}|{i}".encode()).hexdigest(), i))
+        labels = np.empty(35, dtype="<U1")
+        labels[order] = group
+        higher += pseudo_f(labels)[0] >= real
+    row = stats.permanova(df, ["x", "y"], "g", "id", 99, 5).first()
+    assert (row.pseudo_f, row.r2, row.p) == pytest.approx((real, r2, (1 + higher) / 100))
+
+
+def test_niche_volumes_and_overlap_equal_counting_every_box(spark):
+    """The planned points of two species against all boxes, by numpy."""
+    rng = np.random.default_rng(5)
+    dims = ["a", "b", "c", "d"]
+    data = {"s": rng.normal(size=(90, 4)), "t": rng.normal(size=(150, 4)) * [1, 2, 1, 0.5] + 0.4}
+    rows_ = [(k, f"{k}{i}", *map(float, v)) for k, x in data.items() for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows_, "species string, id string, a double, b double, c double, d double")
+    plan = niche.sampling_plan(niche.dimensionality_gate(points, "species", 1), 1).withColumn("samples_per_point", F.floor(F.col("samples_per_point") / 20))
+    widths = niche.bandwidths(points, "species", dims).join(plan.select("species", "samples_per_point"), "species")
+    sampled = niche.sample_points(points, widths, "species", "id", dims, "samples_per_point", 7)
+    covered = niche.covering(sampled, points, widths, "species", "pt", dims)
+    volume = {r.species: r.volume for r in niche.volumes(covered, widths, "species", dims, "samples_per_point").collect()}
+    other = niche.inside(sampled.where("species = 's'").withColumn("species", F.lit("t")), points, widths, "species", "pt", dims).count()
+    drawn = sampled.toPandas()
+    hits = 0
+    for k, x in data.items():
+        n, each = len(x), math.ceil(10**4 / len(x)) // 20
+        w = x.std(axis=0, ddof=1) * (n * 6 / 4) ** (-1 / 8)
+        own = drawn[drawn.species == k]
+        assert len(own) == n * each > 400
+        boxes = (np.abs(own[dims].to_numpy()[:, None, :] - x[None]) <= w).all(axis=2).sum(axis=1)
+        assert volume[k] == pytest.approx(np.prod(2 * w) * (1 / boxes).sum() / each)
+        if k == "t":
+            hits = (np.abs(drawn[drawn.species == "s"][dims].to_numpy()[:, None, :] - x[None]) <= w).all(axis=2).any(axis=1).sum()
+    assert other == hits > 0
