@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 Keys = Sequence[str]
 
+#: About so many rows are ordered by one task.
+PART_ROWS = 1_000_000
+
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
@@ -35,9 +38,31 @@ def number_in_group(df: DataFrame, keys: Keys, order: Sequence[str | Column], na
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered(order))))
 
 
+def running_total(df: DataFrame, keys: Keys, amount: Column, name: str, part_rows: int | None = None) -> DataFrame:
+    """The sum of ``amount`` over all rows up to each, in the order of ``keys``, which are unique.
+
+    The order is cut at sampled keys into parts of about ``part_rows`` rows, each summed by itself; the sums of the parts
+    before, one row for each part, are added. So no task orders the whole table.
+    """
+    parts, bounds = -(-df.count() // (part_rows or PART_ROWS)), []
+    if parts > 1:
+        drawn = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(20 * parts)
+        bounds = drawn.orderBy(*keys).collect()[19::20][: parts - 1]
+    types = dict(df.dtypes)
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])
+    cuts = [F.struct(*[F.lit(r[k]).cast(types[k]).alias(k) for k in keys]) for r in bounds]
+    part = F.size(F.filter(F.array(*cuts), lambda c: c < key)) if cuts else F.lit(0)
+    placed = df.withColumn("_part", part).withColumn("_amount", amount)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum("_amount").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = F.sum("_amount").over(Window.partitionBy("_part").orderBy(*[F.col(f"`{k}`") for k in keys]).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_within", within).join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_amount", "_within", "_before")
+
+
 def group_ids(df: DataFrame, keys: Keys, name: str) -> DataFrame:
-    """A number for each distinct key, in key order. Only the distinct keys pass through one task."""
-    ids = df.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn(name, F.row_number().over(Window.orderBy(*[f"_{k}" for k in keys])))
+    """A number for each distinct key, in key order."""
+    distinct = df.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    ids = running_total(distinct, [f"_{k}" for k in keys], F.lit(1), name).withColumn(name, F.col(name).cast("int"))
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(ids[f"_{k}"]) for k in keys])
     return df.join(ids, same).drop(*[f"_{k}" for k in keys])
 

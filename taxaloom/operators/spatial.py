@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaloom.functions.names import coordinate_text
-from taxaloom.functions.projections import PROJECTIONS, haversine
-from taxaloom.operators.rows import seeded_order
+from taxaloom.functions.projections import PROJECTIONS, SPHERE, haversine
+from taxaloom.operators.rows import running_total, seeded_order
 
 #: Metres in a degree of latitude, as used for cell sizes.
 DEGREE = 111_320.0
-#: Height of the bands that points and edges are joined on, in degrees.
-BAND = 5.0
+#: Height of the bands that points and edges are joined on, in degrees: so low that a point meets few edges and that the bands are
+#: many; the points of a band with very many are split, as edges are the small side.
+BAND = 0.25
 
 
 def ring_edges(vertices: DataFrame, keys: Sequence[str] = ("poly_id", "ring")) -> DataFrame:
@@ -96,14 +98,20 @@ def thin(points: DataFrame, species: str, point_id: str, metres: float, seed: in
 def coordinate_tests(points: DataFrame, species: str, listed: DataFrame, near_metres: float, outlier_factor: float = 5.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Keeps points in range that aren't zero, equal, near a listed point, or far from their species.
 
-    ``listed`` (x, y) holds capitals, centroids and institutions; both sides meet on degree cells. A point is
-    far if its distance to the species' median place is more than ``outlier_factor`` times the median such distance.
+    ``listed`` (x, y) holds capitals, centroids and institutions; both sides meet on degree cells, as many to each side as the
+    radius spans at the listed point's latitude, round the globe. A point is far if its distance to the species' median place is more than ``outlier_factor`` times the median such distance.
     """
     x, y = F.col(lon), F.col(lat)
     ok = x.between(-180, 180) & y.between(-90, 90) & (x != y) & ~((x == 0) & (y == 0))
-    around = listed.withColumn("_i", F.explode(F.sequence(F.floor("x") - 1, F.floor("x") + 1))).withColumn("_j", F.explode(F.sequence(F.floor("y") - 1, F.floor("y") + 1)))
-    valid = points.where(ok).withColumns({"_i": F.floor(x), "_j": F.floor(y)})
-    close = valid["_i"].eqNullSafe(around["_i"]) & valid["_j"].eqNullSafe(around["_j"]) & (haversine(x, y, around["x"], around["y"]) <= near_metres)
+    wrapped = lambda i: F.pmod(i + 180, F.lit(360)) - 180
+    reach = math.degrees(near_metres / SPHERE) + 1e-6
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(near_metres / SPHERE, math.pi / 2))) / F.cos(F.radians("y")))))
+    all_round = F.abs("y") + reach >= 90
+    columns = F.when(all_round, F.sequence(F.lit(-180).cast("long"), F.lit(179).cast("long"))).otherwise(F.sequence(F.floor(F.col("x") - wide - 1e-6), F.floor(F.col("x") + wide + 1e-6)))
+    around = listed.select("x", "y", F.explode(F.array_distinct(F.transform(columns, wrapped))).alias("_i"))
+    around = around.withColumn("_j", F.explode(F.sequence(F.floor(F.col("y") - reach), F.floor(F.col("y") + reach))))
+    valid = points.where(ok).withColumns({"_i": wrapped(F.floor(x)), "_j": F.floor(y)})
+    close = (valid["_i"] == around["_i"]) & (valid["_j"] == around["_j"]) & (haversine(x, y, around["x"], around["y"]) <= near_metres)
     away = valid.join(around, close, "left_anti").drop("_i", "_j")
     middle = away.groupBy(F.col(species).alias("_s")).agg(F.median(lon).alias("_mx"), F.median(lat).alias("_my"))
     far = away.join(middle, away[species] == middle["_s"]).withColumn("_d", haversine(x, y, F.col("_mx"), F.col("_my")))
@@ -200,5 +208,5 @@ def stack_layers(layers: DataFrame, species: str, binary: bool = False) -> DataF
     """Cells of all species in one table with the species' place by its total score; optionally 0 or 1."""
     value = F.ceil("value").cast("double") if binary else F.col("value")
     order = layers.groupBy(species).agg(F.round(F.sum("value"), 6).alias("_t"))
-    place = order.withColumn("layer", F.row_number().over(Window.orderBy(F.desc("_t"), species))).drop("_t")
+    place = running_total(order.withColumn("_t", -F.col("_t")), ["_t", species], F.lit(1), "layer").withColumn("layer", F.col("layer").cast("int")).drop("_t")
     return layers.join(place, species).withColumn("value", value)

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaloom.operators.rows import uniform
+from taxaloom.functions.names import logit
+from taxaloom.operators.rows import running_total, uniform
 from taxaloom.package import ship
 
 Columns = Sequence[str]
@@ -129,12 +131,11 @@ def false_discovery(df: DataFrame, p: str, key: str, alpha: float) -> DataFrame:
 def rank_sum(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     """Wilcoxon's rank-sum test by the normal approximation with tie correction.
 
-    Ranks come from counts of distinct values, so rows with equal values are combined before they are ordered.
+    Ranks come from counts of distinct values, so rows with equal values are combined before they are ordered, in parts.
     """
     ship(df.sparkSession)
     counts = df.groupBy(value).agg(F.count("*").alias("t"), F.count_if(in_first).alias("a"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = running_total(counts, [value], F.col("t"), "upto").withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     s = ranked.agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("w"), F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -200,6 +201,30 @@ def compare_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]
     return df.sparkSession.createDataFrame(rows, "model string, parameters int, deviance double, explained double, aic double, bic double").orderBy("aic")
 
 
+def zero_inflated_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]]) -> DataFrame:
+    """Both parts of a response with many zeros, for nested sets of columns: a logistic regression of being zero, and a Gaussian
+    fit of the logit of the rest. part, model, parameters, log-likelihood, AIC and BIC, the least AIC of a part first."""
+    rows = []
+    zero = df.withColumn("_zero", (F.col(response) == 0).cast("double"))
+    n = zero.count()
+    for name, columns in nested.items():
+        x = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(zero)
+        model = LogisticRegression(featuresCol="_x", labelCol="_zero", maxIter=200, tol=1e-10, standardization=True).fit(x)
+        z = sum((F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, columns, strict=True)), F.lit(float(model.intercept)))
+        # log p = -log(1 + exp(-z)), by the side on which exp can't overflow.
+        signed = F.when(F.col("_zero") == 1, z).otherwise(-z)
+        likelihood = zero.agg(F.sum(F.least(signed, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z))))).first()[0]
+        k = len(columns) + 1
+        rows.append(("zero", name, k, likelihood, 2 * k - 2 * likelihood, k * math.log(n) - 2 * likelihood))
+    rest = df.where(F.col(response) > 0).withColumn("_y", logit(F.col(response)))
+    m = rest.count()
+    for r in compare_models(rest, "_y", nested).collect():
+        k = r.parameters + 1
+        rows.append(("positive", r.model, k, k - r.aic / 2, r.aic, k * math.log(m) - 2 * (k - r.aic / 2)))
+    rows.sort(key=lambda r: (r[0], r[4]))
+    return df.sparkSession.createDataFrame(rows, "part string, model string, parameters int, log_likelihood double, aic double, bic double")
+
+
 def quantile_curves(df: DataFrame, predictor: str, response: str, width: float, taus: Sequence[float]) -> DataFrame:
     """Exact percentiles of the response by band of the predictor, in long form."""
     band = F.floor(F.col(predictor) / width).alias("band")

@@ -105,7 +105,7 @@ def g1(s, d):
 
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({b})) * pow(sin(radians({a} - lon) / 2), 2))))"
 _TEST = f"""ok as (select * from occ where lon between -180 and 180 and lat between -90 and 90 and lon <> lat and not (lon = 0 and lat = 0)),
-  away as (select * from ok o where not exists (select 1 from vert v where floor(o.lon) between v.x - 1 and v.x + 1 and floor(o.lat) between v.y - 1 and v.y + 1 and {_HAV.format(a='v.x', b='v.y')} <= 60000)),
+  away as (select * from ok o where not exists (select 1 from vert v where {_HAV.format(a='v.x', b='v.y')} <= 60000)),
   far as (select *, {_HAV.format(a='mx', b='my')} as dist from away join (select clean_name, median(lon) mx, median(lat) my from away group by 1) using (clean_name)),
   kept as (select * from far join (select clean_name, median(dist) * 1.5 as lim from far group by 1) using (clean_name) where dist <= lim)"""
 

@@ -41,13 +41,13 @@ def m3(s, d):
     return _round(stats.chi_square(b.paoo(s, d), b.chk(s, d), "sub_region", "order", 30))
 
 
-_SIM = """bins as (select "order", e, sum(e) over (order by "order") / 30.0::double as hi from e), draws as (select d, i, ((('0x' || substr(md5(concat_ws('|', '12034', d, i)), 1, 12))::bigint)::double / 281474976710656.0::double) as u from range(0, 500) r(d), range(1, 31) q(i)),
+_SIM = """bins as (select "order", e, sum(e) over (order by "order") / 30.0::double as hi from e), draws as (select d, i, ((('0x' || substr(md5(concat_ws('|', '12034', d, i)), 1, 12))::bigint)::double / 281474976710656.0::double) as u from range(0, 2000) r(d), range(1, 31) q(i)),
   k as (select d, "order", e, count(*) as k from draws join bins on u >= hi - e / 30 and u < hi group by all), sim as (select d, sum(pow(k - e, 2) / e - e) + 30 as x2 from k group by 1)"""
 
 
-@query("M3_simulated_p", f"with {b.CTE['paoo']}, {b.CTE['chk']}, {_EXP}, {_X2}, {_SIM} select sub_region, round((1 + count_if(sim.x2 >= x.x2 - 1e-9)) / 501.0::double, 8) as p_value from x cross join sim group by 1")
+@query("M3_simulated_p", f"with {b.CTE['paoo']}, {b.CTE['chk']}, {_EXP}, {_X2}, {_SIM} select sub_region, round((1 + count_if(sim.x2 >= x.x2 - 1e-9)) / 2001.0::double, 8) as p_value from x cross join sim group by 1")
 def m3p(s, d):
-    return stats.simulated_p(b.paoo(s, d), b.chk(s, d), "sub_region", "order", 30, 500, 12034).select("sub_region", F.round("p_value", 8).alias("p_value"))
+    return stats.simulated_p(b.paoo(s, d), b.chk(s, d), "sub_region", "order", 30, 2000, 12034).select("sub_region", F.round("p_value", 8).alias("p_value"))
 
 
 @query("M4_false_discovery", """with p as (select n_name as key, (sum(n_nationkey) * 7 % 100 + 1) / 1000.0::double as p from nation group by 1), r as (select *, row_number() over (order by p, key) as r, count(*) over () as m from p)
@@ -90,6 +90,13 @@ def m7(s, d):
     return _round(stats.zero_share_by_band(b.occ(s, d).withColumn("a", F.abs("lat")), "a", "bio3", 10), 6).withColumn("zero_share", F.round("zero_share", 8))
 
 
+@query("M7_latitude_models")
+def m7models(s, d):
+    x = F.abs("lat") / 90
+    rows = b.occ(s, d).select("bio3", x.alias("x1"), (x * x).alias("x2"), (x * x * x).alias("x3"))
+    return _round(stats.zero_inflated_models(rows, "bio3", {"line": ["x1"], "square": ["x1", "x2"], "cubic": ["x1", "x2", "x3"]}), 4)
+
+
 @query("M8_smooth_latitude_curve")
 def m8(s, d):
     x = F.col("lat") / 90

@@ -19,7 +19,12 @@ from taxaloom.streaming.ingest import ingest
 
 
 def folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the checkpoint folder; where that is unset a temporary one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,17 +30,15 @@ def wide_checklist(df: DataFrame, name: str, columns: Sequence[str], order: Sequ
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with numbers from 1, by byte order of the file's splits."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
-    # A prefix sum over the splits' sizes; no line passes through a single task.
-    sizes = {r["_part"]: (r["n"], r["first"]) for r in lines.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first")).collect()}
-    base, offsets = 0, []
-    for part in sorted(sizes):
-        offsets += [F.lit(part), F.lit(base - sizes[part][1] + 1)]
-        base += sizes[part][0]
-    if not offsets:
-        return lines.select(F.lit(0).cast("long").alias("line"), "value").limit(0)
-    return lines.select((F.col("_id") + F.create_map(*offsets)[F.col("_part")]).alias("line"), "value")
+    """Lines of one text file with numbers from 1, by the places of the file's splits.
+
+    A split is told by its first byte, not by the task that read it. The lines before each come from a prefix sum over the
+    splits' sizes, a row for each split; no line passes through a single task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    sizes = lines.groupBy("_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.select("_start", "_first", before.alias("_before")), "_start").select((F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
 
 
 def read_matrix(lines: DataFrame, header_line: int, separator: str = ",", skip: str = r"(?i)^\s*(total|sum)\b") -> DataFrame:
