@@ -101,6 +101,13 @@ class Items:
         return bits
 
 
+    def hits(self, grams: np.ndarray) -> np.ndarray:
+        """Places of q-grams that the items have."""
+        at = np.flatnonzero(self.maybe[_slot(grams)])
+        distinct = self.table[0]
+        slot = np.minimum(np.searchsorted(distinct, grams[at]), len(distinct) - 1)
+        return at[distinct[slot] == grams[at]] if len(at) and len(distinct) else at[:0]
+
     @cached_property
     def tiny(self) -> dict[int, dict[bytes, list[int]]]:
         """Patterns without a q-gram by their length and characters."""
@@ -252,9 +259,11 @@ def find(text: str, items: Items) -> list[tuple[int | None, int, int, int, int]]
     chars = folded(text)
     if not items.chars or not len(chars):
         return []
-    if not items.tiny and not items.maybe[_slot(qgrams(chars))].any():
+    hits = items.hits(qgrams(chars))
+    if not items.tiny and not len(hits):
         return []
-    chars, origin = squeezed(chars)
+    # A stretch that repeats and could be squeezed has that many hits, or none to search.
+    chars, origin = squeezed(chars) if len(hits) >= STAY else (chars, np.arange(len(chars)))
     return [(item, int(origin[a]), int(origin[b - 1]) + 1 if b > a else int(origin[a]), edits, n) for item, a, b, edits, n in _places(chars, items)]
 
 
