@@ -37,10 +37,9 @@ from pyspark.sql import functions as F
 from taxaloom.llm.common import U64, mix, ngram_hashes, shared_dir, ship, word_hashes, word_spans
 from taxaloom.llm.fm_index import ORDER, FMIndex
 
-#: Words of an anchor: so many that few anchors come twice by chance, however large the corpus.
-ANCHOR = 8
-#: Bytes of text for each task of a shuffle, and shards for each task.
-TASK_BYTES, SPREAD = 16 << 20, 4
+ANCHOR = 4
+#: Bytes of text for each shard and its task.
+TASK_BYTES = 32 << 20
 #: Occurrences from which the windows of an anchor go to shards of their own.
 HOT = 4096
 #: Anchors or segment words that a worker gathers before it sends a block.
@@ -384,8 +383,8 @@ def find_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     # The number of shards follows the input, so their size doesn't.
     total = spark.read.schema("n_bytes int").parquet(f"{folder}/docs").agg(F.sum(F.col("n_bytes").cast("long"))).first()[0] or 0
     tasks = -(-total // TASK_BYTES) or 1
-    blocks = kept.mapInArrow(_send_anchors(window, SPREAD * tasks), "bucket long, part long, block binary").repartition(tasks, "bucket")
+    blocks = kept.mapInArrow(_send_anchors(window, tasks), "bucket long, part long, block binary").repartition(tasks, "bucket")
     shared = _by_part(blocks.groupBy("bucket").applyInArrow(_shared_anchors, "part long, block binary"), folder, "shared")
-    segments = kept.mapInArrow(_send_segments(shared, window, SPREAD * tasks), "shard long, block binary").repartition(tasks, "shard")
+    segments = kept.mapInArrow(_send_segments(shared, window, tasks), "shard long, block binary").repartition(tasks, "shard")
     found = _by_part(segments.groupBy("shard").applyInArrow(_repeats(window), "part long, block binary"), folder, "intervals")
     return Repeats(kept, found)
