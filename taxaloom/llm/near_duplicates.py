@@ -32,8 +32,8 @@ from taxaloom.llm.components import connected_components
 BINS, BAND = 128, 4
 #: Of 128 bins two sets at a similarity of 0.75 agree in 96, give or take 4.9; fewer than this is 4.9 deviations off.
 LEAST_AGREEING = 72
-#: Members of one bucket that are compared as one block; a tile holds two blocks.
-BLOCK = 1024
+#: Members of one bucket that are compared as one block, and their shingles together; a tile holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SIGNED = "doc_id long, n_shingles long, fp struct<a: long, b: long>, bands array<long>, bins binary"
 _FP = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -145,10 +145,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     # the many rows of one key on the other side.
     node = F.min("doc_id").alias("node")
     nodes = stored(known.groupBy("fp", "n_shingles").agg(node, F.first("bands").alias("bands"), F.first("bins").alias("bins")), folder, "nodes")
-    member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    member = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     shared = stored(shared.select("bucket", "centre"), folder, "shared")
-    members = stored(member.join(shared, "bucket").select("bucket", "band", "centre", "node"), folder, "members")
+    members = stored(member.join(shared, "bucket").select("bucket", "band", "centre", "node", "n_shingles"), folder, "members")
     wanted = members.select("node").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     sets = stored(_sets(source.join(wanted, "node", "left_semi"), words), folder, "sets")
@@ -171,14 +171,16 @@ _TILE = ["bucket", "i", "j"]
 
 def _links_across(members: DataFrame, nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links between components that share a bucket."""
-    placed = members.select("bucket", "band", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.select("bucket", "band", "node", "n_shingles").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Blocks are bounded by members and by shingles, so a tile of long documents is no larger than one of short ones.
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.alias("blocks"))
     several = stored(several.where("lo < hi").select("bucket", "blocks"), folder, "several")
     # A member meets every block of its bucket once: blocks i <= j make a tile.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     open_ = placed.join(several, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = open_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component")
-    tiles = stored(tiles.join(nodes.select("node", "n_shingles", "bins", "bands"), "node"), folder, "tiles")
+    tiles = open_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component", "n_shingles")
+    tiles = stored(tiles.join(nodes.select("node", "bins", "bands"), "node"), folder, "tiles")
     near = tiles.groupBy(*_TILE).applyInArrow(_near_members(percent), tiles.schema)
     full = stored(near, folder, "near").join(sets, "node")
     return full.groupBy(*_TILE).applyInArrow(_tile_links(percent), "a long, b long").distinct()

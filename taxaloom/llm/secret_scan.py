@@ -269,6 +269,8 @@ def value_costs(values: DataFrame, words: DataFrame) -> DataFrame:
 
 FOUND = "doc_id long, place long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, values array<struct<start: long, end: long, covered: boolean, value: string>>"
 
+FOUND_NAMES = ["doc_id", "place", "n_assign", "n_access", "n_hex", "base_sha256", "base", "values"]
+
 
 def scan(docs: DataFrame, min_log10_guesses: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: counts, all spans, and log10 guesses of the credential values in their order."""
@@ -289,7 +291,7 @@ def scan(docs: DataFrame, min_log10_guesses: float = 12.0, id_col: str = "doc_id
                 of = [k for k, _, _ in base]
                 rows.append((doc, place, *(of.count(k) for k in KINDS[:3]), hashlib.sha256(held.encode()).hexdigest(), held, values or None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ") if " " in c and not c.startswith(("end", "covered", "value:"))])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=FOUND_NAMES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
     found = stored(rows.mapInArrow(find, FOUND), folder, "found")

@@ -644,9 +644,11 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_of_chains_and_groups_that_share_passages(spark, monkeypatch):
+@pytest.mark.parametrize("shingles_held", [1 << 20, 900])
+def test_near_duplicates_of_chains_and_groups_that_share_passages(spark, monkeypatch, shingles_held):
     """Chains link documents that are no neighbours of any centre; a shared passage fills buckets with strangers."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", shingles_held)
     rng = random.Random(11)
     passage = words(rng, 60)
     rows, doc = [], 0
@@ -785,6 +787,35 @@ def test_pipeline_keeps_columns_and_takes_effect(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, empty):
+    """Nulls, blanks, repeated rows, rows of one id, clashing columns, and an empty table."""
+    sf, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    more = [(900, passage, "en", "s1", 1, "k", 1, 1), (901, f"some words {passage} and more", "en", "s1", 1, "k", 1, 1), (902, "kept", None, None, None, None, None, None)]
+    rows = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    rows = rows.select("*", F.col("doc_id").alias("dropped_id"), F.lit("x").alias("drops"), F.lit(1).alias("lines"), F.lit(2).alias("component_id"), F.lit(3).alias("place"))
+    every = rows.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, sf)
+        assert out.columns == rows.columns, name
+        none = stage(spark, empty, sf)
+        assert none.count() == 0 and none.columns == empty.columns, name
+        left = out.collect()
+        if name == "language_id":
+            assert all(r.text and any(c.isalpha() for c in r.text) for r in left)
+        elif name == "line_dedup":
+            assert len(left) == every and sum(r.text is None for r in left) == 1
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in left)
+        elif name == "near_dedup":
+            want = components([*corpus(), *more])
+            assert sorted(r.doc_id for r in left if r.doc_id is not None) == sorted(d for d, *_ in [*corpus(), *more] if d is not None and want[d] == d)
+            assert sum(r.doc_id is None for r in left) == 1
+        else:
+            assert len(left) == every - 2 and not {900, 901} & {r.doc_id for r in left}
+    pieces = stages["packing"](spark, rows, sf)
+    assert pieces.where("piece = 0").count() == every and stages["packing"](spark, empty, sf).count() == 0
+
+
 def test_registered_queries_with_sql(spark):
     duck = duckdb.connect()
     for t in ("documents", "pages"):
