@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaloom.llm import decontamination, language_id, line_dedup, media, near_duplicates, packing, secret_scan, substring_dedup, token_output, toxicity
-from taxaloom.llm.common import shared_dir
+from taxaloom.llm import conversation_trie, decontamination, language_id, line_dedup, media, near_duplicates, packing, secret_scan, spelling_variants, substring_dedup, token_output, toxicity, warc
+from taxaloom.llm.common import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,13 +82,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find_repeats(documents(spark, sf_dir), window=13).digests()
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.words(documents(spark, sf_dir)), shared_dir(spark, "variants"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"), shared_dir(spark, "trie"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    warc.write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    records = stored(warc.read_records(spark, folder, payload=False), folder, "records")
+    return warc.digests(warc.resolved(warc.captures(records)))
+
+
 #: Lines on more than a tenth of a host's pages are boilerplate.
 MAX_RATIO = 0.1
 #: Host of a web address, and tags after which a page's next line begins.
 HOST = r"^[a-zA-Z]+://([^/:?#]+)"
 BREAKS = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/title|/ul|/nav|/article|/head|/script|/style)[^>]*>"
 
-_ALL = (op1_token_output, op2_secret_scan, op3_media_columns, op4_language_id, op5_best_fit_packing, op6_line_dedup, line_dedup_pages, op7_toxicity, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)
+_ALL = (op1_token_output, op2_secret_scan, op3_media_columns, op4_language_id, op5_best_fit_packing, op6_line_dedup, line_dedup_pages, op7_toxicity, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup, op11_spelling_variants, op12_conversation_trie, op13_warc)
 
 
 def queries() -> dict[str, Query]:
@@ -100,5 +115,8 @@ def oracle_sql() -> dict[str, str]:
     pages = f"""(select page_id, regexp_extract(url, '{HOST}', 1) as host, regexp_replace(html, '{BREAKS}', chr(10), 'g') as html from pages)"""
     return {
         "op6_line_dedup": line_dedup.REPORT_SQL.format(table="documents", id="doc_id", host="source", text="text", **limits),
+        "op11_spelling_variants": spelling_variants.SQL,
+        "op12_conversation_trie": conversation_trie.SQL,
+        "op13_warc": warc.SQL,
         "line_dedup_pages": line_dedup.REPORT_SQL.format(table=pages, id="page_id", host="host", text="html", **limits),
     }
