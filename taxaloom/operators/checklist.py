@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaloom.operators.joins import backbone_match
+from taxaloom.operators.joins import backbone_match, containment_join
 from taxaloom.operators.rows import blank_to_null, keep_first
 
 # Records that count as evidence, and abbreviations of ranks below species.
@@ -103,3 +103,11 @@ def standardize(checklist: DataFrame, keyed: DataFrame, backbone: DataFrame) ->
     hit = backbone_match(names, keyed, "verbatim_name", "name", ["accepted_key"]).where("matched")
     accepted = backbone.select(F.col("usage_key").alias("accepted_key"), F.col("name").alias("accepted_name"))
     return hit.join(accepted, "accepted_key").groupBy("accepted_name", F.col("accepted_key").alias("species_key")).agg(F.count("*").alias("names"))
+
+
+def underlying_taxa(included: DataFrame, known: DataFrame, analysed: DataFrame, name: str, known_name: str) -> DataFrame:
+    """Known names that hold an included species' name (its subspecies, varieties and forms), and whether the species itself is among
+    those analysed. Species without one are absent."""
+    found = containment_join(included.select(name), known.select(known_name).where(F.col(known_name).isNotNull()).distinct().withColumn("_id", F.col(known_name)), name, known_name, "_id").drop("_id")
+    own = analysed.select(F.col(name).alias("_a")).where("_a is not null").distinct()
+    return found.join(own, F.col(name) == F.col("_a"), "left").select(name, known_name, F.col("_a").isNotNull().alias("analysed"))

@@ -51,9 +51,9 @@ def null_safe_add(a: Column, b: Column) -> Column:
 
 
 def prefix_join(items: DataFrame, names: DataFrame, item: str, name: str, name_id: str, whole: bool = False) -> DataFrame:
-    """Each item with the smallest id of the names that start with it (or contain it); blocked on the first word.
+    """Each item with the smallest id of the names that start with it, and their number; blocked on the first word.
 
-    ``whole`` asks for a word's end after the prefix.
+    ``whole`` asks for a word's end after the prefix. Names that hold the item elsewhere: :func:`containment_join`.
     """
     left = items.withColumn("_w", F.substring_index(F.lower(item), " ", 1))
     right = names.select(F.col(name).alias("_name"), F.col(name_id).alias("_id"), F.substring_index(F.lower(name), " ", 1).alias("_w"))
@@ -65,6 +65,37 @@ def prefix_join(items: DataFrame, names: DataFrame, item: str, name: str, name_i
     return items.join(best, item, "left")
 
 
+def containment_join(items: DataFrame, names: DataFrame, item: str, name: str, name_id: str, grams: int = 4) -> DataFrame:
+    """Every pair of an item and a name that holds it anywhere: item, name_id and name.
+
+    Names are indexed by their runs of ``grams`` characters. An item looks up its rarest run alone, as a name without that run can't
+    hold it; an item with a run that no name has is looked up nowhere. Items shorter than a run are runs themselves, for which the index has runs of
+    their length. Case counts. Null and empty items or names match nothing; names that repeat are matched each.
+    """
+    wanted = items.select(F.col(item).alias("_item")).where("_item <> ''").distinct()
+    # At most as many rows as a run has characters.
+    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_item"), F.lit(grams)).alias("n")).distinct().collect())
+    if not sizes:
+        sizes = [grams]
+
+    def run_of(c: str, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    def runs(c: str, sizes: Sequence[int]) -> Column:
+        return F.array_distinct(F.concat(*[run_of(c, n) for n in sizes]))
+
+    named = names.select(F.col(name_id).alias(name_id), F.col(name).alias("_name")).where("_name <> ''")
+    index = named.groupBy("_name").agg(F.count("*").alias("_n")).select("_n", F.explode(runs("_name", sizes)).alias("_gram"))
+    held = index.groupBy("_gram").agg(F.sum("_n").alias("_n"))
+    own = wanted.withColumn("_size", F.least(F.length("_item"), F.lit(grams)))
+    own = own.select("_item", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_item") - F.col("_size") + 1), lambda i: F.substring(F.col("_item"), i, F.col("_size"))))).alias("_gram"))
+    rarest = own.join(held, "_gram", "left").groupBy("_item").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_m")).where("_m.n > 0")
+    probes = rarest.select("_item", F.col("_m._gram").alias("_gram"))
+    found = probes.join(named.withColumn("_gram", F.explode(runs("_name", sizes))), "_gram").where(F.col("_name").contains(F.col("_item")))
+    return found.select(F.col("_item").alias(item), F.col(name_id), F.col("_name").alias(name if name != item else f"{name}_found"))
+
+
 def cascading_match(items: DataFrame, reference: DataFrame, passes: Sequence[tuple[str, str]], item_id: str, reference_id: str) -> DataFrame:
     """Matches items to reference rows on one key after the other: all pairs that share the key. The next pass sees only rows
     that have no match on either side."""

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from taxaloom.functions.names import coordinate_text
 from taxaloom.functions.projections import PROJECTIONS, SPHERE, haversine
+from taxaloom.operators.grids import Grid, resample
+from taxaloom.operators.quantiles import group_medians
 from taxaloom.operators.rows import running_total, seeded_order
+from taxaloom.operators.tiles import cells_in_polygons, crosses, points_in_tiles, polygon_index
+from taxaloom.shared import shared_folder, stored
 
 #: Metres in a degree of latitude, as used for cell sizes.
 DEGREE = 111_320.0
-#: Height of the bands that points and edges are joined on, in degrees: so low that a point meets few edges and that the bands are
-#: many; the points of a band with very many are split, as edges are the small side.
-BAND = 0.25
 
 
 def ring_edges(vertices: DataFrame, keys: Sequence[str] = ("poly_id", "ring")) -> DataFrame:
@@ -56,16 +57,8 @@ def bounding_box(vertices: DataFrame, keys: Sequence[str], pins: dict[str, float
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs of point and polygon: an odd number of edges crosses the ray to the east of the point.
-
-    Both sides meet on a band of latitude; only edges in a point's own band can cross its ray.
-    """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edges.withColumn("_band", F.explode(F.sequence(F.floor(low / BAND), F.floor(high / BAND))))
-    banded = points.select(F.col(point_id), F.col(lon).alias("_x"), F.col(lat).alias("_y"), F.floor(F.col(lat) / BAND).alias("_band"))
-    both = banded.join(spread, "_band").where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
-    crossing = both.where(F.col("_x") < (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return crossing.groupBy(point_id, "poly_id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(point_id, "poly_id")
+    """Pairs of point and polygon: an odd number of edges of closed rings crosses the ray to the east of the point."""
+    return points_in_tiles(points, polygon_index(edges), point_id, lon, lat)
 
 
 def cell_of(lon: Column, lat: Column, resolution: float) -> Column:
@@ -80,9 +73,9 @@ def values_at_points(points: DataFrame, cells: DataFrame, resolution: float, val
     return keyed.join(cells.select("cell", *values), "cell").dropna(subset=list(values))
 
 
-def cells_to_regions(cells: DataFrame, edges: DataFrame) -> DataFrame:
+def cells_to_regions(cells: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
     """The first polygon (smallest id) that holds each cell's centre; null for none."""
-    inside = points_in_polygons(cells, edges, "cell", "x", "y").groupBy("cell").agg(F.min("poly_id").alias("poly_id"))
+    inside = cells_in_polygons(edges, resolution).groupBy("cell").agg(F.min("poly_id").alias("poly_id"))
     return cells.select("cell").join(inside, "cell", "left")
 
 
@@ -112,18 +105,19 @@ def coordinate_tests(points: DataFrame, species: str, listed: DataFrame, near_me
     around = around.withColumn("_j", F.explode(F.sequence(F.floor(F.col("y") - reach), F.floor(F.col("y") + reach))))
     valid = points.where(ok).withColumns({"_i": wrapped(F.floor(x)), "_j": F.floor(y)})
     close = (valid["_i"] == around["_i"]) & (valid["_j"] == around["_j"]) & (haversine(x, y, around["x"], around["y"]) <= near_metres)
-    away = valid.join(around, close, "left_anti").drop("_i", "_j")
-    middle = away.groupBy(F.col(species).alias("_s")).agg(F.median(lon).alias("_mx"), F.median(lat).alias("_my"))
-    far = away.join(middle, away[species] == middle["_s"]).withColumn("_d", haversine(x, y, F.col("_mx"), F.col("_my")))
-    limit = far.groupBy(F.col("_s").alias("_t")).agg((F.median("_d") * outlier_factor).alias("_limit"))
+    folder = shared_folder(points.sparkSession, "tests")
+    away = stored(valid.join(around, close, "left_anti").drop("_i", "_j"), folder, "away")
+    middle = group_medians(away, [species], [lon, lat]).select(F.col(f"`{species}`").alias("_s"), F.col(f"{lon}_median").alias("_mx"), F.col(f"{lat}_median").alias("_my"))
+    far = stored(away.join(middle, away[species] == middle["_s"]).withColumn("_d", haversine(x, y, F.col("_mx"), F.col("_my"))), folder, "far")
+    limit = group_medians(far, ["_s"], ["_d"]).select(F.col("_s").alias("_t"), (F.col("_d_median") * outlier_factor).alias("_limit"))
     return far.join(limit, F.col("_s") == F.col("_t")).where(F.col("_d") <= F.col("_limit")).select(*points.columns)
 
 
 def clean_occurrences(points: DataFrame, species: str, point_id: str, listed: DataFrame, metres: float, seed: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Distinct places, tested and thinned, with the species' median latitude."""
     one = points.groupBy(species, lon, lat).agg(F.min(point_id).alias(point_id))
-    kept = thin(coordinate_tests(one, species, listed, 10_000, lon=lon, lat=lat), species, point_id, metres, seed, lon, lat)
-    middle = kept.groupBy(F.col(species).alias("_s")).agg(F.median(lat).alias("median_lat"))
+    kept = stored(thin(coordinate_tests(one, species, listed, 10_000, lon=lon, lat=lat), species, point_id, metres, seed, lon, lat), shared_folder(points.sparkSession, "clean"), "kept")
+    middle = group_medians(kept, [species], [lat]).select(F.col(f"`{species}`").alias("_s"), F.col(f"{lat}_median").alias("median_lat"))
     return kept.join(middle, kept[species] == middle["_s"]).drop("_s")
 
 
@@ -134,11 +128,9 @@ def scale_layers(cells: DataFrame, layers: Sequence[str]) -> DataFrame:
     return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in layers}).select(*cells.columns)
 
 
-def crop(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cells whose centre lies in any polygon. The polygons' extent prunes the cells first."""
-    box = edges.agg(F.min("x1").alias("a"), F.max("x1").alias("b"), F.min("y1").alias("c"), F.max("y1").alias("d"))
-    near = cells.crossJoin(F.broadcast(box)).where(F.col("x").between(F.col("a"), F.col("b")) & F.col("y").between(F.col("c"), F.col("d"))).select(*cells.columns)
-    return near.join(points_in_polygons(near, edges, "cell", "x", "y").select("cell").distinct(), "cell", "left_semi")
+def crop(cells: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
+    """Cells whose centre lies in any polygon."""
+    return cells.join(cells_in_polygons(edges, resolution).select("cell").distinct(), "cell", "left_semi")
 
 
 def reproject(df: DataFrame, projection: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -147,10 +139,36 @@ def reproject(df: DataFrame, projection: str, lon: str = "lon", lat: str = "lat"
     return df.withColumns({"px": x, "py": y})
 
 
-def split_antimeridian(edges: DataFrame) -> DataFrame:
-    """Edges by the side of the antimeridian their middle is on."""
-    west = (F.col("x1") + F.col("x2")) / 2 < 0
-    return edges.where(west).withColumn("side", F.lit("west")).unionByName(edges.where(~west).withColumn("side", F.lit("east")))
+def clip(vertices: DataFrame, axis: str, bound: float, upper: bool, keys: Sequence[str] = ("poly_id", "ring")) -> DataFrame:
+    """Rings cut along a line: the part at or above ``bound`` on the axis (``upper``) or at or below it.
+
+    Where an edge crosses the line a vertex is put in, and the ring closes along the line. A part in several pieces stays one
+    ring whose pieces hang together along the line, which leaves areas and insides right. Rings wholly beyond the line go;
+    a ring that only touches it goes too. Keys, seq (from 1), x and y.
+    """
+    edges = ring_edges(vertices.withColumns({c: F.col(c).cast("double") for c in "xy"}), keys)
+    other = "y" if axis == "x" else "x"
+    a, b = F.col(f"{axis}1"), F.col(f"{axis}2")
+    holds = (lambda c: c >= bound) if upper else (lambda c: c <= bound)
+    crosses = ((a < bound) & (b > bound)) | ((a > bound) & (b < bound))
+    cut = F.col(f"{other}1") + (F.col(f"{other}2") - F.col(f"{other}1")) * (bound - a) / (b - a)
+    point = lambda n, x, y: F.struct(F.lit(n).alias("n"), x.alias("x"), y.alias("y"))
+    line = F.lit(float(bound))
+    found = F.array(F.when(holds(a), point(1, F.col("x1"), F.col("y1"))), F.when(crosses, point(2, line, cut) if axis == "x" else point(2, cut, line)))
+    new = edges.withColumn("v", F.explode(F.filter(found, lambda v: v.isNotNull()))).select(*keys, "seq", "v.*")
+    rings = Window.partitionBy(*keys)
+    beyond = F.max((F.col(axis) > bound) if upper else (F.col(axis) < bound)).over(rings)
+    out = new.withColumns({"_in": beyond, "_n": F.row_number().over(rings.orderBy("seq", "n"))}).where("_in")
+    return out.select(*keys, F.col("_n").alias("seq"), "x", "y")
+
+
+def split_at_meridian(vertices: DataFrame, meridian: float = 0.0, gap: float = 1e-5, keys: Sequence[str] = ("poly_id", "ring")) -> DataFrame:
+    """Polygons cut in two at a meridian, so that either part can be moved to its own side of the map: keys, side, seq, x, y.
+
+    The eastern part begins ``gap`` degrees off the meridian, so that the parts don't touch.
+    """
+    west = clip(vertices, "x", meridian, False, keys).withColumn("side", F.lit("west"))
+    return west.unionByName(clip(vertices, "x", meridian + gap, True, keys).withColumn("side", F.lit("east")))
 
 
 def centroids(edges: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
@@ -170,12 +188,29 @@ def sub_region_centroid(edges: DataFrame, attributes: DataFrame, sub_region: str
 
 
 def inner_centroid(edges: DataFrame) -> DataFrame:
-    """Centroid of each polygon, or its first vertex where the centroid lies outside."""
-    middle = centroids(edges).select("poly_id", "cx", "cy")
-    inside = points_in_polygons(middle.withColumnRenamed("poly_id", "own"), edges, "own", "cx", "cy").where("own = poly_id").select("poly_id").withColumn("_in", F.lit(True))
-    corner = edges.groupBy("poly_id").agg(F.min(F.struct("ring", "seq", "x1", "y1")).alias("v"))
-    out = middle.join(inside, "poly_id", "left").join(corner, "poly_id")
-    return out.select("poly_id", F.when(F.col("_in"), F.col("cx")).otherwise(F.col("v.x1")).alias("cx"), F.when(F.col("_in"), F.col("cy")).otherwise(F.col("v.y1")).alias("cy"), F.coalesce("_in", F.lit(False)).alias("inside"))
+    """Centroid of each polygon, or a point inside where the centroid lies outside (``inside`` tells which).
+
+    That point is the middle of the widest chord on the parallel through the centroid; where none is there, on that halfway through the
+    polygon's latitudes. Polygons without an area have no row.
+    """
+    middle = centroids(edges).where("cx is not null").select("poly_id", "cx", "cy")
+    inside = middle.join(edges, "poly_id").groupBy("poly_id").agg((F.count_if(crosses("cx", "cy")) % 2 == 1).alias("_in")).where("_in")
+    half = edges.groupBy("poly_id").agg(((F.min(F.least("y1", "y2")) + F.max(F.greatest("y1", "y2"))) / 2).alias("_half"))
+    lines = middle.join(half, "poly_id").select("poly_id", F.posexplode(F.array("cy", "_half")).alias("_k", "_y"))
+    chord = widest_chord(edges, lines).groupBy("poly_id").agg(F.min(F.struct("_k", "_x", "_y")).alias("v"))
+    out = middle.join(inside, "poly_id", "left").join(chord, "poly_id", "left")
+    own = F.coalesce("_in", F.lit(False))
+    return out.select("poly_id", F.when(own | F.col("v").isNull(), F.col("cx")).otherwise(F.col("v._x")).alias("cx"), F.when(own | F.col("v").isNull(), F.col("cy")).otherwise(F.col("v._y")).alias("cy"), own.alias("inside"))
+
+
+def widest_chord(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of each polygon and parallel (poly_id, _k, _y) the middle _x of the widest stretch inside; ties take the western one."""
+    met = edges.join(lines, "poly_id").where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
+    met = met.withColumn("_at", (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    w = Window.partitionBy("poly_id", "_k").orderBy("_at")
+    pairs = met.withColumns({"_n": F.row_number().over(w), "_to": F.lead("_at").over(w)}).where("_n % 2 = 1 and _to is not null")
+    best = pairs.groupBy("poly_id", "_k", "_y").agg(F.max(F.struct((F.col("_to") - F.col("_at")).alias("d"), (-F.col("_at")).alias("a"), F.col("_to"))).alias("m"))
+    return best.select("poly_id", "_k", "_y", ((F.col("m._to") - F.col("m.a")) / 2).alias("_x"))
 
 
 def recode(regions: DataFrame, codes: DataFrame, key: str, split_longitude: float) -> DataFrame:
@@ -204,9 +239,13 @@ def dense_template(values: DataFrame, cells: int, cell: str = "cell") -> DataFra
     return grid.join(values, cell, "left")
 
 
-def stack_layers(layers: DataFrame, species: str, binary: bool = False) -> DataFrame:
-    """Cells of all species in one table with the species' place by its total score; optionally 0 or 1."""
-    value = F.ceil("value").cast("double") if binary else F.col("value")
+def stack_layers(layers: DataFrame, species: str, source: Grid | None = None, target: Grid | None = None, method: str = "near", binary: bool = False) -> DataFrame:
+    """Cells of all species in one table with the species' place by its total score; optionally 0 or 1.
+
+    With a ``source`` and ``target`` grid the layers are first moved to the target, by ``near`` or ``bilinear``.
+    """
     order = layers.groupBy(species).agg(F.round(F.sum("value"), 6).alias("_t"))
     place = running_total(order.withColumn("_t", -F.col("_t")), ["_t", species], F.lit(1), "layer").withColumn("layer", F.col("layer").cast("int")).drop("_t")
-    return layers.join(place, species).withColumn("value", value)
+    moved = resample(layers, source, target, method, [species]) if source else layers
+    value = F.ceil("value").cast("double") if binary else F.col("value")
+    return moved.join(place, species).withColumn("value", value)

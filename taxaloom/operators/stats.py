@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxaloom.functions.names import logit
+from taxaloom.operators.quantiles import group_medians, group_quantiles
 from taxaloom.operators.rows import running_total, uniform
 from taxaloom.package import ship
 
@@ -227,14 +228,14 @@ def zero_inflated_models(df: DataFrame, response: str, nested: dict[str, Sequenc
 
 def quantile_curves(df: DataFrame, predictor: str, response: str, width: float, taus: Sequence[float]) -> DataFrame:
     """Exact percentiles of the response by band of the predictor, in long form."""
-    band = F.floor(F.col(predictor) / width).alias("band")
-    wide = df.groupBy(band).agg(F.percentile(response, F.array(*map(F.lit, taus))).alias("q"))
+    placed = df.select(F.floor(F.col(predictor) / width).alias("band"), response)
+    wide = group_quantiles(placed, ["band"], [response], taus).select("band", F.col(f"{response}_quantiles").alias("q"))
     return wide.select("band", F.posexplode("q").alias("i", "value")).withColumn("tau", F.element_at(F.array(*map(F.lit, taus)), F.col("i") + 1)).drop("i")
 
 
 def quantile_summary(df: DataFrame, curves: DataFrame, predictor: str, response: str, width: float) -> DataFrame:
     """Per tau: share of responses near zero and one less residual over deviation from the median."""
-    middle = df.agg(F.median(response).alias("_m"))
+    middle = group_medians(df, [], [response]).select(F.col(f"{response}_median").alias("_m"))
     placed = df.withColumn("band", F.floor(F.col(predictor) / width)).join(curves, "band").crossJoin(F.broadcast(middle))
     residual, deviation = F.sum(F.abs(F.col(response) - F.col("value"))), F.sum(F.abs(F.col(response) - F.col("_m")))
     return placed.groupBy("tau").agg((F.count_if(F.abs(response) < 0.01) / F.count("*")).alias("near_zero"), (1 - residual / deviation).alias("fit"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxaloom.operators.quantiles import group_medians
 from taxaloom.operators.rows import with_group_aggregates
 
 Keys = Sequence[str]
@@ -52,10 +53,15 @@ def area_of_occupancy(cells: DataFrame, regions: DataFrame, species: str = "spec
 
 def suitability_statistics(cells: DataFrame, regions: DataFrame, species: str = "species") -> DataFrame:
     """Least, mean, median and greatest suitability in all and by sub-region; sub-regions without any go."""
-    four = lambda p: [F.min("suitability").alias(f"{p}min"), F.avg("suitability").alias(f"{p}mean"), F.median("suitability").alias(f"{p}median"), F.max("suitability").alias(f"{p}max")]
-    total = cells.groupBy(species).agg(*four("total_"))
-    part = cells.join(regions.select("cell", "sub_region"), "cell").groupBy(species, "sub_region").agg(*four("region_")).where("region_max > 0")
-    return part.join(total, species)
+    three = lambda p: [F.min("suitability").alias(f"{p}min"), F.avg("suitability").alias(f"{p}mean"), F.max("suitability").alias(f"{p}max")]
+
+    def with_median(rows: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+        middle = group_medians(rows, keys, ["suitability"]).withColumnRenamed("suitability_median", f"{p}median")
+        return rows.groupBy(*keys).agg(*three(p)).join(middle, list(keys))
+
+    own = cells.select(species, "cell", "suitability")
+    part = with_median(own.join(regions.select("cell", "sub_region"), "cell"), [species, "sub_region"], "region_").where("region_max > 0")
+    return part.join(with_median(own, [species], "total_"), species)
 
 
 def taxon_richness(rows: DataFrame, taxon: str, region: Keys, name: str = "clean_name", value: str = "paoo") -> DataFrame:
@@ -94,6 +100,35 @@ def log_binned(df: DataFrame, value: str, width: float, groups: Keys) -> DataFra
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*groups)))
 
 
+#: Scales of a frequency: how a value is taken to the scale and which values have a place on it.
+SCALES = {"identity": (lambda c: c, lambda c: F.lit(True)), "log10": (F.log10, lambda c: c > 0), "log": (F.log, lambda c: c > 0), "sqrt": (F.sqrt, lambda c: c >= 0)}
+
+
+def frequency_grains(df: DataFrame, value: str, widths: Mapping[str, float], levels: Sequence[str]) -> DataFrame:
+    """Frequency polygons over all rows and within each level of a hierarchy (country, then sub-region), on several scales at once.
+
+    ``widths`` maps a scale to its bin width. Rows are counted once by scale, lowest level and bin; the grains add these counts up. Returns scale, grain (``all`` or the
+    level's name), the levels (null above the grain), bin, n, share within the grain's group, and ``middle``: the bin's middle as a value. Null and infinite values and such without a place on the scale are left
+    out; null levels are a group.
+    """
+    v = F.col(value).cast("double")
+    usable = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    placed = F.array(*[F.when(SCALES[s][1](v), F.struct(F.lit(s).alias("scale"), F.floor(SCALES[s][0](v) / F.lit(w)).cast("long").alias("bin"))) for s, w in widths.items()])
+    lowest = usable.select(*levels, F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("x")).groupBy("x.scale", *levels, "x.bin").agg(F.count("*").alias("n"))
+    kinds = dict(df.dtypes)
+    out = None
+    for k in range(len(levels) + 1):
+        own = lowest.groupBy("scale", *levels[:k], "bin").agg(F.sum("n").alias("n"))
+        share = F.col("n") / F.sum("n").over(Window.partitionBy("scale", *levels[:k]))
+        gone = [F.lit(None).cast(kinds[c]).alias(c) for c in levels[k:]]
+        one = own.select("scale", F.lit(levels[k - 1] if k else "all").alias("grain"), *levels[:k], *gone, "bin", "n", share.alias("share"))
+        out = one if out is None else out.unionByName(one)
+    width = F.element_at(F.create_map(*[F.lit(x) for s, w in widths.items() for x in (s, float(w))]), F.col("scale"))
+    at = (F.col("bin") + 0.5) * width
+    middle = F.when(F.col("scale") == "log10", F.pow(F.lit(10.0), at)).when(F.col("scale") == "log", F.exp(at)).when(F.col("scale") == "sqrt", at * at).otherwise(at)
+    return out.withColumn("middle", middle)
+
+
 def mean_response(df: DataFrame, region: str, response: str, logit: bool = False) -> DataFrame:
     """Mean response by region, clamped to 0..1; optionally its logit with a guard at both ends."""
     out = df.where(F.col(response).isNotNull()).groupBy(region).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(response))).alias("response"))

@@ -12,6 +12,10 @@ from taxaloom.registry import query
 KC = ("chk", "known", "cand")
 
 
+#: A long known name: the species' own stands in its middle.
+_LONG = "concat_ws(' ', p_brand, p_name, p_type)"
+
+
 @query("P1_occurrence_quality", sql("occ", body="""select obs_id, taxon_key, lon, lat from occ where taxon_key in (select p_partkey from part where p_size % 2 = 0)
   and basis in ('HUMAN_OBSERVATION', 'PRESERVED_SPECIMEN') and has_coordinate and not has_issue and status = 'PRESENT' and "year" >= 1970 and uncertainty <= 4700
   and lon between -170 and 170 and lat between -60 and 90"""))
@@ -123,6 +127,13 @@ def p19(s, d):
     return kept.unionByName(removed).groupBy("excluded").agg(F.count("*").alias("species"), F.sum("observations").alias("observations"))
 
 
+@query("P19_underlying_taxa", sql("stats", body=f"select s.clean_name, k.known, exists (select 1 from part where p_size > 40 and p_brand = s.clean_name) as analysed from (select distinct clean_name from stats where not excluded) s join (select distinct {_LONG} as known from part) k on contains(known, clean_name)"))
+def p19_underlying(s, d):
+    included = b.stats(s, d).where("not excluded").select("clean_name")
+    part = b.table(s, d, "part")
+    return checklist.underlying_taxa(included, part.select(F.expr(_LONG).alias("known")), part.where("p_size > 40").select(F.col("p_brand").alias("clean_name")), "clean_name", "known")
+
+
 @query("P20_result_sanity", sql("stats", body="""select 'unexpected' as problem, count(*) as n from (select distinct clean_name from stats where clean_name not in (select p_brand from part where p_size > 3))
   union all select 'included without overlap', count(*) from stats where not excluded and overlap = 0"""))
 def p20(s, d):
@@ -203,6 +214,13 @@ def j9(s, d):
     return joins.prefix_join(items, part, "item", "p_name", "p_partkey")
 
 
+@query("J9_containment_join", f"with i as (select distinct p_name as item from part where p_size % 2 = 0 union select distinct p_type from part where p_size % 3 = 0 union select distinct substr(p_name, 3, 2) from part) select item, p_partkey, {_LONG} as known from i join part on contains({_LONG}, item)")
+def j9_inside(s, d):
+    part = b.table(s, d, "part")
+    items = part.where("p_size % 2 = 0").select(F.col("p_name").alias("item")).union(part.where("p_size % 3 = 0").select("p_type")).union(part.select(F.substring("p_name", 3, 2)))
+    return joins.containment_join(items, part.select("p_partkey", F.expr(_LONG).alias("known")), "item", "known", "p_partkey")
+
+
 @query("J10_full_outer", """with a as (select l_suppkey k, count(*) n from lineitem where l_returnflag = 'R' and l_tax > 0.06 group by 1), c as (select s_suppkey k, s_nationkey from supplier where s_suppkey % 2 = 0) select k, n, s_nationkey from a full join c using (k)""")
 def j10(s, d):
     a = b.table(s, d, "lineitem").where("l_returnflag = 'R' and l_tax > 0.06D").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"))

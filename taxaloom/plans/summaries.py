@@ -149,6 +149,17 @@ def a20(s, d):
     return zonal.log_binned(b.table(s, d, "orders"), "o_totalprice", 0.05, ["o_orderstatus"]).withColumn("share", F.round("share", 8))
 
 
+_PLACED = "select 'log10' as scale, floor(log10(paoo) / 0.1::double)::bigint as bin, country, sub_region from paoo where paoo > 0 union all select 'log', floor(ln(paoo) / 0.2::double)::bigint, country, sub_region from paoo where paoo > 0 union all select 'sqrt', floor(sqrt(paoo) / 0.5::double)::bigint, country, sub_region from paoo where paoo >= 0"
+_GRAIN = "select scale, '{}' as grain, {} as country, {} as sub_region, bin, count(*) as n from placed group by scale, bin{}"
+
+
+@query("A20_frequency_grains", sql("paoo", body=f"""select scale, grain, country, sub_region, bin, n, round(share, 8) as share, round(case scale when 'log10' then pow(10, (bin + 0.5::double) * 0.1::double) when 'log' then exp((bin + 0.5::double) * 0.2::double) else pow((bin + 0.5::double) * 0.5::double, 2) end, 6) as middle
+  from (select *, n / sum(n) over (partition by scale, grain, country, sub_region) as share from (with placed as ({_PLACED}) {_GRAIN.format('all', 'null::varchar', 'null::varchar', '')} union all {_GRAIN.format('country', 'placed.country', 'null', ', placed.country')} union all {_GRAIN.format('sub_region', 'placed.country', 'placed.sub_region', ', placed.country, placed.sub_region')}))"""))
+def a20_grains(s, d):
+    out = zonal.frequency_grains(b.paoo(s, d), "paoo", {"log10": 0.1, "log": 0.2, "sqrt": 0.5}, ["country", "sub_region"])
+    return out.withColumns({"share": F.round("share", 8), "middle": F.round("middle", 6)})
+
+
 @query("A21_union_audit", """with a as (select p_name, p_brand from part where p_size % 2 = 0), c as (select case when p_size % 5 = 0 then null else p_name end as p_name, p_brand from part where p_size % 3 = 0), u as (select distinct * from (select * from a union all select * from c))
   select (select count(*) from a) as rows_a, (select count(*) from c) as rows_b, count(*) as merged, (select count(*) from a) + (select count(*) from c) - count(*) as duplicates, count_if(p_name is null or p_brand is null)::bigint as incomplete,
   (select count(*) from (select distinct * from c except select * from a)) as added from u""")

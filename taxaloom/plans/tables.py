@@ -5,27 +5,19 @@ Folders come from the session's checkpoint folder, which all executors share.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from taxaloom import plugins
 from taxaloom.operators import rows
 from taxaloom.plans import base as b
 from taxaloom.registry import query
+from taxaloom.shared import shared_folder
 from taxaloom.sources import readers, writers
 from taxaloom.streaming.ingest import ingest
 
 
 def folder(spark) -> str:
-    """A new folder in the checkpoint folder; where that is unset a temporary one, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return shared_folder(spark, "tables")
 
 
 @query("S1_occurrence_scan", "select l_orderkey, l_partkey, l_quantity, l_returnflag from lineitem")
