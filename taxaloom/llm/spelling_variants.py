@@ -32,7 +32,7 @@ LETTERS, MIN_LENGTH, MIN_COUNT = "A-Za-zÀ-ÿ", 7, 2
 #: A near word so many times as frequent is the form.
 FACTOR = 10
 #: First-level parts and pieces of each, for pairs of one length (distance two) and of neighbouring lengths (distance one).
-SAME, NEXT = (1, 5), (1, 3)
+SAME, NEXT = (1, 3), (1, 2)
 
 
 def words(docs: DataFrame, every: int = 31, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
