@@ -90,5 +90,5 @@ def _chains(chains: DataFrame, values: Sequence[str], folder: str, k: int) -> Da
         open_ = moved.where("_open").drop("_open")
         if not open_.take(1):
             return done
-        if step > 64:
+        if step > 40:
             raise ValueError("a chain leads back to itself")

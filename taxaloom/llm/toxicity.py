@@ -1,15 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney word models (operator 7).
 
-Both classes share one Kneser-Ney model of words, P(w) = max(n(w) - D, 0) / N + backoff * K(w): n(w) counts the documents of
-either class with the word, and K is the continuation distribution (how many different words precede w, mixed with a uniform
-share for what no count covers). A class's model is P_c(w) = P(w) * q_c(w) / s_c, where s_c is the class's share of documents and
-q_c(w) its share among the documents with w, discounted: of all shares that the counts allow (their likelihood is within
-SUPPORT / 2 of the best) the one nearest s_c. A word seen once thus has its shared probability in both classes, one seen a few times
-in one class only leans to it a little, and a frequent one nearly as far as its counts do; no word is left out. The score
-is a logistic function of the difference of the mean log-likelihoods of a document's words.
+Each class c has a model of its own over one shared backoff: P_c(w) = max(n_c(w) - D_c, 0) / N_c + B_c * K(w). n_c(w) counts the
+class's documents with the word, N_c is their sum, D_c the class's absolute discount, B_c the share of N_c that the discounts free, and K the continuation
+distribution of both classes together (how many different words precede w, mixed with a uniform share for what no count covers).
+So a rare expression is smoothed to what its contexts in the whole corpus say. D_c follows the words seen once and twice
+(once / (once + 2 * twice)), times two for the toxic class, which has the fewer documents, and is 1 at least.
+
+A toxic document is mostly made of ordinary words. Its model is therefore the mixture (1 - SHARE) * P_ordinary + SHARE * P_toxic; a word's
+weight is the log of the mixture over the ordinary probability, divided by SHARE. No word is left out: one that training hasn't seen has the weight of its
+backoff. The score is a logistic function of the difference of both length-normalised log-likelihoods, the mean weight of a document's words.
 
 Words are runs of letters in lower case, told apart by 64 bits. The counts and ratios of all words are a Spark table that grows with
-the corpus. Words whose ratio isn't 0 tell the classes apart; they are broadcast behind a check of their number, and joined to the
+the corpus. Words whose weight isn't the backoff's are broadcast behind a check of their number, and joined to the
 documents' words beyond it, with the same result. Counts cover every labelled document of the folds used: 1 to 3 for
 counts and 4 for the logistic function (by CRC-32 of the id, modulo 5); fold 0 is held out.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaloom.llm.common import U64, mix, shared_dir, ship, signed, stored, word_hashes
@@ -33,10 +35,10 @@ from taxaloom.llm.language_id import crc_of_id, distinct, letters
 
 #: Added to the number of words in the mean, so that a few words alone are no strong evidence.
 PRIOR_WORDS = 4
-#: Twice the log-likelihood by which a share may fall short of the best.
-SUPPORT = 6.0
+#: Part of a toxic document's words that its own model accounts for, and the factor of the toxic class's discount; set on fold 4.
+SHARE, TOXIC_FACTOR = 1 / 256, 2.0
 #: Bins of the difference for fitting the logistic function.
-BINS, SPAN = 32_768, 2.0
+BINS, SPAN = 32_768, 4.0
 #: Telling words that are broadcast; beyond that they are joined.
 BROADCAST_WORDS = 2_000_000
 #: Preceding words fall into so many classes, the low bits of a code whose high bits are the word's.
@@ -99,35 +101,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from send()
 
 
-def class_share(toxic: np.ndarray, documents: np.ndarray, prior: float, support: float = SUPPORT) -> np.ndarray:
-    """The share nearest ``prior`` of those that the counts allow: by bisection between it and the observed share."""
-    a, n = toxic.astype(np.float64), documents.astype(np.float64)
-    seen = np.clip(a / n, 0, 1)
-
-    def short(p: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return 2 * (np.where(a > 0, a * np.log(seen / p), 0) + np.where(n > a, (n - a) * np.log((1 - seen) / (1 - p)), 0))
-
-    low, high = np.full(len(a), prior), np.clip(seen, 1e-12, 1 - 1e-12)
-    allowed = short(low) <= support
-    for _ in range(60):
-        middle = (low + high) / 2
-        far = short(middle) > support
-        low, high = np.where(far, middle, low), np.where(far, high, middle)
-    return np.where(allowed, prior, high)
-
+def discount(once: int, twice: int, factor: float = 1.0) -> float:
+    return max(1.0, factor * once / max(once + 2 * twice, 1))
 
-def shared_probability(n: Column, preceding: Column, totals: dict[str, float]) -> Column:
-    """Kneser-Ney probability of a word from its documents and its preceding classes; ``totals`` are those of ``word_model``."""
-    discount = totals["once"] / max(totals["once"] + 2 * totals["twice"], 1)
-    backoff = totals["words"] * discount / max(totals["n"], 1)
-    continuation = 0.99 * preceding / max(totals["preceding"], 1) + 0.01 / max(totals["words"], 1)
-    return F.greatest(n - discount, F.lit(0.0)) / max(totals["n"], 1) + backoff * continuation
 
-
-def word_model(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, int, int] | None:
-    """word, toxic, ordinary (documents), shared (probability) and ratio (log of both classes' probabilities, one over the other) of every
-    word of the labelled documents of folds 1 to 3, and the documents of both classes; None if one has none."""
+def word_model(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, float] | None:
+    """word, toxic, ordinary (documents), preceding, p_toxic, p_ordinary and weight of every word of the labelled documents of folds 1 to
+    3, and the weight of all other words; None if a class has no document."""
     fold = crc_of_id("doc_id") % 5
     used = (fold > 0) & (fold < 4)
     rows = docs.where(used).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -146,21 +126,19 @@ def word_model(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFra
     if whole is None or not whole.toxic or not whole.ordinary:
         return None
     words = counts.where("not total").drop("total")
-    n = F.col("toxic") + F.col("ordinary")
-    totals = words.agg(F.sum(n).alias("n"), F.count("*").alias("words"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.sum("preceding").alias("preceding")).first().asDict()
-    totals = {k: v or 0 for k, v in totals.items()}
-    prior = whole.toxic / (whole.toxic + whole.ordinary)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, ordinary = (batch.column(k).to_numpy() for k in (1, 2))
-            share = class_share(toxic, toxic + ordinary, prior)
-            ratio = np.log(share / prior) - np.log((1 - share) / (1 - prior))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio)], names=["word", "toxic", "ordinary", "shared", "ratio"])
-
-    shared = words.select("word", "toxic", "ordinary", shared_probability(n, F.col("preceding"), totals).alias("shared"))
-    model = stored(shared.mapInArrow(weigh, "word long, toxic long, ordinary long, shared double, ratio double"), folder, "model")
-    return model, whole.toxic, whole.ordinary
+    classes = ("toxic", "ordinary")
+    seen = words.agg(F.count("*").alias("words"), F.sum("preceding").alias("preceding"), *[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in classes for k in (1, 2)]).first()
+    less = {c: discount(seen[f"{c}1"], seen[f"{c}2"], TOXIC_FACTOR if c == "toxic" else 1.0) for c in classes}
+    mass = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes], *[F.coalesce(F.sum(F.least(F.col(c), F.lit(less[c]))), F.lit(0.0)).alias(f"{c}_freed") for c in classes]).first()
+    backoff = {c: mass[f"{c}_freed"] / max(mass[c], 1) for c in classes}
+    continuation = 0.99 * F.col("preceding") / max(seen["preceding"] or 0, 1) + 0.01 / max(seen["words"], 1)
+    p = {c: F.greatest(F.col(c) - less[c], F.lit(0.0)) / max(mass[c], 1) + backoff[c] * continuation for c in classes}
+    # A class whose documents have no words has no opinion.
+    usable = all(mass[c] for c in classes)
+    model = words.select("word", "toxic", "ordinary", "preceding", p["toxic"].alias("p_toxic"), p["ordinary"].alias("p_ordinary"))
+    weight = F.log(1 - SHARE + SHARE * F.col("p_toxic") / F.col("p_ordinary")) / SHARE if usable else F.lit(0.0)
+    unseen = math.log(1 - SHARE + SHARE * backoff["toxic"] / backoff["ordinary"]) / SHARE if usable else 0.0
+    return stored(model.withColumn("weight", weight), folder, "model"), unseen
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -170,12 +148,14 @@ def _known(labels: DataFrame) -> DataFrame:
 SCORED = "doc_id long, fold int, ratio double, words long"
 
 
-def differences(docs: DataFrame, model: DataFrame, folder: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """doc_id, fold, ratio (difference of the classes' mean log-likelihoods) and words of each row."""
+def differences(docs: DataFrame, model: DataFrame, unseen: float, folder: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """doc_id, fold, ratio (difference of the classes' length-normalised log-likelihoods) and words of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of_id("doc_id") % 5).cast("int").alias("fold"), "text")
-    telling = model.where("ratio <> 0").select("word", "ratio")
+    # Weights as they differ from the backoff's, which all words have.
+    above = F.col("weight") - unseen
+    telling = model.select("word", above.alias("ratio")).where(F.abs("ratio") > 1e-9)
     if telling.count() > broadcast_words:
-        return _joined_differences(rows, telling, folder)
+        return _joined_differences(rows, telling, unseen, folder)
     found = telling.orderBy("word").toArrow()
     known, ratio = found.column("word").to_numpy().view(U64), found.column("ratio").to_numpy()
     order = np.argsort(known)
@@ -193,12 +173,12 @@ def differences(docs: DataFrame, model: DataFrame, folder: str, broadcast_words:
                     hit = known[place] == words
                     value[hit] = ratio[place[hit]]
                 total, n = np.concatenate([[0.0], np.cumsum(value)]), np.diff(at)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((total[at[1:]] - total[at[:-1]]) / (n + PRIOR_WORDS)), pa.array(n, pa.int64())], names=["doc_id", "fold", "ratio", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((total[at[1:]] - total[at[:-1]] + unseen * n) / (n + PRIOR_WORDS)), pa.array(n, pa.int64())], names=["doc_id", "fold", "ratio", "words"])
 
     return rows.mapInArrow(score, SCORED)
 
 
-def _joined_differences(rows: DataFrame, telling: DataFrame, folder: str) -> DataFrame:
+def _joined_differences(rows: DataFrame, telling: DataFrame, unseen: float, folder: str) -> DataFrame:
     """The same by a join of the documents' different words with the telling words."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +197,7 @@ def _joined_differences(rows: DataFrame, telling: DataFrame, folder: str) -> Dat
     held = stored(placed.mapInArrow(spread, "place long, doc_id long, fold int, words long, word array<long>, n array<long>"), folder, "words")
     each = held.select("place", F.explode(F.arrays_zip("word", "n")).alias("x")).select("place", "x.word", "x.n")
     sums = each.join(telling, "word").groupBy("place").agg(F.sum(F.col("n") * F.col("ratio")).alias("sum"))
-    return held.join(sums, "place", "left").select("doc_id", "fold", (F.coalesce("sum", F.lit(0.0)) / (F.col("words") + PRIOR_WORDS)).alias("ratio"), "words")
+    return held.join(sums, "place", "left").select("doc_id", "fold", ((F.coalesce("sum", F.lit(0.0)) + unseen * F.col("words")) / (F.col("words") + PRIOR_WORDS)).alias("ratio"), "words")
 
 
 def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[float, float]:
@@ -241,7 +221,7 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, ratio (difference of mean log-likelihoods) and number of words of each row."""
+    """doc_id, held_out, score, predicted, ratio (difference of the length-normalised log-likelihoods) and number of words of each row."""
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark, "toxicity")
@@ -250,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if fitted is None:
         any_toxic = _known(labels).where("toxic = 1").take(1)
         return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of_id("doc_id") % 5 == 0).alias("held_out"), F.lit(0.5 if any_toxic else 0.0).alias("score"), F.lit(1 if any_toxic else 0).alias("predicted"), F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("words"))
-    scored = stored(differences(rows, fitted[0], folder), folder, "ratios")
+    scored = stored(differences(rows, *fitted, folder), folder, "ratios")
     place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("ratio"))) + SPAN) / (2 * SPAN) * (BINS - 1)).cast("int")
     binned = scored.where("fold = 4").join(_known(labels), "doc_id").groupBy(place.alias("bin"), (F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()
     counts = np.zeros((2, BINS))

@@ -431,26 +431,9 @@ def test_toxicity_of_odd_rows(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
-def test_class_share_is_the_nearest_allowed_one():
-    rng = np.random.default_rng(2)
-    n = rng.integers(1, 60, 200)
-    a = rng.binomial(n, rng.random(200))
-    got = toxicity.class_share(a, n, 0.2, 6.0)
-    grid = np.linspace(1e-6, 1 - 1e-6, 200_001)
-    for k in range(200):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = a[k] / n[k]
-            best = (a[k] * np.log(p) if a[k] else 0) + ((n[k] - a[k]) * np.log(1 - p) if a[k] < n[k] else 0)
-            ok = grid[2 * (best - a[k] * np.log(grid) - (n[k] - a[k]) * np.log(1 - grid)) <= 6.0]
-        assert got[k] == pytest.approx(ok[np.abs(ok - 0.2).argmin()], abs=2e-5)
-    # One document says nothing, three of one class a little, forty nearly all.
-    few = toxicity.class_share(np.array([1, 3, 40]), np.array([1, 3, 40]), 0.1)
-    assert few[0] == 0.1 and 0.1 < few[1] < 0.5 < 0.9 < few[2] < 1
-
-
 @pytest.mark.parametrize("broadcast_words", [10**6, 0])
 def test_toxicity_model_equals_direct_counts(spark, broadcast_words, monkeypatch):
-    """Counts, shared probabilities and document differences by Python dictionaries; the broadcast and the join agree."""
+    """Both classes' models and document differences by Python dictionaries; the broadcast and the join agree."""
     monkeypatch.setattr(toxicity, "GATHERED", 300)
     rng = random.Random(31)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(80)]
@@ -459,10 +442,9 @@ def test_toxicity_model_equals_direct_counts(spark, broadcast_words, monkeypatch
     docs = spark.createDataFrame([*rows, (None, "a b"), (3, None)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
     folder = shared_dir(spark, "x")
-    model, t, o = toxicity.word_model(docs, labels, folder)
+    model, unseen = toxicity.word_model(docs, labels, folder)
     split = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
     own = [(split(text), toxic[i]) for i, text in [*rows, (3, None)] if i in toxic and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
-    assert (t, o) == (sum(y for _, y in own), sum(1 - y for _, y in own))
     count = {w: [0, 0] for ws, _ in own for w in ws}
     before: dict[str, set] = {w: set() for w in count}
     for ws, y in own:
@@ -470,28 +452,51 @@ def test_toxicity_model_equals_direct_counts(spark, broadcast_words, monkeypatch
             count[w][1 - y] += 1
         for w, v in zip(ws, ["", *ws], strict=False):
             before[w].add(v)
-    total, once, twice = sum(map(sum, count.values())), sum(sum(c) == 1 for c in count.values()), sum(sum(c) == 2 for c in count.values())
-    d = once / max(once + 2 * twice, 1)
     pairs = sum(map(len, before.values()))
     names = dict(zip(word_hashes(pa.array(list(count)))[0].view(np.int64).tolist(), count, strict=True))
     found = {names[r.word]: r for r in model.collect()}
     assert found.keys() == count.keys()
+    models = []
+    for c in (0, 1):
+        once, twice = (sum(n[c] == k for n in count.values()) for k in (1, 2))
+        total = sum(n[c] for n in count.values())
+        d = max(1.0, (2.0 if c == 0 else 1.0) * once / max(once + 2 * twice, 1))
+        free = sum(min(n[c], d) for n in count.values()) / total
+        k = {w: 0.99 * len(before[w]) / pairs + 0.01 / len(count) for w in count}
+        models.append(({w: max(n[c] - d, 0) / total + free * k[w] for w, n in count.items()}, free))
+    s_ = toxicity.SHARE
+    weight = {w: np.log(1 - s_ + s_ * models[0][0][w] / models[1][0][w]) / s_ for w in count}
+    rest = np.log(1 - s_ + s_ * models[0][1] / models[1][1]) / s_
+    assert unseen == pytest.approx(rest) and rest != 0
     for w, (a, b) in count.items():
-        p = max(a + b - d, 0) / total + len(count) * d / total * (0.99 * len(before[w]) / pairs + 0.01 / len(count))
-        q = float(toxicity.class_share(np.array([a]), np.array([a + b]), t / (t + o))[0])
-        r = np.log(q * o / ((1 - q) * t))
-        assert (found[w].toxic, found[w].ordinary) == (a, b) and (found[w].shared, found[w].ratio) == pytest.approx((p, r), abs=1e-9)
-    assert sum(r.shared for r in found.values()) == pytest.approx(1.0)
-    scored = toxicity.differences(docs, model, folder, broadcast_words).collect()
+        assert (found[w].toxic, found[w].ordinary) == (a, b) and (found[w].p_toxic, found[w].p_ordinary, found[w].weight) == pytest.approx((models[0][0][w], models[1][0][w], weight[w]), abs=1e-9)
+        assert found[w].weight != 0
+    for c, column in ((0, "p_toxic"), (1, "p_ordinary")):
+        assert sum(r[column] for r in found.values()) == pytest.approx(1.0), c
+    scored = toxicity.differences(docs, model, unseen, folder, broadcast_words).collect()
     assert len(scored) == 152
     texts = dict(rows)
     for r in scored:
         if r.doc_id is not None and r.doc_id != 3:
             ws = split(texts[r.doc_id])
-            want = sum(found[w].ratio for w in ws if w in found) / (len(ws) + toxicity.PRIOR_WORDS)
+            want = sum(weight.get(w, rest) for w in ws) / (len(ws) + toxicity.PRIOR_WORDS)
             assert (r.words, r.ratio) == (len(ws), pytest.approx(want, abs=1e-9))
 
 
+def test_continuation_counts_change_scores(spark):
+    """The same words in the same documents, in another order: class counts are equal, what precedes a word isn't."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("ab") + rng.choice("cdefghijkl") for _ in range(12))) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    runs = []
+    for order in (lambda ws: ws, sorted):
+        df = spark.createDataFrame([(i, " ".join(order(t.split()))) for i, t in rows], "doc_id long, text string")
+        model, _ = toxicity.word_model(df, labels, shared_dir(spark, "x"))
+        runs.append({r.word: (r.toxic, r.ordinary, r.weight) for r in model.collect()})
+    assert {w: r[:2] for w, r in runs[0].items()} == {w: r[:2] for w, r in runs[1].items()}
+    assert any(abs(runs[0][w][2] - runs[1][w][2]) > 1e-3 for w in runs[0])
+
+
 def edits(pattern: str, text: str) -> int:
     """Fewest edits of the pattern against any part of the text."""
     row = [0] * (len(text) + 1)
