@@ -5,14 +5,20 @@ Folders come from the session's checkpoint folder, which all executors share.
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from taxaloom import plugins
-from taxaloom.operators import rows
+from taxaloom.operators import joins, rows
+from taxaloom.package import ship
 from taxaloom.plans import base as b
+from taxaloom.plans.base import sql
 from taxaloom.registry import query
 from taxaloom.shared import shared_folder
 from taxaloom.sources import readers, writers
+from taxaloom.streaming.growing import ingest_growing
 from taxaloom.streaming.ingest import ingest
 
 
@@ -86,6 +92,27 @@ def s12(s, d):
     return s.read.parquet(path).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
+@query("S12_bucketed_sink", sql("occ", body="select taxon_key, count(*) as n, round(max(lat), 6) as north from occ group by 1"))
+def s12_bucketed(s, d):
+    """Grouped as it lies: the plan has no shuffle of the records."""
+    return bucketed(s, b.occ(s, d), "taxon_key").groupBy("taxon_key").agg(F.count("*").alias("n"), F.round(F.max("lat"), 6).alias("north"))
+
+
+@query("S12_bucketed_names", sql("occ", "backbone", body="""select o.obs_id, coalesce(case when k.usage_key % 2 = 0 then upper(k.name) end, case when k.usage_key % 3 = 0 then k.name || '?' end, o.scientific_name) as scientific_name, o.scientific_name as original_name
+  from occ o left join backbone k on k.usage_key = o.taxon_key"""))
+def s12_names(s, d):
+    """J21 over two tables of equal buckets: neither side is shuffled."""
+    return joins.accepted_names(bucketed(s, b.occ(s, d).select("obs_id", "taxon_key", "scientific_name"), "taxon_key"), bucketed(s, accepted(s, d), "taxon_key"), "taxon_key", "scientific_name").select("obs_id", "scientific_name", "original_name")
+
+
+def bucketed(s, df, key, buckets: int = 16):
+    return writers.write_bucketed(df, f"bucketed_{uuid.uuid4().hex}", folder(s), key, buckets)
+
+
+def accepted(s, d):
+    return b.backbone(s, d).selectExpr("usage_key as taxon_key", "case when usage_key % 2 = 0 then upper(name) end as accepted_name", "case when usage_key % 3 = 0 then concat(name, '?') end as listed_name")
+
+
 @query("S13_append_sink", "select s_suppkey as k from supplier union all select s_suppkey + 1000000 from supplier")
 def s13(s, d):
     path = folder(s)
@@ -132,6 +159,45 @@ def t1(s, d):
     return s.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("T1_chunk_protocol", sql("occ", "backbone", body="""select scientific_name, count(*) as n, count(distinct obs_id) as records from (select o.obs_id, coalesce(case when k.usage_key % 2 = 0 then upper(k.name) end, case when k.usage_key % 3 = 0 then k.name || '?' end, o.scientific_name) as scientific_name
+  from occ o left join backbone k on k.usage_key = o.taxon_key) where replace(scientific_name, ' ', '') in (select replace(upper(p_name), ' ', '') from part where p_size < 30) group by 1"""))
+def t1_chunks(s, d):
+    """Records arrive in files that grow; each batch is moved to accepted names (J21) and reduced to known species (J22) before it is appended."""
+    path = folder(s)
+    b.occ(s, d).select("obs_id", "taxon_key", "scientific_name").write.option("sep", "\t").csv(f"{path}/whole")
+    known = b.table(s, d, "part").where("p_size < 30").select(F.upper("p_name").alias("scientific_name"))
+
+    def chain(batch):
+        return joins.known_species_only(joins.accepted_names(batch, accepted(s, d), "taxon_key", "scientific_name"), known, "scientific_name")[0]
+
+    for share in (0.4, 1.0):
+        arrive(s, f"{path}/whole", f"{path}/in", share)
+        ingest_growing(s, f"{path}/in", "obs_id string, taxon_key long, scientific_name string", f"{path}/out", f"{path}/state", transform=chain)
+    return s.read.parquet(f"{path}/out").groupBy("scientific_name").agg(F.count("*").alias("n"), F.countDistinct("obs_id").alias("records"))
+
+
+def arrive(spark, whole: str, target: str, share: float) -> None:
+    """Puts the first bytes of each file into another folder, cut wherever they end: as far as files have been written so far."""
+    ship(spark)
+
+    def copy(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, to = fs.FileSystem.from_uri(target)
+                store.create_dir(to, recursive=True)
+                at, source = fs.FileSystem.from_uri(name)
+                file, left = source.rsplit("/", 1)[1], int(at.get_file_info(source).size * share)
+                with at.open_input_stream(source) as f, store.open_output_stream(f"{to}/.{file}") as out:
+                    while left and (piece := f.read(min(left, 1 << 20))):
+                        out.write(piece)
+                        left -= len(piece)
+                store.move(f"{to}/.{file}", f"{to}/{file}")
+            yield batch
+
+    files = spark.read.text(whole).select(F.input_file_name().alias("file")).distinct()
+    files.mapInArrow(copy, "file string").write.format("noop").mode("overwrite").save()
+
+
 @query("U1_source_plugin", "select sourceDataset, count(*) as n from (select 'a' as sourceDataset from part where p_size < 10 union all select 'b' from part where p_size >= 40) group by 1")
 def u1(s, d):
     def source(name: str, where: str):
@@ -155,3 +221,16 @@ def u4(s, d):
     line = b.table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_orderkey")
     execute = lambda t: t.groupBy("l_returnflag", "_salt").agg(F.sum("l_quantity").alias("total"), F.max("l_extendedprice").alias("top"))
     return plugins.partial_aggregate(line, ["l_returnflag"], execute, lambda t: t.groupBy("l_returnflag").agg(F.sum("total").alias("total"), F.max("top").alias("top")))
+
+
+@query("U4_own_state", "select l_returnflag, count(*) as n, true as bounded from lineitem group by 1")
+def u4_state(s, d):
+    """The user's own state, merged in a tree: frequent parts by flag, each count within its bound of the true one."""
+    line = b.table(s, d, "lineitem").select("l_returnflag", "l_partkey")
+    size = 200
+    found = plugins.own_aggregate(line, ["l_returnflag"], plugins.HeavyValues("l_partkey", size), "n long, `values` array<string>, counts array<long>")
+    told = found.select("l_returnflag", F.explode(F.arrays_zip("values", "counts")).alias("x")).select("l_returnflag", F.col("x.values").cast("long").alias("l_partkey"), F.col("x.counts").alias("c"))
+    true = line.groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("t"))
+    less = F.col("t") - F.coalesce("c", F.lit(0))
+    checked = true.join(told, ["l_returnflag", "l_partkey"], "left").join(found.select("l_returnflag", "n"), "l_returnflag").groupBy("l_returnflag", "n").agg(F.bool_and((less >= 0) & (less <= F.col("n") / size)).alias("bounded"))
+    return checked.select("l_returnflag", "n", "bounded")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def write_transformed(df: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -25,14 +24,29 @@ def write_by_species(df: DataFrame, path: str, species: str, partitions: int | N
     ranged.sortWithinPartitions(species).write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """One table in ``buckets`` by the key, sorted by it, under ``path``; returned as read back.
+
+    Grouping by the key, or joining on it with another table of as many buckets, needs no shuffle, however often it is done. A bucket is one task's:
+    where one key holds a large share of the rows, :func:`write_by_species` with a salt is the better table.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
 def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Reads a table if it is there, else makes and writes it first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """Reads a table if it is there, else makes and writes it first. A table that is there and can't be read raises."""
+    if not is_there(spark, path):
         make().write.parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """A table whose write was finished."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)

@@ -14,10 +14,13 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     """
     stream = spark.readStream.schema(schema).format(file_format).option("maxFilesPerTrigger", max_files).load(source)
 
+    done: set[int] = set()
+
     def append(batch: DataFrame, number: int) -> None:
         out = transform(batch) if transform else batch
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        done.add(number)
 
     query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p.numInputRows])
+    return len(done)
