@@ -1,13 +1,14 @@
 """Secrets in texts (operator 2).
 
 Base kinds are fixed patterns. The method adds spans of kind ``guess``: the value after a credential word
-is priced by the fewest guesses that a cracker needs. A dynamic program cuts the value into words (by rank
+is priced by the fewest guesses that a cracker needs (:mod:`taxaloom.llm.guess_cost`). A dynamic program cuts the value into words (by rank
 among all words of the corpus), dates, repeats, keyboard walks and brute-force spans, taking the cheapest cut; a value
-above the limit is reported, unless a base span covers it already.
+above the limit is reported. Values that a base span meets are reported by it and not priced.
 
 1. Workers find base spans and credential values; texts are read once for it and once for the counts of words.
-2. Each different value gives its runs of letters, which meet the words' ranks in a join: the whole vocabulary counts,
-   and none of it is broadcast. A word's uses as a credential value don't count.
+2. Each different value gets a number. What may begin a word in it (stretches of three to eight letters, and of nine, which
+   begin any longer word) meets the words' ranks in a join: the whole vocabulary counts, and none of it is broadcast. The number goes with
+   them, not the value. A word's uses as a credential value don't count.
 3. Each different value is priced once, and its price goes back to the documents with it.
 
 Defined cases: a null or empty text has no spans; ids may be null; repeated rows are scanned each; an empty
@@ -17,16 +18,16 @@ table gives an empty result; other columns are ignored. Spans count code points;
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaloom.llm.common import shared_dir, ship, stored
+from taxaloom.llm.guess_cost import LEET, SHORTEST_WORD, guess_cost, lowered
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,151 +37,6 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth|client)[_\x20-]?key|auth(?:orization)?|bearer)["']?\x20{0,4}(?:[:=]|=>|:=|->)\x20{0,4}["'`]?([^\s"'`<>,;|]+)""", re.I | re.A)
 HINT = re.compile("pass|pwd|secret|token|credential|key|auth|bearer", re.I | re.A)
 
-# Passwords and words that crackers try first, most frequent first.
-COMMON = """password qwerty admin letmein welcome login monkey dragon master shadow sunshine princess football
-baseball superman batman trustno iloveyou starwars whatever freedom secret summer winter spring autumn hello charlie
-hunter soccer hockey killer george michael jordan harley ranger jennifer thomas robert daniel andrew joshua pepper ginger
-cheese coffee banana orange purple silver golden flower computer internet service access default guest root test changeme
-example sample temp demo user pass key token api the and for you with this that from have will""".split()
-#: Rows of a keyboard, for walks.
-KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-LEET = str.maketrans("@4310$57!", "aaeiossti")
-YEARS = 130
-
-_PLACE = {c: (r, i + r / 2) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?:\d{4}[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]?\d{1,2}[-/._]?(?:\d{4}|\d{2}))", re.A)
-_DIGITS = frozenset("0123456789")
-_SHORTEST_WORD, _LONGEST_WORD, _LONGEST_DATE = 3, 24, 10
-#: Lengths of the unit of a repeat; and so far back from its end a repeat or walk may start anywhere, before that where it begins.
-UNITS, LOOK = (2, 3, 4, 5, 6, 8), 10
-
-
-def lowered(value: str) -> str:
-    """Lower case, character by character."""
-    return "".join(x if len(x := c.lower()) == 1 else c for c in value)
-
-
-def _char_cost(value: str) -> float:
-    """log10 of the alphabet that the value is written in: the classes of characters it has."""
-    classes = {26 + (c.isupper() * 0.5) if c.isalpha() else 10 if c in _DIGITS else 33 for c in value}
-    return math.log10(sum(map(int, classes)) or 1)
-
-
-def _near(a: str, b: str) -> bool:
-    p, q = _PLACE.get(a), _PLACE.get(b)
-    return p is not None and q is not None and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
-
-
-def _case_cost(word: str) -> float:
-    """log10 of the ways to write the capitals of a word."""
-    upper = sum(c.isupper() for c in word)
-    if not upper:
-        return 0.0
-    if word[0].isupper() and upper == 1 or upper == len(word):
-        return math.log10(2)
-    return math.log10(sum(math.comb(len(word), k) for k in range(1, min(upper, len(word) - upper) + 2)))
-
-
-def word_cost(word: str, rank: int, written: str) -> float:
-    """log10 of the guesses for a word of this rank, given how it is written."""
-    low = lowered(written)
-    return math.log10(rank + 1) + _case_cost(written) + (0.0 if word == low else math.log10(4))
-
-
-def date_cost(text: str) -> float | None:
-    if len(text) == 4 and text[:2] in ("19", "20") and _DIGITS.issuperset(text):
-        return math.log10(YEARS)
-    return math.log10(365 * YEARS) + (0.0 if _DIGITS.issuperset(text) else 0.6) if _DATE.fullmatch(text) else None
-
-
-def repeat_cost(times: int, size: int, each: float) -> float:
-    return size * each + math.log10(times)
-
-
-def walk_cost(written: str) -> float:
-    return math.log10(47 * len(written)) + (len(written) - 1) // 2 * math.log10(4) / 2 + _case_cost(written)
-
-
-def sequence_cost(length: int, each: float) -> float:
-    return each + math.log10(length) + 0.3
-
-
-_HEADS = frozenset(w[:_SHORTEST_WORD] for w in COMMON)
-_RANKS = {w: i for i, w in enumerate(COMMON, 1)}
-
-
-def _words_in(value: str, low: str, ranks: Mapping[str, int]) -> dict[int, list[tuple[int, float]]]:
-    """By end: start and cost of each word in a value, as it is or with signs for letters."""
-    heads = _HEADS | {w[:_SHORTEST_WORD] for w in ranks}
-    found: dict[int, list[tuple[int, float]]] = {}
-    plain = low.translate(LEET)
-    for form in {low, plain}:
-        for a in range(len(form) - _SHORTEST_WORD + 1):
-            if form[a : a + _SHORTEST_WORD] in heads:
-                for b in range(a + _SHORTEST_WORD, min(len(form), a + _LONGEST_WORD) + 1):
-                    word = form[a:b]
-                    if rank := min(_RANKS.get(word, math.inf), ranks.get(word, math.inf)):
-                        if rank < math.inf:
-                            found.setdefault(b, []).append((a, word_cost(word, rank, value[a:b])))
-    return found
-
-
-def guess_cost(value: str, ranks: Mapping[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses for ``value`` by its cheapest segmentation, and the segments (kind, start, end).
-
-    Every further segment multiplies the guesses by ten, the cost of guessing the structure. The time follows the length.
-    """
-    n, low, each = len(value), lowered(value), _char_cost(value)
-    words = _words_in(value, low, ranks)
-    best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
-
-    def offer(a: int, b: int, cost: float, kind: str) -> None:
-        cost += best[a] + (1.0 if a else 0.0)
-        if cost < best[b]:
-            best[b], back[b] = cost, (kind, a)
-
-    # brute[b]: cheapest cut that ends in a brute-force span, and where this span starts.
-    brute, since = math.inf, 0
-    run = walk = sequence = 1
-    same = dict.fromkeys(UNITS, 0)
-    for b in range(1, n + 1):
-        c = value[b - 1]
-        open_ = best[b - 1] + (1.0 if b > 1 else 0.0)
-        if brute <= open_:
-            brute += each
-        else:
-            brute, since = open_ + each, b - 1
-        best[b], back[b] = brute, ("brute", since)
-        for a, cost in words.get(b, ()):
-            offer(a, b, cost, "word")
-        if c in _DIGITS:
-            for a in range(max(0, b - _LONGEST_DATE), b - 3):
-                if (cost := date_cost(value[a:b])) is not None:
-                    offer(a, b, cost, "date")
-        before = value[b - 2] if b > 1 else ""
-        run = run + 1 if c == before else 1
-        walk = walk + 1 if b > 1 and _near(low[b - 2], low[b - 1]) else 1
-        sequence = sequence + 1 if b > 1 and c.isalnum() and ord(c) - ord(before) == 1 else 1
-        for length in {run, *range(3, min(run, LOOK) + 1)} if run >= 3 else ():
-            offer(b - length, b, repeat_cost(length, 1, each), "repeat")
-        for length in {walk, *range(3, min(walk, LOOK) + 1)} if walk >= 3 else ():
-            offer(b - length, b, walk_cost(value[b - length : b]), "walk")
-        for length in {sequence, *range(3, min(sequence, LOOK) + 1)} if sequence >= 3 else ():
-            offer(b - length, b, sequence_cost(length, each), "walk")
-        for size in UNITS:
-            same[size] = same[size] + 1 if b > size and value[b - 1 - size] == c else 0
-            if same[size] >= size and run < 2 * size:
-                most = same[size] // size + 1
-                for times in {most, *range(2, min(most, LOOK // size) + 1)}:
-                    offer(b - times * size, b, repeat_cost(times, size, each), "repeat")
-    segments: list[tuple[str, int, int]] = []
-    b = n
-    while b:
-        kind, a = back[b]
-        segments.append((kind, a, b))
-        b = a
-    return best[n], segments[::-1]
-
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds, by start and then kind."""
@@ -214,14 +70,20 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+#: Words are joined by so many of their first letters.
+HEAD = 9
+
+
 def letter_runs(value: str) -> set[str]:
-    """What may be a word of a value: its stretches of letters, as they are or with signs for letters, in lower case."""
+    """What may be a word of a value, or the beginning of one longer than ``HEAD`` letters: stretches of its letters, as they are or with
+    signs for letters, in lower case."""
     low = lowered(value)
     out: set[str] = set()
     for form in {low, low.translate(LEET)}:
-        for m in re.finditer("[a-z]{3,}", form):
+        for m in re.finditer(r"[^\W\d_]{3,}", form):
             run = m.group()
-            out.update(run[a:b] for a in range(len(run) - _SHORTEST_WORD + 1) for b in range(a + _SHORTEST_WORD, min(len(run), a + _LONGEST_WORD) + 1))
+            for size in range(SHORTEST_WORD, HEAD + 1):
+                out.update(run[a : a + size] for a in range(len(run) - size + 1))
     return out
 
 
@@ -229,13 +91,13 @@ _SPLIT = r"[ \t\n\r.,;:!?|]+"
 
 
 def _count_words(rows: DataFrame, text: Column) -> DataFrame:
-    words = rows.select(F.explode(F.split(text, _SPLIT)).alias("w")).where(F.length("w").between(_SHORTEST_WORD, _LONGEST_WORD))
-    counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike("^[A-Za-z]+$"))
+    words = rows.select(F.explode(F.split(text, _SPLIT)).alias("w")).where(F.length("w") >= SHORTEST_WORD)
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"^\p{L}+$"))
     return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"))
 
 
-def corpus_words(docs: DataFrame, values: DataFrame, folder: str, least: int = 2, text_col: str = "text") -> DataFrame:
-    """word, rank: all words that texts use ``least`` times or more outside credential values (column value, one row for each
+def corpus_words(docs: DataFrame, values: DataFrame, folder: str, least: int = 1, text_col: str = "text") -> DataFrame:
+    """word, rank: all words of three letters or more that texts use ``least`` times or more outside credential values (column value, one row for each
     use), with one more than the number of words used more often."""
     used = _count_words(docs, F.col(text_col)).unionByName(_count_words(values, F.col("value")).select("word", (-F.col("n")).alias("n")))
     counts = stored(used.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), folder, "words")
@@ -245,26 +107,29 @@ def corpus_words(docs: DataFrame, values: DataFrame, folder: str, least: int = 2
     return counts.join(sizes.select("n", (above + 1).alias("rank")), "n").select("word", "rank")
 
 
-def value_costs(values: DataFrame, words: DataFrame) -> DataFrame:
+def value_costs(values: DataFrame, words: DataFrame, folder: str) -> DataFrame:
     """value, cost of each row of ``values``, which has each value once. What one value's words need is held at once."""
+    numbered = stored(values.select(F.monotonically_increasing_id().alias("number"), "value"), folder, "values")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found = sorted(letter_runs(value))
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = sorted(letter_runs(value.as_py()))
                 for k in range(0, len(found), 10_000):
                     part = found[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([value] * len(part)), pa.array(part)], names=["value", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(part, pa.string())], names=["number", "head"])
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            costs = [round(guess_cost(r["value"], {w["word"]: w["rank"] for w in r["words"] or ()})[0], 3) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=["value", "cost"])
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                ranks = {w["word"]: w["rank"] for w in r["words"] or ()}
+                yield pa.RecordBatch.from_arrays([pa.array([r["number"]], pa.int64()), pa.array([round(guess_cost(r["value"], ranks)[0], 3)])], names=["number", "cost"])
 
-    found = values.select("value").mapInArrow(runs, "value string, word string").join(words, "word")
-    ranked = found.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
-    return values.join(ranked, "value", "left").select("value", "words").mapInArrow(price, "value string, cost double")
+    heads = words.withColumn("head", F.substring("word", 1, HEAD))
+    ranked = numbered.mapInArrow(runs, "number long, head string").join(heads, "head").groupBy("number").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+    costs = numbered.join(ranked, "number", "left").select("number", "value", "words").mapInArrow(price, "number long, cost double")
+    return numbered.join(stored(costs, folder, "prices"), "number").select("value", "cost")
 
 
 FOUND = "doc_id long, place long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, values array<struct<start: long, end: long, covered: boolean, value: string>>"
@@ -273,7 +138,7 @@ FOUND_NAMES = ["doc_id", "place", "n_assign", "n_access", "n_hex", "base_sha256"
 
 
 def scan(docs: DataFrame, min_log10_guesses: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: counts, all spans, and log10 guesses of the credential values in their order."""
+    """A row for each document: counts, all spans, and log10 guesses of the credential values that no base span meets, in their order."""
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark, "secrets")
@@ -297,8 +162,8 @@ def scan(docs: DataFrame, min_log10_guesses: float = 12.0, id_col: str = "doc_id
     found = stored(rows.mapInArrow(find, FOUND), folder, "found")
     uses = found.select("place", F.explode("values").alias("v")).select("place", "v.*")
     words = corpus_words(rows, uses, folder)
-    costs = stored(value_costs(uses.select("value").distinct(), words), folder, "costs")
-    by_row = uses.join(costs, "value").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("start", "end", "covered", "cost"))).alias("priced"))
+    costs = stored(value_costs(uses.where("not covered").select("value").distinct(), words, folder), folder, "costs")
+    by_row = uses.where("not covered").join(costs, "value").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("start", "end", "covered", "cost"))).alias("priced"))
     out = found.join(by_row, "place", "left")
     guesses = F.filter("priced", lambda v: ~v["covered"] & (v["cost"] >= min_log10_guesses))
     n = F.coalesce(F.size(guesses), F.lit(0)).cast("long")

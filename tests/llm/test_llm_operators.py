@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import random
 import re
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from taxaloom.llm import decontamination, encoding, fm_index, language_id, line_dedup, media, near_duplicates, packing, queries, secret_scan, substring_dedup, token_output, toxicity
+from taxaloom.llm import decontamination, encoding, fm_index, guess_cost, language_id, line_dedup, media, near_duplicates, packing, queries, secret_scan, substring_dedup, token_output, toxicity
 from taxaloom.llm.common import shared_dir, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,28 +113,30 @@ def test_guess_cost_prefers_patterns():
 
 def cheapest_by_all_segmentations(value: str, ranks: dict) -> float:
     """Every way to cut the value, each stretch at its cheapest price; brute-force stretches side by side are one."""
-    low, each = value.lower(), secret_scan._char_cost(value)
-    every = secret_scan._RANKS | {w: min(r, secret_scan._RANKS.get(w, r)) for w, r in ranks.items()}
-    plain = low.translate(secret_scan.LEET)
+    g = guess_cost
+    low, each = value.lower(), g.char_cost(value)
+    every = g._RANKS | {w: min(r, g._RANKS.get(w, r)) for w, r in ranks.items()}
+    plain = low.translate(g.LEET)
 
     def prices(a: int, b: int) -> float:
         s, out = value[a:b], []
         for form in {low[a:b], plain[a:b]}:
             if 3 <= b - a and form in every:
-                out.append(secret_scan.word_cost(form, every[form], s))
-        if s[-1].isdigit() and (cost := secret_scan.date_cost(s)) is not None:
+                out.append(g.word_cost(form, every[form], s))
+        if s[-1].isdigit() and (cost := g.date_cost(s)) is not None:
             out.append(cost)
         if len(s) >= 3 and len(set(s)) == 1:
-            out.append(secret_scan.repeat_cost(len(s), 1, each))
-        for size in secret_scan.UNITS:
-            if len(s) >= 2 * size and len(s) % size == 0 and s == s[:size] * (len(s) // size):
-                out.append(secret_scan.repeat_cost(len(s) // size, size, each))
-        if len(s) >= 3 and all(secret_scan._near(x, y) for x, y in zip(low[a:b], low[a + 1 : b], strict=False)):
-            out.append(secret_scan.walk_cost(s))
+            out.append(g.repeat_cost(len(s), 1, each))
+        for size in range(2, len(s) // 2 + 1):
+            if len(s) % size == 0 and s == s[:size] * (len(s) // size):
+                out.append(g.repeat_cost(len(s) // size, size, each))
+        if len(s) >= 3 and all(g.near_keys(x, y) for x, y in zip(low[a:b], low[a + 1 : b], strict=False)):
+            out.append(g.walk_cost(len(s), sum(x.isupper() != y.isupper() for x, y in zip(s, s[1:], strict=False)), s != s.lower()))
         if len(s) >= 3 and s.isalnum() and all(ord(y) - ord(x) == 1 for x, y in zip(s, s[1:], strict=False)):
-            out.append(secret_scan.sequence_cost(len(s), each))
+            out.append(g.sequence_cost(len(s), each))
         return min(out, default=float("inf"))
 
+    @functools.cache
     def rest(a: int, after_brute: bool) -> float:
         if a == len(value):
             return 0.0
@@ -147,22 +151,70 @@ def cheapest_by_all_segmentations(value: str, ranks: dict) -> float:
 
 def test_guess_cost_equals_the_cheapest_of_all_segmentations():
     rng = random.Random(8)
-    ranks = {"abc": 5, "pass": 2, "word": 900, "ana": 40, "aaa": 7}
-    for alphabet in ("ab", "aab1", "abc", "asdf", "p4s5word", "0129/", "aAbB", "aB3#", "12"):
-        for _ in range(25):
-            value = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))
+    ranks = {"abc": 5, "pass": 2, "word": 900, "ana": 40, "aaa": 7, "aab": 3, "éaé": 9, "qwe": 50, "aaaaaa": 8, "bababa": 30}
+    for alphabet in ("ab", "aab1", "abc", "asdf", "p4s5word", "0129/", "aAbB", "aB3#", "12", "qweQW", "wqs", "éa", "aaaaab", "abcdeABC"):
+        for size in (*[rng.randint(1, 9) for _ in range(25)], *[rng.randint(10, 24) for _ in range(40)]):
+            # Random letters, and letters that stay, rise or repeat what came before.
+            value = ""
+            while len(value) < size:
+                k = rng.random()
+                piece = rng.choice(alphabet) if k < 0.5 or not value else value[-1] * rng.randint(1, 4) if k < 0.65 else value[-rng.randint(1, 8) :] * rng.randint(1, 3) if k < 0.9 else "".join(chr(ord("a") + i) for i in range(rng.randint(1, 6)))
+                value = (value + piece)[:size]
             assert secret_scan.guess_cost(value, ranks)[0] == pytest.approx(cheapest_by_all_segmentations(value, ranks)), value
-    for value in ("pass1999", "wordpass", "p455w0rd", "passsss", "abcabcabc", "qwertyabc", "12/5/1987"):
+
+
+def test_guess_cost_of_named_values():
+    ranks = {"abc": 5, "pass": 2, "word": 900, "ana": 40, "aaa": 7}
+    for value in ("pass1999", "wordpass", "p455w0rd", "passsss", "abcabcabc", "qwertyabc", "12/5/1987", "banana" + "a" * 20, "qzvkwpx" * 6, "qzvkwp" * 6, "qwqwqwqwqwasas"):
         cost, cut = secret_scan.guess_cost(value, ranks)
         assert cost == pytest.approx(cheapest_by_all_segmentations(value, ranks))
         assert [a for _, a, _ in cut] == [0, *[b for _, _, b in cut[:-1]]] and cut[-1][2] == len(value)
 
 
-@pytest.mark.parametrize("value", ["ab" * 500_000, "a" * 1_000_000, "1" * 300_000])
+def test_repetitions_equal_a_scan():
+    rng = random.Random(14)
+    for k in range(400):
+        unit = "".join(rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randint(1, 14)))
+        value = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) + unit * rng.randint(1, 5) + unit[: rng.randint(0, len(unit))] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 30))))[: rng.randint(1, 90)]
+        want = set()
+        for p in range(1, len(value) // 2 + 1):
+            i = 0
+            while i + p < len(value):
+                j = i + p
+                while j < len(value) and value[j] == value[j - p]:
+                    j += 1
+                if j - i >= 2 * p and not any(p % q == 0 and (i, j, q) in want for q in range(1, p)):
+                    want.add((i, j, p))
+                i = max(i + 1, j - p + 1) if j - i > p else i + 1
+        got = guess_cost.repetitions(value)
+        assert len(got) == len(set(got)) and set(got) == want, value
+
+
+@pytest.mark.parametrize("value", ["ab" * 500_000, "a" * 1_000_000, "1" * 300_000, "qw" * 100_000, base64.b64encode(random.Random(1).randbytes(750_000)).decode(), "the quick brown fox " * 40_000])
 def test_guess_cost_of_long_values_takes_seconds(value):
     began = time.time()
     assert secret_scan.guess_cost(value, {"abab": 3, "word": 9})[0] > 1
-    assert time.time() - began < 30
+    assert time.time() - began < 40
+
+
+def test_scan_of_a_long_value(spark):
+    value = base64.b64encode(random.Random(2).randbytes(750_000)).decode()
+    rows = [(k, f"some words and more words {k} pwd: short{k}") for k in range(38)] + [(100, f"token: {value}"), (101, f"pwd: {value}"), (102, f"pwd -> {value[:230_000]}")]
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[100].n_assign == 1 and got[100].n_guess == 0 and got[100].costs == []
+    assert got[101].n_guess == got[102].n_guess == 1 and got[101].costs[0] > 1e6
+    assert time.time() - began < 120
+
+
+def test_long_and_foreign_words_have_ranks(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rows = [(1, f"{long} {long} größenwahn once"), (2, f"password: {long}x"), (3, "password= größenwahn"), (4, "pwd: once")]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), min_log10_guesses=0.0).collect()}
+    assert got[2].costs == [] and got[2].n_assign == 1
+    assert got[4].costs[0] < 2 and got[3].costs[0] < 2
+    ranks = {long: 1}
+    assert secret_scan.guess_cost(long, ranks)[0] < 1 and long[:9] in secret_scan.letter_runs(f"1{long}")
 
 
 def test_random_values_of_eight_characters_are_reported(spark):
@@ -199,9 +251,8 @@ def test_corpus_words(spark, docs, empty):
     counts: dict[str, int] = {}
     for _, t, *_ in corpus():
         for w in re.split("[ \t\n\r.,;:!?|]+", t or ""):
-            if re.fullmatch("[A-Za-z]{3,24}", w):
+            if re.fullmatch(r"[^\W\d_]{3,}", w):
                 counts[w.lower()] = counts.get(w.lower(), 0) + 1
-    counts = {w: n for w, n in counts.items() if n >= 2}
     assert {r.word: r["rank"] for r in found} == {w: 1 + sum(x > n for x in counts.values()) for w, n in counts.items()}
     value = spark.createDataFrame([(found[0].word,)] * counts[found[0].word], "value string")
     assert found[0].word not in {r.word for r in secret_scan.corpus_words(docs, value, shared_dir(spark, "w")).collect()}
