@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Keys = Sequence[str]
+from taxaloom.shared import shared_folder, stored
 
-#: About so many rows are ordered by one task.
-PART_ROWS = 1_000_000
+Keys = Sequence[str]
 
 
 def blank_to_null(c: Column) -> Column:
@@ -41,18 +40,12 @@ def number_in_group(df: DataFrame, keys: Keys, order: Sequence[str | Column], na
 def running_total(df: DataFrame, keys: Keys, amount: Column, name: str, part_rows: int | None = None) -> DataFrame:
     """The sum of ``amount`` over all rows up to each, in the order of ``keys``, which are unique.
 
-    The order is cut at sampled keys into parts of about ``part_rows`` rows, each summed by itself; the sums of the parts
-    before, one row for each part, are added. So no task orders the whole table.
+    Rows are dealt into ranges of the keys, as many as shuffles have partitions (or of about ``part_rows`` rows each), and written; each range is summed by
+    itself, and the sums of the ranges before, one row for each, are added. So no task orders the whole table, and ``df`` is run once.
     """
-    parts, bounds = -(-df.count() // (part_rows or PART_ROWS)), []
-    if parts > 1:
-        drawn = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(20 * parts)
-        bounds = drawn.orderBy(*keys).collect()[19::20][: parts - 1]
-    types = dict(df.dtypes)
-    key = F.struct(*[F.col(f"`{k}`") for k in keys])
-    cuts = [F.struct(*[F.lit(r[k]).cast(types[k]).alias(k) for k in keys]) for r in bounds]
-    part = F.size(F.filter(F.array(*cuts), lambda c: c < key)) if cuts else F.lit(0)
-    placed = df.withColumn("_part", part).withColumn("_amount", amount)
+    parts = max(1, -(-df.count() // part_rows)) if part_rows else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_amount", amount).repartitionByRange(parts, *[F.col(f"`{k}`") for k in keys]).withColumn("_part", F.spark_partition_id())
+    placed = stored(dealt, shared_folder(df.sparkSession, "totals"), "placed")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("_part").agg(F.sum("_amount").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = F.sum("_amount").over(Window.partitionBy("_part").orderBy(*[F.col(f"`{k}`") for k in keys]).rowsBetween(Window.unboundedPreceding, 0))

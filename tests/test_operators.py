@@ -63,13 +63,12 @@ def test_fill_down_resets_below_a_higher_level(spark):
 
 
 @pytest.mark.parametrize("part_rows", [1000, 3])
-def test_running_totals_are_the_same_in_parts(spark, part_rows, monkeypatch):
-    monkeypatch.setattr(rows, "PART_ROWS", part_rows)
+def test_running_totals_are_the_same_in_parts(spark, part_rows):
     data = [(k, j, i) for i, (k, j) in enumerate((k, j) for k in ("b", None, "a", "c") for j in (2, None, 1, 5, 9))]
     df = spark.createDataFrame(data, "k string, j int, v int")
     order = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
     want = [(*r, sum(x[2] for x in order[: i + 1])) for i, r in enumerate(order)]
-    assert got(rows.running_total(df, ["k", "j"], F.col("v"), "t")) == sorted(want, key=str)
+    assert got(rows.running_total(df, ["k", "j"], F.col("v"), "t", part_rows)) == sorted(want, key=str)
     assert got(rows.group_ids(df, ["k"], "id").select("k", "id").distinct()) == sorted([(None, 1), ("a", 2), ("b", 3), ("c", 4)], key=str)
 
 
