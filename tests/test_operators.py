@@ -438,3 +438,40 @@ def test_niche_volumes_and_overlap_equal_counting_every_box(spark):
         if k == "t":
             hits = (np.abs(drawn[drawn.species == "s"][dims].to_numpy()[:, None, :] - x[None]) <= w).all(axis=2).any(axis=1).sum()
     assert other == hits > 0
+
+
+def test_p_values_of_the_registered_correlations(spark):
+    from taxaloom import registry
+
+    def two_sided(t: float, df: int) -> float:
+        # The tail's integral of Student's density, by a substitution that makes it finite.
+        u = np.linspace(0, 1, 200_001)[1:]
+        x = abs(t) + (1 - u) / u
+        logs = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(x * x / df)
+        return float(2 * np.trapezoid(np.exp(logs) / u**2, u))
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    out = registry.queries()["M1_correlation_p_values"](spark, sf).collect()
+    assert len(out) == 6
+    for r in out:
+        assert r.n == n and r.p == pytest.approx(two_sided(r.t, n - 2), abs=2e-4)
+
+
+def test_gates_of_the_niche_pipeline_in_their_order(spark):
+    import duckdb
+
+    from taxaloom import registry
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in "region nation supplier part lineitem".split():
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    enough = {s for s, n in c.sql("select p_brand, count(*) from lineitem join part on l_partkey = p_partkey group by 1").fetchall() if math.log(n) > 4}
+    included = {s for s, _, stopped in c.sql(registry.oracle_sql()["N4_inclusion_test"]).fetchall() if not stopped}
+    out = registry.queries()["N12_niche_pipeline"](spark, sf).collect()
+    assert {r.species for r in out} == enough & included
+    volume = dict((s, v) for s, _, v in c.sql(registry.oracle_sql()["N5_box_volume"]).fetchall())
+    order = dict(c.sql("select p_brand, arg_min(p_type, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))) from lineitem join part on l_partkey = p_partkey group by 1").fetchall())
+    for r in out:
+        assert r.volume == pytest.approx(volume[r.species], abs=1e-6) and r["order"] == order[r.species]
