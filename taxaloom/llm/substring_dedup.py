@@ -383,8 +383,8 @@ def find_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     # The number of shards follows the input, so their size doesn't.
     total = spark.read.schema("n_bytes int").parquet(f"{folder}/docs").agg(F.sum(F.col("n_bytes").cast("long"))).first()[0] or 0
     tasks = -(-total // TASK_BYTES) or 1
-    blocks = kept.mapInArrow(_send_anchors(window, tasks), "bucket long, part long, block binary").repartition(tasks, "bucket")
+    blocks = kept.mapInArrow(_send_anchors(window, tasks), "bucket long, part long, block binary").withColumn("bucket", F.col("bucket").cast("int")).repartitionById(tasks, F.col("bucket"))
     shared = _by_part(blocks.groupBy("bucket").applyInArrow(_shared_anchors, "part long, block binary"), folder, "shared")
-    segments = kept.mapInArrow(_send_segments(shared, window, tasks), "shard long, block binary").repartition(tasks, "shard")
+    segments = kept.mapInArrow(_send_segments(shared, window, tasks), "shard long, block binary").withColumn("shard", F.col("shard").cast("int")).repartitionById(tasks, F.col("shard"))
     found = _by_part(segments.groupBy("shard").applyInArrow(_repeats(window), "part long, block binary"), folder, "intervals")
     return Repeats(kept, found)
