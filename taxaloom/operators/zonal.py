@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taxaloom.operators.quantiles import group_medians
 from taxaloom.operators.rows import with_group_aggregates
+from taxaloom.shared import shared_folder, stored
 
 Keys = Sequence[str]
 
@@ -59,8 +60,10 @@ def suitability_statistics(cells: DataFrame, regions: DataFrame, species: str =
         middle = group_medians(rows, keys, ["suitability"]).withColumnRenamed("suitability_median", f"{p}median")
         return rows.groupBy(*keys).agg(*three(p)).join(middle, list(keys))
 
-    own = cells.select(species, "cell", "suitability")
-    part = with_median(own.join(regions.select("cell", "sub_region"), "cell"), [species, "sub_region"], "region_").where("region_max > 0")
+    folder = shared_folder(cells.sparkSession, "suitability")
+    own = stored(cells.select(species, "cell", "suitability"), folder, "cells")
+    placed = stored(own.join(regions.select("cell", "sub_region"), "cell"), folder, "placed")
+    part = with_median(placed, [species, "sub_region"], "region_").where("region_max > 0")
     return part.join(with_median(own, [species], "total_"), species)
 
 
