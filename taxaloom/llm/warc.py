@@ -10,7 +10,7 @@ identifiers, inside their file, and emits one nested row for each capture.
 
 Defined cases: a null text is an empty payload; a null id is written as none, comes after all others and is read back as null;
 rows that share the largest id of a payload are responses all, others with that payload revisit the one of the largest
-address; a null address is left out of the records; repeated rows are captures of their own; a record without a main
+address; a null address is left out of the records; repeated rows are captures of their own, whose responses may have one identifier in different files; a record without a main
 record in its file is an orphan (:func:`orphans`); an empty table gives no files and no captures; other columns are ignored.
 """
 

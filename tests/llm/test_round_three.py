@@ -225,7 +225,7 @@ def test_archives_round_trip(spark):
     records = warc.read_records(spark, folder)
     assert dict(records.groupBy("kind").count().collect())["request"] == len(rows)
     assert records.where("not intact").count() == 0 and warc.orphans(records).count() == 0
-    assert records.select("record_id").distinct().count() == records.count()
+    assert records.select("file", "record_id").distinct().count() == records.count()
     found = warc.resolved(warc.captures(records)).cache()
     assert found.where("request is null or metadata is null or n_request <> 1 or n_metadata <> 1").count() == 0
     top: dict[str, int | None] = {}
