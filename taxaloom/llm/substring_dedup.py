@@ -54,7 +54,7 @@ _PART = 33  # bits of a row's number below its partition's in monotonically_incr
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block; equal bytes of neighbouring numbers stand together."""
     planes = [(a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(planes))
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
@@ -378,7 +378,7 @@ def find_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     ship(spark)
     folder = shared_dir(spark, "repeats")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("n_bytes"))
-    rows.write.option("compression", "zstd").parquet(f"{folder}/docs")
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(f"{folder}/docs")
     kept = spark.read.schema("row long, doc_id long, text string").parquet(f"{folder}/docs")
     # The number of shards follows the input, so their size doesn't.
     total = spark.read.schema("n_bytes int").parquet(f"{folder}/docs").agg(F.sum(F.col("n_bytes").cast("long"))).first()[0] or 0
