@@ -1,6 +1,6 @@
 """Exact quantiles of groups of any size, by counting.
 
-Groups of few rows are put in order as they are. In a large one values are counted in buckets between a group's least and greatest; the bucket that holds a wanted rank is counted again in finer
+Groups of few rows are put in order as they are. In a large one values are counted in buckets, first by their power of two and then by equal widths; the bucket that holds a wanted rank is counted again in finer
 buckets, until it has few rows. Only those rows are put in order. No task sees all values of a group.
 """
 
@@ -18,13 +18,17 @@ from taxaloom.shared import shared_folder, stored
 BUCKETS, ORDERED_ROWS = 1024, 100_000
 
 
-def _bucket(buckets: int) -> Column:
-    """Equal widths between _lo and _hi; halves, so that no difference overflows."""
+def _bucket(buckets: int, first: bool) -> Column:
+    """In the first round one bucket for each sign and power of two, so that no later one spans more than a factor of two; then equal widths between _lo
+    and _hi."""
+    if first:
+        power = F.floor(F.log2(F.abs("_v"))).cast("long") + 1100
+        return F.when(F.col("_v") == 0, 0).when(F.col("_v") < 0, -power).otherwise(power).cast("long")
     share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     return F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1))).cast("long")
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], buckets: int = BUCKETS, ordered_rows: int = ORDERED_ROWS, max_rounds: int = 120) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], buckets: int = BUCKETS, ordered_rows: int = ORDERED_ROWS, max_rounds: int = 60) -> DataFrame:
     """keys and, for each column c, ``c_quantiles``: an array of the quantiles at the probabilities, interpolated between neighbours.
 
     Nulls and NaN don't count; a column without values in a group has null. ``df`` is read once to count, once for groups of up to
@@ -67,7 +71,7 @@ def _refined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabi
         if most <= ordered_rows:
             break
         inside = _inside(long, nodes)
-        counted = inside.withColumn("_b", _bucket(buckets)).groupBy("_g", "_c", "_before", "_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+        counted = inside.withColumn("_b", _bucket(buckets, k == 0)).groupBy("_g", "_c", "_before", "_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
         prior = F.sum("_n").over(Window.partitionBy("_g", "_c", "_before").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
         placed = counted.select("_g", "_c", "_lo", "_hi", (F.col("_before") + F.coalesce(prior, F.lit(0))).alias("_before"), "_n")
         own = wanted.select(F.col("_g").alias("_g2"), F.col("_c").alias("_c2"), "_rank")
