@@ -874,7 +874,7 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty):
 
 def test_registered_queries_with_sql(spark):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         duck.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         answer = duck.sql(sql)
