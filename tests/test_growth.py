@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taxaloom.operators import niche
+from taxaloom.operators import joins, niche, rows, spatial, stats
 
 DIMS = ("x", "y", "z", "v")
 
@@ -58,3 +58,68 @@ def test_union_of_intervals_by_cells(spark):
     # No window sees all values of a dimension but the one over cells.
     plan = niche.interval_volumes(df, "species", ("x", "y"), widths)._jdf.queryExecution().analyzed().toString()
     assert "_cell" in plan
+
+
+def test_join_audit_drops_repeats_before_it_joins(spark):
+    a = spark.createDataFrame([("n", f"c{i % 3}") for i in range(3000)] + [("m", None)], "k string, a string")
+    b = spark.createDataFrame([("n", f"d{i % 4}") for i in range(3000)] + [(None, "d")], "k string, b string")
+    out = joins.inner_audited(a, b, ["k"])
+    assert sorted(map(tuple, out.collect())) == sorted(("n", f"c{i}", f"d{j}") for i in range(3) for j in range(4))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Join" in plan[0] or "Join" in plan[1]
+
+
+def test_pairs_of_a_large_key_are_many_tasks_work(spark):
+    a = spark.createDataFrame([(i, "big" if i < 700 else f"k{i % 40}") for i in range(900)] + [(-1, None)], "id long, k string")
+    b = spark.createDataFrame([(i, "big" if i < 500 else f"k{i % 50}") for i in range(700)] + [(-2, None)], "other long, k string")
+    out = joins.all_pairs(a, b, ["k"], "id", "other", block=64)
+    left, right = a.collect(), b.collect()
+    direct = sorted((x.k, x.id, y.other) for x in left for y in right if x.k is not None and x.k == y.k)
+    assert sorted(map(tuple, out.collect())) == direct
+    held = [r["n"] for r in out.where("k = 'big'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(held) < 0.6 * sum(held)
+
+
+def test_equal_names_are_searched_once(spark):
+    names = spark.createDataFrame([(i, f"salix {'alba' if i % 2 else 'nigra'}") for i in range(400)], "id long, name string")
+    items = spark.createDataFrame([("alba",), ("lix n",), ("x",), ("absent",)], "item string")
+    out = joins.containment_join(items, names, "item", "name", "id")
+    wanted, held = items.collect(), names.collect()
+    direct = sorted((i.item, n.id, n.name) for i in wanted for n in held if i.item in n.name)
+    assert sorted(map(tuple, out.collect())) == direct
+    # The search sees different names only: a grouping of the names stands below the search for runs.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count("Aggregate [_name"), plan.count("Aggregate [name")) >= 2
+
+
+def test_fill_down_orders_once(spark):
+    df = spark.createDataFrame([(1, 1, "a", None, None), (1, 2, None, "f", None), (1, 3, None, None, "g"), (1, 4, None, "h", None), (1, 5, "b", None, "z"), (1, 6, None, None, None), (2, 1, None, "q", None), (2, 2, "c", None, None)], "k int, i int, one string, two string, three string")
+    out = rows.fill_down(df, ["k"], "i", ["one", "two", "three"])
+    want = [(1, 1, "a", None, None), (1, 2, "a", "f", None), (1, 3, "a", "f", "g"), (1, 4, "a", "h", None), (1, 5, "b", None, "z"), (1, 6, "b", None, "z"), (2, 1, None, "q", None), (2, 2, "c", None, None)]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == want
+    plan = rows.fill_down(df, ["k"], "i", ["one", "two", "three"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [") == 1
+
+
+def test_models_fit_equal_rows_once(spark, monkeypatch):
+    rng = random.Random(3)
+    held = [(round(rng.random(), 1), 0.0 if rng.random() < 0.4 else round(0.1 + 0.8 * rng.random(), 1)) for _ in range(300)]
+    one = spark.createDataFrame([(x, x * x, y) for x, y in held], "x double, x2 double, y double")
+    many = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("i")
+    kept = []
+    monkeypatch.setattr(stats, "stored", lambda df, *where: kept.append(df.count()) or df)
+    nested = {"line": ["x"], "square": ["x", "x2"]}
+    a = {(r.part, r.model): r for r in stats.zero_inflated_models(one, "y", nested).collect()}
+    b = {(r.part, r.model): r for r in stats.zero_inflated_models(many, "y", nested).collect()}
+    assert kept == [len(set(held))] * 2
+    assert all(abs(b[k].log_likelihood - 3 * a[k].log_likelihood) < 1e-3 for k in a)
+
+
+def test_coordinate_tests_store_points_once(spark, monkeypatch):
+    points = spark.createDataFrame([(i, "s", i % 37 / 10 + 1, i % 41 / 10 + 9) for i in range(300)], "id int, species string, lon double, lat double")
+    listed = spark.createDataFrame([(100.0, 50.0)], "x double, y double")
+    kept = []
+    real = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, folder, name: kept.append((name, df.count())) or real(df, folder, name))
+    assert spatial.coordinate_tests(points, "species", listed, 1000.0).count() <= 300
+    assert sum(n for _, n in kept) < 302
