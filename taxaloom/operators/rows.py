@@ -76,17 +76,13 @@ def local_peaks(df: DataFrame, keys: Keys, order: str, value: str, threshold: fl
 
 def fill_down(df: DataFrame, keys: Keys, order: str, levels: Sequence[str]) -> DataFrame:
     """Carries each level's value to the rows below it, until a row sets a higher level."""
-    out = df
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {}
     for k, level in enumerate(levels):
-        reset = reduce(lambda a, b: a | b, [F.col(f"_{h}").isNotNull() for h in levels[: k + 1]])
-        if k == 0:
-            for h in levels:
-                out = out.withColumn(f"_{h}", F.col(h))
-        out = out.withColumn("_since", F.sum(reset.cast("int")).over(w))
-        inside = Window.partitionBy(*keys, "_since").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(level, F.last(f"_{level}", ignorenulls=True).over(inside)).drop("_since")
-    return out.drop(*[f"_{h}" for h in levels])
+        # The last row that set this level or a higher one tells this level's value, null if it set a higher one alone.
+        sets = reduce(lambda a, b: a | b, [F.col(h).isNotNull() for h in levels[: k + 1]])
+        filled[level] = F.last(F.when(sets, F.struct(F.col(level).alias("v"))), ignorenulls=True).over(w)["v"]
+    return df.withColumns(filled)
 
 
 def seeded_order(seed: int, *keys: str) -> Column:
