@@ -18,6 +18,7 @@ from taxaloom.functions.names import logit
 from taxaloom.operators.quantiles import group_medians, group_quantiles
 from taxaloom.operators.rows import running_total, uniform
 from taxaloom.package import ship
+from taxaloom.shared import shared_folder, stored
 
 Columns = Sequence[str]
 
@@ -189,13 +190,14 @@ def spline_basis(x: Column, knots: Sequence[float]) -> dict[str, Column]:
     return {"x1": x, "x2": x * x, "x3": x * x * x} | {f"k{i}": F.pow(F.greatest(x - k, F.lit(0.0)), 3) for i, k in enumerate(knots)}
 
 
-def compare_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]]) -> DataFrame:
-    """Gaussian fits of nested sets of columns: deviance, share of the null deviance explained, AIC and BIC."""
+def compare_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]], weight: str | None = None) -> DataFrame:
+    """Gaussian fits of nested sets of columns: deviance, share of the null deviance explained, AIC and BIC. A row stands for ``weight`` rows."""
     rows = []
-    n = df.count()
+    n = df.agg(F.sum(weight)).first()[0] if weight else df.count()
     for name, columns in nested.items():
         x = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
-        s = GeneralizedLinearRegression(family="gaussian", featuresCol="_x", labelCol=response).fit(x).summary
+        fit = GeneralizedLinearRegression(family="gaussian", featuresCol="_x", labelCol=response)
+        s = (fit.setWeightCol(weight) if weight else fit).fit(x).summary
         k = len(columns) + 1
         log_likelihood = -n / 2 * (math.log(2 * math.pi * max(s.deviance, 1e-300) / n) + 1)
         rows.append((name, k, s.deviance, 1 - s.deviance / s.nullDeviance, 2 * (k + 1) - 2 * log_likelihood, (k + 1) * math.log(n) - 2 * log_likelihood))
@@ -204,22 +206,28 @@ def compare_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]
 
 def zero_inflated_models(df: DataFrame, response: str, nested: dict[str, Sequence[str]]) -> DataFrame:
     """Both parts of a response with many zeros, for nested sets of columns: a logistic regression of being zero, and a Gaussian
-    fit of the logit of the rest. part, model, parameters, log-likelihood, AIC and BIC, the least AIC of a part first."""
+    fit of the logit of the rest. part, model, parameters, log-likelihood, AIC and BIC, the least AIC of a part first.
+
+    Equal rows are one with their number as its weight, stored before the fits: each of their many rounds reads the different rows only.
+    """
     rows = []
-    zero = df.withColumn("_zero", (F.col(response) == 0).cast("double"))
-    n = zero.count()
+    columns = list(dict.fromkeys(c for cs in nested.values() for c in cs))
+    held = df.groupBy(response, *columns).agg(F.count("*").cast("double").alias("_w"))
+    held = stored(held, shared_folder(df.sparkSession, "models"), "held")
+    zero = held.withColumn("_zero", (F.col(response) == 0).cast("double"))
+    n = zero.agg(F.sum("_w")).first()[0]
     for name, columns in nested.items():
         x = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(zero)
-        model = LogisticRegression(featuresCol="_x", labelCol="_zero", maxIter=200, tol=1e-10, standardization=True).fit(x)
+        model = LogisticRegression(featuresCol="_x", labelCol="_zero", weightCol="_w", maxIter=200, tol=1e-10, standardization=True).fit(x)
         z = sum((F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, columns, strict=True)), F.lit(float(model.intercept)))
         # log p = -log(1 + exp(-z)), by the side on which exp can't overflow.
         signed = F.when(F.col("_zero") == 1, z).otherwise(-z)
-        likelihood = zero.agg(F.sum(F.least(signed, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z))))).first()[0]
+        likelihood = zero.agg(F.sum(F.col("_w") * (F.least(signed, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))))).first()[0]
         k = len(columns) + 1
         rows.append(("zero", name, k, likelihood, 2 * k - 2 * likelihood, k * math.log(n) - 2 * likelihood))
-    rest = df.where(F.col(response) > 0).withColumn("_y", logit(F.col(response)))
-    m = rest.count()
-    for r in compare_models(rest, "_y", nested).collect():
+    rest = held.where(F.col(response) > 0).withColumn("_y", logit(F.col(response)))
+    m = rest.agg(F.sum("_w")).first()[0]
+    for r in compare_models(rest, "_y", nested, "_w").collect():
         k = r.parameters + 1
         rows.append(("positive", r.model, k, k - r.aic / 2, r.aic, k * math.log(m) - 2 * (k - r.aic / 2)))
     rows.sort(key=lambda r: (r[0], r[4]))
