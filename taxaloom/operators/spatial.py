@@ -108,7 +108,8 @@ def coordinate_tests(points: DataFrame, species: str, listed: DataFrame, near_me
     folder = shared_folder(points.sparkSession, "tests")
     away = stored(valid.join(around, close, "left_anti").drop("_i", "_j"), folder, "away")
     middle = group_medians(away, [species], [lon, lat]).select(F.col(f"`{species}`").alias("_s"), F.col(f"{lon}_median").alias("_mx"), F.col(f"{lat}_median").alias("_my"))
-    far = stored(away.join(middle, away[species] == middle["_s"]).withColumn("_d", haversine(x, y, F.col("_mx"), F.col("_my"))), folder, "far")
+    # A row for each species is stored, and the distances are reckoned again where they are read: that costs less than writing all points twice.
+    far = away.join(stored(middle, folder, "middle"), F.col(species) == F.col("_s")).withColumn("_d", haversine(x, y, F.col("_mx"), F.col("_my")))
     limit = group_medians(far, ["_s"], ["_d"]).select(F.col("_s").alias("_t"), (F.col("_d_median") * outlier_factor).alias("_limit"))
     return far.join(limit, F.col("_s") == F.col("_t")).where(F.col("_d") <= F.col("_limit")).select(*points.columns)
 

@@ -112,7 +112,7 @@ _TEST = f"""ok as (select * from occ where lon between -180 and 180 and lat betw
 
 @query("G3_coordinate_tests", sql("select obs_id from kept", _VERT, _TEST))
 def g3(s, d):
-    return spatial.coordinate_tests(b.occ(s, d), "clean_name", _vert(s, d), 60_000, 1.5).select("obs_id")
+    return spatial.coordinate_tests(b.occ(s, d).select("obs_id", "clean_name", "lon", "lat"), "clean_name", _vert(s, d), 60_000, 1.5).select("obs_id")
 
 
 _ONE = "one as (select clean_name, lon, lat, min(obs_id) as obs_id from occ group by all)"
