@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaloom.sources import writers
+
 #: Relations by name, as DuckDB common table expressions.
 CTE = {
     "occ": """occ as (select concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as obs_id,
@@ -47,8 +49,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def occ(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def occ(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """``dealt``: for :func:`taxaloom.sources.writers.write_bucketed` by taxon_key, the records are dealt out before they get their names and ids."""
+    line = table(spark, sf, "lineitem")
+    rows = (writers.deal(line, "l_partkey") if dealt else line).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.selectExpr(
         "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as obs_id",
         "p_brand as clean_name", "p_name as scientific_name", "p_type as `order`", "l_partkey as taxon_key", "l_suppkey as dataset_key", "l_orderkey as order_key",

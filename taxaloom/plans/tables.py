@@ -95,18 +95,19 @@ def s12(s, d):
 @query("S12_bucketed_sink", sql("occ", body="select taxon_key, count(*) as n, round(max(lat), 6) as north from occ group by 1"))
 def s12_bucketed(s, d):
     """Grouped as it lies: the plan has no shuffle of the records."""
-    return bucketed(s, b.occ(s, d), "taxon_key").groupBy("taxon_key").agg(F.count("*").alias("n"), F.round(F.max("lat"), 6).alias("north"))
+    return bucketed(s, b.occ(s, d, dealt=True), "taxon_key", dealt=True).groupBy("taxon_key").agg(F.count("*").alias("n"), F.round(F.max("lat"), 6).alias("north"))
 
 
 @query("S12_bucketed_names", sql("occ", "backbone", body="""select o.obs_id, coalesce(case when k.usage_key % 2 = 0 then upper(k.name) end, case when k.usage_key % 3 = 0 then k.name || '?' end, o.scientific_name) as scientific_name, o.scientific_name as original_name
   from occ o left join backbone k on k.usage_key = o.taxon_key"""))
 def s12_names(s, d):
     """J21 over two tables of equal buckets: neither side is shuffled."""
-    return joins.accepted_names(bucketed(s, b.occ(s, d).select("obs_id", "taxon_key", "scientific_name"), "taxon_key"), bucketed(s, accepted(s, d), "taxon_key"), "taxon_key", "scientific_name").select("obs_id", "scientific_name", "original_name")
+    records = bucketed(s, b.occ(s, d, dealt=True).select("obs_id", "taxon_key", "scientific_name"), "taxon_key", dealt=True)
+    return joins.accepted_names(records, bucketed(s, accepted(s, d), "taxon_key"), "taxon_key", "scientific_name").select("obs_id", "scientific_name", "original_name")
 
 
-def bucketed(s, df, key, buckets: int = 16):
-    return writers.write_bucketed(df, f"bucketed_{uuid.uuid4().hex}", folder(s), key, buckets)
+def bucketed(s, df, key, buckets: int = 16, dealt: bool = False):
+    return writers.write_bucketed(df, f"bucketed_{uuid.uuid4().hex}", folder(s), key, buckets, dealt)
 
 
 def accepted(s, d):

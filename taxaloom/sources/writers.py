@@ -24,13 +24,22 @@ def write_by_species(df: DataFrame, path: str, species: str, partitions: int | N
     ranged.sortWithinPartitions(species).write.mode("overwrite").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """Parts by the key, all of about the size that adaptive execution aims at, however many rows there are: a key of very many records gets several."""
+    return df.hint("rebalance", key)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
     """One table in ``buckets`` by the key, sorted by it, under ``path``; returned as read back.
 
     Grouping by the key, or joining on it with another table of as many buckets, needs no shuffle, however often it is done. A bucket is one task's:
     where one key holds a large share of the rows, :func:`write_by_species` with a salt is the better table.
+
+    Rows are dealt out by the key first, so that a task sorts one part in memory, however large its share of the input was. ``dealt`` says that they
+    have been (:func:`deal`): where columns are added or joined to narrow rows, deal the narrow ones.
     """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    rows = df if dealt else deal(df, key)
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

@@ -6,7 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from taxaloom import registry
 from taxaloom.operators import joins, niche, rows, spatial, stats
+from taxaloom.sources import writers
 
 DIMS = ("x", "y", "z", "v")
 
@@ -123,3 +125,36 @@ def test_coordinate_tests_store_points_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "stored", lambda df, folder, name: kept.append((name, df.count())) or real(df, folder, name))
     assert spatial.coordinate_tests(points, "species", listed, 1000.0).count() <= 300
     assert sum(n for _, n in kept) < 302
+
+
+def test_bucketed_tables_are_sorted_in_parts_of_a_size(spark, tmp_path):
+    df = spark.range(20_000, numPartitions=1).selectExpr("concat('s', id % 50) as species", "sha2(string(id), 256) as note")
+    hot = spark.range(40_000, numPartitions=16).selectExpr("'hot' as species", "sha2(string(id), 256) as note")
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for name, rows_, share in (("sorted_even", df, 0.4), ("sorted_hot", hot, 0.2)):
+            table = writers.write_bucketed(rows_, name, f"file://{tmp_path}/{name}", "species", 4)
+            # A task's number stands in its files' names: one input partition is several tasks' work, and so is one species.
+            tasks = table.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).alias("task")).count().collect()
+            assert max(r["count"] for r in tasks) < share * rows_.count(), tasks
+            assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows_.collect()))
+            assert "Exchange" not in table.groupBy("species").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for name in ("sorted_even", "sorted_hot"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_bucketed_records_are_dealt_while_they_are_narrow(spark, monkeypatch):
+    dealt = []
+    real = writers.deal
+    monkeypatch.setattr(writers, "deal", lambda df, key: dealt.append((key, df.columns)) or real(df, key))
+    for name in ("S12_bucketed_sink", "S12_bucketed_names"):
+        dealt.clear()
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert [key for key, columns in dealt if "l_partkey" in columns] == ["l_partkey"]
+        assert not [columns for _, columns in dealt if "obs_id" in columns]
