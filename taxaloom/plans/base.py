@@ -50,9 +50,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def occ(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
-    """``dealt``: for :func:`taxaloom.sources.writers.write_bucketed` by taxon_key, the records are dealt out before they get their names and ids."""
-    line = table(spark, sf, "lineitem")
-    rows = (writers.deal(line, "l_partkey") if dealt else line).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """``dealt``: for :func:`taxaloom.sources.writers.write_bucketed` by taxon_key, the records are dealt out before their ids and other columns are made.
+
+    After the join: dealt before it, a sort-merge join would take the parts as its own and could no longer split a large key.
+    """
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if dealt:
+        rows = writers.deal(rows, "l_partkey")
     return rows.selectExpr(
         "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as obs_id",
         "p_brand as clean_name", "p_name as scientific_name", "p_type as `order`", "l_partkey as taxon_key", "l_suppkey as dataset_key", "l_orderkey as order_key",

@@ -156,5 +156,6 @@ def test_bucketed_records_are_dealt_while_they_are_narrow(spark, monkeypatch):
     for name in ("S12_bucketed_sink", "S12_bucketed_names"):
         dealt.clear()
         registry.queries()[name](spark, "/root/testdata/sf0.001")
-        assert [key for key, columns in dealt if "l_partkey" in columns] == ["l_partkey"]
+        # After the join, which may split a large key as long as its sides aren't dealt by hand.
+        assert [key for key, columns in dealt if {"l_partkey", "p_partkey"} <= set(columns)] == ["l_partkey"]
         assert not [columns for _, columns in dealt if "obs_id" in columns]
