@@ -159,3 +159,53 @@ def test_bucketed_records_are_dealt_while_they_are_narrow(spark, monkeypatch):
         # After the join, which may split a large key as long as its sides aren't dealt by hand.
         assert [key for key, columns in dealt if {"l_partkey", "p_partkey"} <= set(columns)] == ["l_partkey"]
         assert not [columns for _, columns in dealt if "obs_id" in columns]
+
+
+def test_records_with_their_number_count_as_repeated(spark):
+    _, df = _records(spark, 150, 4)
+    once = niche.different(df, ["species"], DIMS)
+    assert once.count() < 600 and once.agg(F.sum("many")).first()[0] == 600
+    plain, weighed = niche.bandwidths(df, "species", DIMS).first(), niche.bandwidths(once, "species", DIMS, "many").first()
+    assert plain.n == weighed.n == 600
+    assert all(abs(plain[f"w_{c}"] - weighed[f"w_{c}"]) < 1e-12 for c in DIMS)
+    assert niche.dimensionality_gate(once, "species", 4, "many").first().observations == 600
+    single = spark.createDataFrame([("t", 1.0, 2.0, 3.0, 4.0, 1)], "species string, x double, y double, z double, v double, many long")
+    assert niche.bandwidths(single, "species", DIMS, "many").first().w_x is None
+
+
+def test_points_are_marked_by_one_niche_without_being_stored(spark):
+    rng = random.Random(3)
+    boxes = spark.createDataFrame([("r", *[rng.gauss(0, 1) for _ in DIMS]) for _ in range(200)], "species string, x double, y double, z double, v double")
+    widths = niche.bandwidths(boxes, "species", DIMS)
+    # The queries' columns are named as the boxes' are, species too.
+    points = spark.createDataFrame([(f"s{i}", *[rng.gauss(0, 1.3) for _ in DIMS]) for i in range(600)], "species string, x double, y double, z double, v double")
+    marked = niche.marked_inside(points, boxes, widths, DIMS, "inside")
+    w = widths.first()
+    held = [tuple(b[c] for c in DIMS) for b in boxes.collect()]
+    direct = {p.species for p in points.collect() if any(all(abs(p[c] - b[k]) <= w[f"w_{c}"] for k, c in enumerate(DIMS)) for b in held)}
+    found = marked.collect()
+    assert len(found) == 600 and {r.species for r in found if r.inside} == direct and 0 < len(direct) < 600
+
+
+def test_inclusion_meets_different_places_only(spark, monkeypatch):
+    from taxaloom.plans import niches
+
+    met, covered = [], niche.covered_points
+    monkeypatch.setattr(niche, "covered_points", lambda points, *a: met.append(points) or covered(points, *a))
+    obs = niches._obs(spark, "/root/testdata/sf0.001")
+    twice = obs.union(obs.withColumn("id", F.concat("id", F.lit("x"))))
+    niches._included(niches._different(twice)).collect()
+    assert met[0].count() == obs.select(*niches.DIMS).distinct().count()
+
+
+def test_suppliers_meet_lines_before_these_are_shuffled(spark):
+    from taxaloom.plans import niches
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")
+    try:
+        plan = niches._obs(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "s_suppkey" in x]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("suppkey" in x.split("hashpartitioning")[1] or "dataset_key" in x)]
