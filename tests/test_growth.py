@@ -209,3 +209,27 @@ def test_suppliers_meet_lines_before_these_are_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "s_suppkey" in x]
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("suppkey" in x.split("hashpartitioning")[1] or "dataset_key" in x)]
+
+
+def test_inclusion_of_the_niche_pipeline_looks_at_the_region_s_random_points(spark, monkeypatch):
+    from taxaloom.plans import niches
+
+    # Points are drawn by box: of those in four boxes a quarter counts.
+    covered = spark.createDataFrame([(x,) for x in (1, 1, 2, 4, 4, 4, 4)], "boxes long")
+    assert niche.even_quantile(covered, 0.5).first().q == 1 and niche.even_quantile(covered, 0.6).first().q == 2 and niche.even_quantile(covered, 1.0).first().q == 4
+    assert niche.even_quantile(covered.where("boxes > 9"), 0.5).first().q is None
+
+    seen, quantile, shares, share = [], niche.even_quantile, [], niche.included_share
+    monkeypatch.setattr(niche, "even_quantile", lambda points, q: seen.append((points.localCheckpoint(), q)) or quantile(seen[-1][0], q))
+    monkeypatch.setattr(niche, "included_share", lambda records, spots, limit, *a: shares.append((spots, limit)) or share(records, spots, limit, *a))
+    niches.n12(spark, "/root/testdata/sf0.001")
+    (points, q), (spots, limit) = seen[0], shares[0]
+    counts = sorted(r.boxes for r in points.collect())
+    assert q == 0.5 and len(counts) >= 100_000
+    even, upto = sum(1 / x for x in counts) / 2, 0.0
+    for x in counts:
+        upto += 1 / x
+        if upto >= even:
+            break
+    # The region's own records lie denser than its volume does.
+    assert limit.first().q == x < spots.where("regional > 0").agg(F.percentile("boxes", F.lit(0.5), F.col("regional"))).first()[0]
