@@ -233,3 +233,16 @@ def test_inclusion_of_the_niche_pipeline_looks_at_the_region_s_random_points(spa
             break
     # The region's own records lie denser than its volume does.
     assert limit.first().q == x < spots.where("regional > 0").agg(F.percentile("boxes", F.lit(0.5), F.col("regional"))).first()[0]
+
+
+def test_inclusion_where_ids_repeat_is_the_sql_s(spark, tmp_path):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("region", "nation", "supplier", "part", "lineitem"):
+        source = f"'/root/testdata/sf0.001/{t}.parquet'"
+        twice = f" union all select * from {source} where l_orderkey % 3 = 0" if t == "lineitem" else ""
+        c.execute(f"copy (select * from {source}{twice}) to '{tmp_path}/{t}.parquet'")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    expected = sorted(c.execute(registry.oracle_sql()["N4_inclusion_test"]).fetchall())
+    assert sorted(tuple(r) for r in registry.queries()["N4_inclusion_test"](spark, str(tmp_path)).collect()) == expected
